@@ -22,7 +22,8 @@ BUCKET = "__bucket"
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame | None:
     """Keys of the groups above the limit, or None.  At most rows/limit keys exist."""
     limit = GROUP_LIMIT if limit is None else limit
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(*keys)
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
+    big = big.select(*keys) if keys else big
     return None if big.isEmpty() else big
 
 
@@ -197,7 +198,7 @@ def row_index(
     offsets = _offsets(counts, keys, BUCKET, ["__n"])
     inner = W.partitionBy(*keys, BUCKET).orderBy(*order)
     out = binned.withColumn("__rn", F.row_number().over(inner)).join(offsets, [*keys, BUCKET])
-    cols = [F.col(c) for c in df.columns]
+    cols = [F.col(c) for c in df.columns if c != BUCKET]
     cols.append((F.col("__off___n") + F.col("__rn") - 1).cast("bigint").alias(name))
     if total:
         cols.append(F.col("total___n").alias(total))
