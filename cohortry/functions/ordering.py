@@ -49,14 +49,15 @@ def range_edges(df: DataFrame, value: str, n_buckets: int = N_BUCKETS) -> list[f
     return sorted(set(edges or []))
 
 
-def edge_bucket(value: Column, edges: Sequence[float]) -> Column:
-    """Number of edges below ``value``, as a decision tree of literals."""
+def edge_bucket(value: Column, edges: Sequence[float], inclusive: bool = False) -> Column:
+    """Number of edges below (or at) ``value``, as a decision tree of literals."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(value > F.lit(edges[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+        edge = F.lit(edges[mid])
+        return F.when(value >= edge if inclusive else value > edge, tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
     return tree(0, len(edges))
 
