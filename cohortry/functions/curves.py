@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortry.functions.ordering import edge_bucket
 
@@ -15,8 +15,8 @@ def interp_grid(
     """Linear interpolation of every curve at the grid points, clamped at the ends.
 
     Points fall into the intervals between grid points, and each interval keeps its
-    first and last point (combined on the map side), so what is windowed per curve
-    is the grid, however many points the curve has.  Among points of equal x the
+    first and last point (combined on the map side), so a curve is held as one list
+    no longer than the grid, however many points it has.  Among points of equal x the
     last one under ``tie`` counts.  Columns: keys, grid_index, grid, value.
     """
     keys, grid = list(keys), [float(g) for g in grid]
@@ -29,17 +29,15 @@ def interp_grid(
         .agg(F.max_by(point, order).alias("last"), F.min_by(point, order).alias("first"))
     )
     n = len(grid)
-    frame = cells.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("grid_index"))
-    group = W.partitionBy(*keys).orderBy("grid_index")
-    upto, after = group.rowsBetween(W.unboundedPreceding, 0), group.rowsBetween(1, W.unboundedFollowing)
-    d = frame.join(cells, [*keys, "grid_index"], "left").select(
-        *keys,
-        "grid_index",
-        F.last("last", ignorenulls=True).over(upto).alias("l"),
-        F.first("first", ignorenulls=True).over(after).alias("r"),
-    )
+    # At most n + 1 cells per curve.
+    d = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("grid_index", "last", "first"))).alias("__cells"))
+    d = d.withColumn("grid_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    upto = F.filter("__cells", lambda c: c["grid_index"] <= F.col("grid_index"))
+    after = F.filter("__cells", lambda c: c["grid_index"] > F.col("grid_index"))
     g = F.get(F.array(*[F.lit(v) for v in grid]), F.col("grid_index"))
-    d = d.where(F.col("grid_index") < n).withColumn("grid", g)
+    d = d.select(
+        *keys, "grid_index", g.alias("grid"), F.try_element_at(upto, F.lit(-1))["last"].alias("l"), F.get(after, F.lit(0))["first"].alias("r")
+    )
     slope = (F.col("r.y") - F.col("l.y")) / (F.col("r.x") - F.col("l.x"))
     value = (
         F.when(F.col("l").isNull(), F.col("r.y"))
