@@ -133,7 +133,9 @@ def calibration_alpha_beta(df: DataFrame, keys: Sequence[str] = MODEL) -> DataFr
     return fits.withColumnRenamed("intercept", "alpha")
 
 
-def bootstrap_cells(df: DataFrame, keys: Sequence[str], n_boot: int, seed: int = 0, row: Sequence[str] = ("idx",), n_slices: int = 256) -> DataFrame:
+def bootstrap_cells(
+    df: DataFrame, keys: Sequence[str], boots: range, seed: int = 0, row: Sequence[str] = ("idx",), n_slices: int = 256
+) -> DataFrame:
     """(keys, boot, p, n, pos) of samples with replacement, as large as the group.
 
     Every row draws, for each bootstrap, a position in its group sorted by (p, y).
@@ -151,7 +153,7 @@ def bootstrap_cells(df: DataFrame, keys: Sequence[str], n_boot: int, seed: int =
     cells = cells.withColumn("slice", F.explode(F.sequence(F.floor(F.col("lo") / F.col("w")), F.floor((F.col("hi") - 1) / F.col("w")))))
     sizes = runs.groupBy(*keys).agg(F.max("total_n").alias("total"))
     draws = df.where(F.col("p").isNotNull()).select(*keys, *row).join(sizes, keys)
-    draws = draws.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    draws = draws.withColumn("boot", F.explode(F.sequence(F.lit(boots.start), F.lit(boots.stop - 1))))
     draws = draws.withColumn("u", hash_wide_mod(F.col("total"), seed, F.col("boot"), *[F.col(c) for c in row]))
     w = F.greatest(F.ceil(F.col("total") / n_slices), F.lit(1)).cast("bigint")
     draws = draws.groupBy(*keys, "boot", "u", F.floor(F.col("u") / w).alias("slice")).agg(F.count(F.lit(1)).alias("c"))
@@ -165,9 +167,8 @@ def calibration_bootstrap(df: DataFrame, keys: Sequence[str] = MODEL, n_boot: in
     """Mean, sd and 95% interval of intercept and slope over bootstraps with both classes."""
     keys, fits = list(keys), None
     for start in range(0, n_boot, chunk):
-        # the bootstraps of a chunk have their own seeds, so chunks do not change the draws
-        stop = min(n_boot, start + chunk)
-        cells = bootstrap_cells(df, keys, stop, seed, row).where(F.col("boot") >= start)
+        # draws depend on the bootstrap number alone, so chunks do not change them
+        cells = bootstrap_cells(df, keys, range(start, min(n_boot, start + chunk)), seed, row)
         part = fit_logistic(cells, [*keys, "boot"], logit_features, ["beta"]).withColumnRenamed("intercept", "alpha")
         fits = part if fits is None else fits.unionByName(part)
     aggs = [F.count(F.lit(1)).alias("n_boot_used")]
