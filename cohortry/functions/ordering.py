@@ -10,12 +10,14 @@ the same exact answer; nothing is dropped, capped or sampled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 N_BUCKETS = 32
 GROUP_LIMIT = 1_000_000
+DRIVER_VALUES = 200_000
 BUCKET = "__bucket"
 
 
@@ -181,14 +183,20 @@ def row_index(
     name: str = "row_index",
     total: str | None = None,
     limit: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """0-based row number per group (and optionally the group size).
 
+    ``largest`` is the size of the largest group where the caller knows it, which
+    saves measuring it.
+
     ``bucket`` is used only when a group is above the limit: a column that is
     monotone in ``order``, or a function adding such a column named ``BUCKET``.
     """
     keys = list(keys)
-    if hot_groups(df, keys, limit) is None:
+    limit = GROUP_LIMIT if limit is None else limit
+    small = hot_groups(df, keys, limit) is None if largest is None else largest <= limit
+    if small:
         group = W.partitionBy(*keys)
         cols = [(F.row_number().over(group.orderBy(*order)) - 1).cast("bigint").alias(name)]
         if total:
@@ -207,7 +215,7 @@ def row_index(
 
 
 def column_quantiles(
-    df: DataFrame, columns: Sequence[str], quantiles: Sequence[float], accuracy: int = 10000
+    df: DataFrame, columns: Sequence[str], quantiles: Sequence[float], accuracy: int = 2000
 ) -> dict[str, list[float | None]]:
     """Exact linear quantiles of whole columns, collected as ``len(columns)`` rows.
 
@@ -256,9 +264,12 @@ def column_quantiles(
 
 
 def _select_in_brackets(df, columns, quantiles, head, brackets):
-    below = df.agg(
-        *[F.count(F.when(F.col(columns[i]) < lo, 1)).alias(f"b{i}_{j}") for (i, j), (lo, _) in brackets.items()]
-    ).first()
+    """Exact quantiles whose order statistics lie inside the brackets (else None)."""
+    sizes = []
+    for (i, j), (lo, hi) in brackets.items():
+        c = F.col(columns[i])
+        sizes += [F.count_if(c < lo).alias(f"b{i}_{j}"), F.count_if(c.between(lo, hi)).alias(f"w{i}_{j}")]
+    found = df.agg(*sizes).first()
     items = [
         F.when(
             F.col(columns[i]).between(F.lit(lo), F.lit(hi)),
@@ -267,21 +278,31 @@ def _select_in_brackets(df, columns, quantiles, head, brackets):
         for (i, j), (lo, hi) in brackets.items()
     ]
     inside = df.select(F.explode(F.array_compact(F.array(*items))).alias("e")).select("e.slot", "e.value")
-    runs = value_runs(inside, ["slot"], "value")
-    start = F.create_map(*[x for (i, j) in brackets for x in (F.lit(f"{i}_{j}"), F.lit(below[f"b{i}_{j}"]))])
-    size = F.create_map(*[x for (i, j) in brackets for x in (F.lit(f"{i}_{j}"), F.lit(head[f"n{i}"]))])
-    prob = F.create_map(*[x for (i, j) in brackets for x in (F.lit(f"{i}_{j}"), F.lit(float(quantiles[j])))])
-    pos = prob[F.col("slot")] * (size[F.col("slot")] - 1)
-    off = start[F.col("slot")]
-    picked = runs.groupBy("slot").agg(
-        at_position("value", F.floor(pos) - off).alias("lo"),
-        at_position("value", F.ceil(pos) - off).alias("hi"),
-        F.max(pos - F.floor(pos)).alias("frac"),
-    )
-    got = {r["slot"]: r for r in picked.collect()}
+    wanted = {}  # slot -> positions inside its bracket
+    for i, j in brackets:
+        pos = quantiles[j] * (head[f"n{i}"] - 1)
+        start = found[f"b{i}_{j}"]
+        wanted[f"{i}_{j}"] = (math.floor(pos) - start, math.ceil(pos) - start, pos - math.floor(pos))
+    if sum(found[f"w{i}_{j}"] for i, j in brackets) <= DRIVER_VALUES:
+        got: dict[str, list] = {slot: [None, None] for slot in wanted}
+        counts: dict[str, list] = {}
+        for r in inside.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r["slot"], []).append((r["value"], r["n"]))
+        for slot, pairs in counts.items():
+            seen = 0
+            for value, n in sorted(pairs):
+                for side in (0, 1):
+                    if seen <= wanted[slot][side] < seen + n:
+                        got[slot][side] = value
+                seen += n
+    else:
+        runs = value_runs(inside, ["slot"], "value")
+        at = [F.create_map(*[x for s, w in wanted.items() for x in (F.lit(s), F.lit(w[k]))])[F.col("slot")] for k in (0, 1)]
+        picked = runs.groupBy("slot").agg(at_position("value", at[0]).alias("lo"), at_position("value", at[1]).alias("hi"))
+        got = {r["slot"]: [r["lo"], r["hi"]] for r in picked.collect()}
     out = {}
     for i, j in brackets:
-        r = got.get(f"{i}_{j}")
-        ok = r is not None and r["lo"] is not None and r["hi"] is not None
-        out[i, j] = r["lo"] + (r["hi"] - r["lo"]) * r["frac"] if ok else None
+        lo, hi = got.get(f"{i}_{j}", [None, None])
+        frac = wanted[f"{i}_{j}"][2]
+        out[i, j] = None if lo is None or hi is None else lo + (hi - lo) * frac
     return out

@@ -32,11 +32,12 @@ def shuffled_copies(df: DataFrame, features: Sequence[str], repeats: Sequence[in
     A permutation lists the rows in the order of a seeded digest: row number r
     takes the value of the r-th row in that order.
     """
+    n = df.count()
     base = df.withColumn("__h", hash_key("base", F.col(row)))
-    base = row_index(base, [], ["__h"], hash_bucket(F.col("__h"), 3), "__r").drop("__h")
+    base = row_index(base, [], ["__h"], hash_bucket(F.col("__h"), 3), "__r", largest=n).drop("__h")
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(int(r)).alias("repeat"), F.col(c).cast("double").alias("donated")) for c in features for r in repeats])
     donors = df.select(row, F.inline(cells)).withColumn("__h", hash_key(seed, F.col("feature"), F.col("repeat"), F.col(row)))
-    donors = row_index(donors, ["feature", "repeat"], ["__h"], hash_bucket(F.col("__h"), 3), "__r")
+    donors = row_index(donors, ["feature", "repeat"], ["__h"], hash_bucket(F.col("__h"), 3), "__r", largest=n)
     out = base.join(donors.select("feature", "repeat", "__r", "donated"), "__r")
     changed = {c: F.when(F.col("feature") == c, F.col("donated")).otherwise(F.col(c)) for c in features}
     return out.withColumns(changed).drop("__r", "donated")

@@ -190,6 +190,7 @@ def bacc_at_choice(curve: DataFrame, choose: str = "train", train: str = "train"
     'each' for every split's own best.
     """
     fold = [c for c in FOLD if c != "split"]
+    curve = curve.persist()  # a grid per fold, read twice
     if choose == "each":
         return best_threshold(curve)
     best = best_threshold(curve.where(F.col("split") == choose)).select(*fold, "t_index")

@@ -30,11 +30,11 @@ def constant_share(df: DataFrame, columns: Sequence[str], missing: str = "raise"
     if missing == "ignore":
         long = long.where(F.col("value").isNotNull())
     counts = long.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    n = F.sum("c")
+    share = F.max("c") / F.sum("c")
     if missing == "raise":
-        bad = F.raise_error(F.concat(F.lit("missing values in "), F.col("feature")))
-        n = F.when(F.count_if(F.col("value").isNull()) > 0, bad.cast("bigint")).otherwise(n)
-    return counts.groupBy(*keys, "feature").agg((F.max("c") / F.sum("c")).alias("top_share"), n.alias("n"))
+        bad = F.raise_error(F.concat(F.lit("missing values in "), F.col("feature"))).cast("double")
+        share = F.when(F.count_if(F.col("value").isNull()) > 0, bad).otherwise(share)
+    return counts.groupBy(*keys, "feature").agg(share.alias("top_share"), F.sum("c").alias("n"))
 
 
 def constant_features(df: DataFrame, columns: Sequence[str], tol: float = 1.0, missing: str = "raise") -> DataFrame:

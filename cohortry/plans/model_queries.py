@@ -10,6 +10,7 @@ from cohortry.operators.metrics import fold_metrics
 from cohortry.plans.metric_queries import rank_sql
 from cohortry.plans.registry import query, rounded as R
 from cohortry.plans.views import V, with_views
+from cohortry.sources.tables import spread
 
 TEXT = ["n_chars", "n_words", "n_lines", "n_digits", "n_upper"]
 LR = {"maxIter": 30}
@@ -18,7 +19,7 @@ LR = {"maxIter": 30}
 def documents(spark, folder):
     """Labelled documents with text measures; group = source."""
     v = V(spark, folder)
-    d = v.table("documents").join(v.table("labels"), "doc_id")
+    d = spread(v.table("documents"), "doc_id").join(v.table("labels"), "doc_id")
     text = F.col("text")
     return d.select(
         F.col("doc_id").alias("row_id"),

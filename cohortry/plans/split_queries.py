@@ -8,13 +8,14 @@ from cohortry.functions.columns import r6
 from cohortry.operators import splits
 from cohortry.plans.registry import query, rounded as R
 from cohortry.plans.views import V
+from cohortry.sources.tables import spread
 
 TRIALS, OUTER, INNER = 2, 5, 3
 
 
 def rows(spark, folder):
     """Orders as rows; the label is the customer's, so a group has one label."""
-    o = V(spark, folder).table("orders")
+    o = spread(V(spark, folder).table("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
     return o.select(
         F.col("o_orderkey").alias("row_id"),
         F.col("o_custkey").alias("group_id"),

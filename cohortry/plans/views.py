@@ -38,7 +38,7 @@ class V:
 
     def matrix(self) -> DataFrame:
         """row_id, group_id, y and the feature columns of ``lineitem``."""
-        t = self.table("lineitem").withColumn("day", day_number("l_shipdate"))
+        t = spread(self.table("lineitem"), "l_orderkey", "l_partkey").withColumn("day", day_number("l_shipdate"))
         key = hash_key(
             *[F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")],
             *[cents(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
@@ -67,7 +67,7 @@ class V:
 
     def categorical(self) -> DataFrame:
         """Orders as subjects with string attributes, some missing."""
-        o = self.table("orders")
+        o = spread(self.table("orders"), "o_orderkey")
         k = F.col("o_orderkey")
         return o.select(
             k.alias("row_id"),
@@ -141,7 +141,7 @@ class V:
 
     def states(self) -> DataFrame:
         """recording, epoch_id, t_idx, state: events of a user in time order."""
-        e = self.table("events").withColumn("day", F.to_date("ts").cast("string"))
+        e = spread(self.table("events"), "event_id").withColumn("day", F.to_date("ts").cast("string"))
         t = row_index(e, ["user_id"], ["ts", "event_id"], F.col("day"), "t_idx")
         state = (
             F.when(F.col("event_type") == "signup", 0)
@@ -158,7 +158,7 @@ class V:
 
     def documents(self) -> DataFrame:
         """Labelled documents: group = source."""
-        d, l = self.table("documents"), self.table("labels")
+        d, l = spread(self.table("documents"), "doc_id"), self.table("labels")
         return d.join(l, "doc_id").select(
             "doc_id",
             F.col("source").alias("label"),
