@@ -392,3 +392,46 @@ def test_logistic_matches_newton(spark):
     fit = calibration.fit_logistic(calibration.score_cells(d, []), [], calibration.platt_features, ["slope"]).first()
     model = models.fit_model(d, ["p"], "logistic", {"maxIter": 100, "tol": 1e-10}).stages[-1]
     assert model.intercept == pytest.approx(fit["intercept"], abs=1e-4) and model.coefficients[0] == pytest.approx(fit["slope"], abs=1e-4)
+
+
+# ------------------------------------------------------- clusters and Kendall
+
+
+@pytest.mark.parametrize("n_ranges", [1, 4, 16])
+def test_kendall_equals_all_pairs(spark, n_ranges):
+    from cohortry.operators import kendall
+
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random(150) < 0.4, 3.0, rng.integers(0, 12, 150)).astype(float)
+    y = np.round(x / 3 + rng.normal(size=150), 1)
+    d = spark.createDataFrame(pd.DataFrame({"a": x, "b": y}))
+    i, j = np.triu_indices(150, 1)
+    sx, sy = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
+    want = (sx * sy).sum() / math.sqrt((sx != 0).sum() * (sy != 0).sum())
+    assert kendall.kendall_pairs(d, ["a", "b"], n_ranges).first()["r"] == pytest.approx(want, abs=1e-12)
+
+
+def test_modified_kmeans_finds_two_axes(spark):
+    from cohortry.operators import clusters
+
+    rng = np.random.default_rng(2)
+    axis = np.array([[1, -1, 0, 0], [0, 0, 1, -1]]) / math.sqrt(2)
+    which = rng.integers(0, 2, 400)
+    x = axis[which] * rng.normal(size=(400, 1)) * 3 + rng.normal(size=(400, 4)) * 0.01
+    maps = spark.createDataFrame([(1, int(i), [float(v) for v in r]) for i, r in enumerate(x)], "recording int, rid bigint, x array<double>")
+    tables = [clusters.fit_k_grid(maps, [1, 2], n_init=4, max_iter=8, chunk_rows=c) for c in (90, 1000)]
+    gev = [{r["k"]: r["total_gev"] for r in t.collect()} for t, _ in tables]
+    assert gev[0][2] > 0.99 and gev[0][1] < 0.75
+    assert gev[0] == pytest.approx(gev[1])
+    two = tables[0][1].where("k = 2").withColumnRenamed("k", "__k")
+    labelled = clusters.assign_states(maps, two, 50).orderBy("t_idx").toPandas()["state"].to_numpy()
+    assert max((labelled == which).mean(), (labelled != which).mean()) > 0.98
+
+
+def test_short_runs_join_the_longer_neighbour(spark):
+    from cohortry.operators import clusters
+
+    x = [[1.0, 0.0]] * 5 + [[0.0, 1.0]] + [[1.0, 0.0]] * 4
+    maps = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)], "recording int, rid bigint, x array<double>")
+    centres = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0])], "recording int, cluster int, c array<double>")
+    assert {r["state"] for r in clusters.assign_states(maps, centres, 10, 2).collect()} == {0}
