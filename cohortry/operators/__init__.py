@@ -1 +1 @@
-
+"""DataFrame-in, DataFrame-out operators."""

@@ -75,7 +75,7 @@ def fit_logistic(
         if not active:
             break
         now = spark.createDataFrame([(*k, *map(float, beta[k])) for k in active], schema)
-        d = data.join(now, keys) if keys else data.join(now)
+        d = data.join(now, keys) if keys else data.withColumns({f"b{i}": F.lit(float(b)) for i, b in enumerate(beta[()])})
         eta = sum((F.col(f"b{i}") * x[i] for i in range(1, width)), F.col("b0"))
         d = d.withColumn("m", F.lit(1.0) / (1.0 + F.exp(-clip(eta, -500.0, 500.0))))
         w = F.col("n") * F.col("m") * (1.0 - F.col("m"))

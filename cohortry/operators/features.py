@@ -209,6 +209,51 @@ def spectral_moments(psd: DataFrame) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- registry
+
+HELP = {
+    "std": "standard deviation (population)",
+    "mean": "mean amplitude",
+    "ptp": "largest minus smallest sample",
+    "skew": "asymmetry of the amplitudes",
+    "var": "variance (population)",
+    "rms": "root of the mean square",
+    "kurt": "tailedness; 3 for a normal distribution",
+    "zcr": "number of sign changes between neighbouring samples",
+    "quantile": "linear quantiles of the amplitudes",
+    "hj_mob": "spread of the derivative relative to the signal",
+    "hj_com": "mobility of the derivative relative to the signal's",
+    "decorr_time": "first lag with autocorrelation below a level, seconds",
+    "line_length": "mean absolute difference of neighbouring samples",
+    "katz_fd": "fractal dimension from path length and extent",
+    "higuchi_fd": "fractal dimension from curve lengths at growing steps",
+    "hurst": "slope of the rescaled range",
+    "samp_entropy": "sample entropy, embedding 2",
+    "app_entropy": "approximate entropy, embedding 2",
+    "svd": "entropy and Fisher information of embedding singular values",
+    "teager_kaiser": "mean and sd of the energy operator per wavelet level",
+    "wavelet_energy": "energy of each wavelet detail level",
+    "band_energy": "energy inside each frequency band",
+    "band_power": "share of spectral power per band",
+    "spec_slope": "line through the log-log spectrum",
+    "spec_edge": "frequency below which a share of the power lies",
+    "hj_spect": "second and fourth spectral moments",
+    "spec_entropy": "entropy of the spectrum",
+}
+
+
+def validate_names(names: Sequence[str], known: Sequence[str] = tuple(HELP)) -> list[str]:
+    """Registered spelling of each name, whatever its case or blanks."""
+    by = {k.strip().lower(): k for k in known}
+    if unknown := [n for n in names if n.strip().lower() not in by]:
+        raise KeyError(f"unknown features {unknown}; known: {sorted(known)}")
+    return [by[n.strip().lower()] for n in names]
+
+
+def help_table(spark) -> DataFrame:
+    return spark.createDataFrame(sorted(HELP.items()), "feature string, meaning string")
+
+
 # ------------------------------------------------------------------ family
 
 

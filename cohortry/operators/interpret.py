@@ -15,6 +15,7 @@ from cohortry.functions.curves import interp_grid, linspace
 from cohortry.functions.hashing import hash_bucket, hash_key
 from cohortry.functions.ordering import column_quantiles, row_index
 from cohortry.operators.metrics import probability_metrics, ranking_metrics
+from cohortry.operators.prep import unscale
 
 Score = Callable[[DataFrame], DataFrame]
 LOWER_IS_BETTER = {"brier", "logloss"}
@@ -54,14 +55,13 @@ def perm_importance(
     block: int = 20,
 ) -> DataFrame:
     """(feature, repeat, importance): loss of the metric when a feature is permuted."""
-    baseline = _metric(score(df).withColumn("__one", F.lit(1)), ["__one"], metric).select(F.col("value").alias("baseline"))
+    baseline = _metric(score(df).withColumn("__one", F.lit(1)), ["__one"], metric).first()["value"]
     out = None
     for start in range(0, len(features), block):
         copies = shuffled_copies(df, features[start : start + block], range(n_repeats), row, seed)
         part = _metric(score(copies), ["feature", "repeat"], metric)
         out = part if out is None else out.unionByName(part)
-    d = out.join(baseline)  # a single row
-    return d.select("feature", "repeat", (F.col("baseline") - F.col("value")).alias("importance"))
+    return out.select("feature", "repeat", (F.lit(baseline) - F.col("value")).alias("importance"))
 
 
 def perm_combined(folds: Mapping[tuple[int, int], DataFrame]) -> DataFrame:
@@ -89,8 +89,11 @@ def perm_ranked(combined: DataFrame, top_n: int | None = None, keys: Sequence[st
 
 def pdp_grid(df: DataFrame, features: Sequence[str], resolution: int = 100, low: float = 0.05, high: float = 0.95) -> dict[str, list[float]]:
     """Unique values where there are fewer than ``resolution``, else even steps between two percentiles."""
-    counts = df.agg(*[F.count_distinct(c).alias(c) for c in features]).first()
-    few = [c for c in features if counts[c] < resolution]
+    # a sketch rules out most columns; the rest are counted exactly up to the limit
+    rough = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in features]).first()
+    near = [c for c in features if rough[c] < 1.2 * resolution + 10]
+    counts = {c: df.select(c).where(F.col(c).isNotNull()).distinct().limit(resolution).count() for c in near}
+    few = [c for c in near if counts[c] < resolution]
     many = [c for c in features if c not in few]
     out = {c: sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect()) for c in few}
     for c, (a, b) in column_quantiles(df, many, [low, high]).items():
@@ -134,6 +137,17 @@ def pdp_mean(pdp: DataFrame, n_points: int = 50, max_unique: int = 10, fold: Seq
     )
 
 
+def pdp_report(folds: Mapping[tuple[int, int], tuple[DataFrame, Score]], features: Sequence[str], params: DataFrame | None = None, resolution: int = 100) -> DataFrame:
+    """Fold curves of one model, their mean on a shared grid and, with ``params``, raw units."""
+    out = None
+    for (trial, outer_fold), (df, score) in folds.items():
+        d = partial_dependence(df, score, pdp_grid(df, features, resolution))
+        d = d.withColumns({"trial": F.lit(trial), "outer_fold": F.lit(outer_fold)})
+        out = d if out is None else out.unionByName(d)
+    mean = pdp_mean(pdp_long(out).persist())
+    return mean if params is None else unscale(mean, params, "grid", "grid_raw")
+
+
 # --------------------------------------------------------------- stability
 
 

@@ -51,8 +51,8 @@ def describe_features(
 
 def feature_stat_distribution(described: DataFrame, stat: str, n_bins: int = 10) -> DataFrame:
     """Histogram of one statistic over the features (one row per nonempty bin)."""
-    span = described.agg(F.min(stat).alias("lo"), F.max(stat).alias("hi"))
-    d = described.select(F.col(stat).alias("v")).join(span)
+    low, high = described.agg(F.min(stat)).scalar(), described.agg(F.max(stat)).scalar()
+    d = described.select(F.col(stat).alias("v"), low.alias("lo"), high.alias("hi"))
     width = (F.col("hi") - F.col("lo")) / n_bins
     inner = F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(n_bins - 1))
     d = d.where(F.col("v").isNotNull()).withColumn("bin", F.coalesce(inner, F.lit(0)).cast("int"))
@@ -79,11 +79,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Counts and percent per value, nulls as 'Missing', with a 'Total' row."""
     value = F.coalesce(F.col(column).cast("string"), F.lit("Missing"))
     counts = df.select(value.alias("value")).rollup("value").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.where(F.col("value").isNull()).select(F.col("n").alias("total"))
-    out = counts.join(total)  # the total is a single row
-    return out.select(
-        F.coalesce("value", F.lit("Total")).alias("value"), "n", (100.0 * F.col("n") / F.col("total")).alias("percent")
-    )
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counts.select(F.coalesce("value", F.lit("Total")).alias("value"), "n", (100.0 * F.col("n") / total).alias("percent"))
 
 
 # --------------------------------------------------------- winsorise, impute

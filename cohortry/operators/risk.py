@@ -329,7 +329,11 @@ def pocket_from_raw(
     m = pocket_metrics(people, selected, baseline, keys)
     names = label_names(people.where(baseline), keys)
     low, high = threshold if isinstance(threshold, tuple) else (float(threshold), 1.0)
-    out = m.join(names, list(keys), "left") if keys else m.join(names)
+    if keys:
+        out = m.join(names, list(keys), "left")
+    else:
+        both = names.first()
+        out = m.withColumns({c: F.lit(both[c]) for c in ("pos_label", "neg_label")})
     return out.withColumns({"score_col": F.lit(score), "thr_low": F.lit(float(low)), "thr_high": F.lit(float(high))})
 
 

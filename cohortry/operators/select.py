@@ -169,10 +169,16 @@ def average_ranks(df: DataFrame, columns: Sequence[str], row: str = "row_id", ke
 def correlation_pairs(
     df: DataFrame, columns: Sequence[str], method: str = "spearman", row: str = "row_id", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Correlation of every pair; Spearman is Pearson on average ranks."""
+    """Correlation of every pair; Spearman is Pearson on average ranks.
+
+    Where values are missing, each pair is ranked among the rows that have both.
+    """
     if method == "pearson":
         return pearson_pairs(df, columns, keys)
     if method == "spearman":
+        gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        if any(gaps):
+            return _spearman_complete(df, columns, row, keys)
         return pearson_pairs(average_ranks(df, columns, row, keys), columns, keys)
     if method == "kendall":
         from cohortry.operators.kendall import kendall_pairs
@@ -183,6 +189,17 @@ def correlation_pairs(
     raise ValueError(f"unknown correlation {method!r}")
 
 
+def _spearman_complete(df: DataFrame, columns: Sequence[str], row: str, keys: Sequence[str]) -> DataFrame:
+    pair = lambda a, b: F.struct(
+        F.lit(a).alias("__a"), F.lit(b).alias("__b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")
+    )
+    d = df.select(row, *keys, F.inline(F.array(*[pair(a, b) for a, b in combinations(columns, 2)])))
+    d = d.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    ranked = average_ranks(d, ["x", "y"], row, [*keys, "__a", "__b"])
+    r = pearson_pairs(ranked, ["x", "y"], [*keys, "__a", "__b"])
+    return r.select(*keys, F.col("__a").alias("feature_a"), F.col("__b").alias("feature_b"), "r")
+
+
 # ------------------------------------------------------------ collinearity
 
 

@@ -336,7 +336,7 @@ def pdp_mean(spark, folder):
     "pdp_raw_units",
     with_views(
         "mx",
-        f"""SELECT feature, grid_index, {R('grid', 4)} AS grid, {R('mean')} AS mean, {R("grid * CASE feature WHEN 'price' THEN sp ELSE sd_ END + CASE feature WHEN 'price' THEN mp ELSE md END", 4)} AS grid_raw
+        f"""SELECT feature, grid_index, {R('grid', 4)} AS grid, {R('mean')} AS mean, {R("grid * CASE feature WHEN 'price' THEN sp ELSE sd_ END + CASE feature WHEN 'price' THEN mp ELSE md END", 1)} AS grid_raw
           FROM (SELECT feature, grid_index, grid, avg(value) AS mean FROM pp GROUP BY ALL), (SELECT avg(price) AS mp, stddev_pop(price) AS sp, avg(discount) AS md, stddev_pop(discount) AS sd_ FROM mx)""",
         GRID,
     ),
@@ -347,4 +347,4 @@ def pdp_raw_units(spark, folder):
     params = spark.createDataFrame(rows, "feature string, mean double, scale double")
     d = ip.pdp_mean(fold_pdp(spark, folder).persist(), n_points=20, max_unique=12, fold=["fold"])
     d = prep.unscale(d.select("feature", "grid_index", "grid", F.col("mean").alias("m")), params, "grid", "grid_raw")
-    return d.select("feature", "grid_index", r6(F.col("grid"), 4).alias("grid"), r6(F.col("m")).alias("mean"), r6(F.col("grid_raw"), 4).alias("grid_raw"))
+    return d.select("feature", "grid_index", r6(F.col("grid"), 4).alias("grid"), r6(F.col("m")).alias("mean"), r6(F.col("grid_raw"), 1).alias("grid_raw"))

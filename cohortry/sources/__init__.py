@@ -1 +1 @@
-
+"""Files, ids, labels and saved tables."""

@@ -1 +1 @@
-
+"""The operators here are batch jobs; nothing in their inventory is a stream."""

@@ -64,6 +64,14 @@ def test_correlation_matches_pandas(spark):
         assert r["r"] == pytest.approx(ranks[r["feature_a"]].corr(ranks[r["feature_b"]]), abs=1e-9)
 
 
+def test_spearman_ranks_each_pair_among_complete_rows(spark):
+    d = V(spark, SF).missing()
+    table = d.select("price", "tax", "net").toPandas().astype(float)
+    for r in select.correlation_pairs(d, ["price", "tax", "net"], "spearman").collect():
+        both = table[[r["feature_a"], r["feature_b"]]].dropna().rank()
+        assert r["r"] == pytest.approx(both.corr().iloc[0, 1], abs=1e-9)
+
+
 def test_correlation_with_a_constant_is_zero(spark):
     d = spark.range(10).select(F.col("id").cast("double").alias("a"), F.lit(7.1).alias("b"))
     assert select.pearson_pairs(d, ["a", "b"]).first()["r"] == 0.0
@@ -435,3 +443,22 @@ def test_short_runs_join_the_longer_neighbour(spark):
     maps = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)], "recording int, rid bigint, x array<double>")
     centres = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0])], "recording int, cluster int, c array<double>")
     assert {r["state"] for r in clusters.assign_states(maps, centres, 10, 2).collect()} == {0}
+
+
+def test_pdp_report_in_raw_units(spark):
+    from cohortry.operators import interpret
+
+    m = V(spark, SF).matrix().select("row_id", "quantity", "discount")
+    score = lambda d: d.withColumn("p", F.col("quantity") * 0.01 + F.col("discount"))
+    params = spark.createDataFrame([("quantity", 1.0, 2.0), ("discount", 0.0, 1.0)], "feature string, mean double, scale double")
+    out = interpret.pdp_report({(0, 1): (m, score), (0, 2): (m, score)}, ["quantity", "discount"], params, 20).toPandas()
+    q = out[out["feature"] == "quantity"].sort_values("grid")
+    assert np.allclose(np.diff(q["mean"]) / np.diff(q["grid"]), 0.01) and (q["n_folds"] == 2).all()
+    assert np.allclose(q["grid_raw"], q["grid"] * 2 + 1) and np.allclose(q["sd"], 0)
+
+
+def test_feature_names_are_checked(spark):
+    assert features.validate_names([" ZCR", "hj_Mob"]) == ["zcr", "hj_mob"]
+    with pytest.raises(KeyError, match="unknown features"):
+        features.validate_names(["loudness"])
+    assert features.help_table(spark).count() == len(features.HELP)
