@@ -133,10 +133,10 @@ def standardize(df: DataFrame, params: Mapping[str, tuple[float, float]]) -> Dat
 
 def unscale(grid: DataFrame, params: DataFrame, value: str = "value", out: str = "value_raw") -> DataFrame:
     """Back to raw units by feature name; an unknown feature is an error."""
-    p = params.select("feature", "mean", "scale")
+    p = params.select("feature", F.col("mean").alias("__mean"), F.col("scale").alias("__scale"))
     joined = grid.join(p, "feature", "left")
-    known = F.col("scale").isNotNull()
-    raw = F.when(known, F.col(value) * F.col("scale") + F.col("mean"))
+    known = F.col("__scale").isNotNull()
+    raw = F.when(known, F.col(value) * F.col("__scale") + F.col("__mean"))
     checked = F.when(~known, F.raise_error(F.concat(F.lit("no scaling for feature "), F.col("feature")))).otherwise(raw)
     return joined.select(*grid.columns, checked.cast("double").alias(out))
 
