@@ -131,14 +131,17 @@ def _centers(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: row[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
 
 
-def pearson_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), chunk: int = 150) -> DataFrame:
+def pearson_pairs(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), chunk: int = 150, centers: Mapping[str, float] | None = None
+) -> DataFrame:
     """(keys, feature_a, feature_b, r) for a before b, over rows with both values.
 
     Map-side combined sums of products, ``chunk`` pairs per pass.  Values are
-    centred on the column mean first, which leaves r unchanged and the sums small.
+    centred on the column mean (or the given ``centers``) first, which leaves r
+    unchanged and the sums small.
     """
     columns, keys = list(columns), list(keys)
-    means = _centers(df, columns)
+    means = _centers(df, columns) if centers is None else centers
     d = df.select(*keys, *[(F.col(c) - F.lit(means[c])).alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
     out = None
@@ -163,7 +166,7 @@ def average_ranks(df: DataFrame, columns: Sequence[str], row: str = "row_id", ke
     runs = value_runs(long, [*keys, "feature"], "value")
     ranks = runs.select(*keys, "feature", "value", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
     ranked = long.join(ranks, [*keys, "feature", "value"])
-    return ranked.groupBy(row, *keys).pivot("feature", list(columns)).agg(F.first("rank"))
+    return ranked.groupBy(row, *keys).agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in columns])
 
 
 def correlation_pairs(
@@ -176,10 +179,12 @@ def correlation_pairs(
     if method == "pearson":
         return pearson_pairs(df, columns, keys)
     if method == "spearman":
-        gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-        if any(gaps):
+        n, *present = df.agg(F.count(F.lit(1)), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        if any(p < n for p in present):
             return _spearman_complete(df, columns, row, keys)
-        return pearson_pairs(average_ranks(df, columns, row, keys), columns, keys)
+        # the mean rank of a whole column is known; within keys ranks are small
+        middle = 0.0 if keys else (n + 1) / 2
+        return pearson_pairs(average_ranks(df, columns, row, keys), columns, keys, centers=dict.fromkeys(columns, middle))
     if method == "kendall":
         from cohortry.operators.kendall import kendall_pairs
 
@@ -196,7 +201,7 @@ def _spearman_complete(df: DataFrame, columns: Sequence[str], row: str, keys: Se
     d = df.select(row, *keys, F.inline(F.array(*[pair(a, b) for a, b in combinations(columns, 2)])))
     d = d.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     ranked = average_ranks(d, ["x", "y"], row, [*keys, "__a", "__b"])
-    r = pearson_pairs(ranked, ["x", "y"], [*keys, "__a", "__b"])
+    r = pearson_pairs(ranked, ["x", "y"], [*keys, "__a", "__b"], centers={"x": 0.0, "y": 0.0})
     return r.select(*keys, F.col("__a").alias("feature_a"), F.col("__b").alias("feature_b"), "r")
 
 
