@@ -11,6 +11,8 @@ from cohortry.functions.rows import keep_first
 from cohortry.operators.prep import unpivoted
 from cohortry.table import FeatureTable
 
+MAX_LABELS = 100_000
+
 # --------------------------------------------------------------- columns
 
 
@@ -121,7 +123,10 @@ def stack_groups(frames: Sequence[DataFrame], label: str = "label", subject: str
 
 def label_map(df: DataFrame, label: str = "label", given: Mapping[str, int] | None = None) -> DataFrame:
     """Label ids in alphabetical order, or a given map checked for coverage."""
-    labels = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).limit(100_000).collect()]
+    distinct = df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label)
+    labels = [r[0] for r in distinct.limit(MAX_LABELS + 1).collect()]
+    if len(labels) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels; this column is no label")
     ids = dict(given) if given is not None else {name: i for i, name in enumerate(labels)}
     if uncovered := [x for x in labels if x not in ids]:
         raise ValueError(f"labels without an id: {uncovered}")
