@@ -13,6 +13,8 @@ results, repeated rows are packed each. Other columns are not read.
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +28,21 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length are ranked in so many independent parts.
 PARTS = 512
-_CACHE = 400_000
+_CACHE = 800_000
+#: Punctuation that closes a word (no apostrophe, which starts pieces of its own), the first letter
+#: beyond the Latin blocks, the one Latin capital whose lower case is two characters.
+_CLOSING = ".,;:!?#$%&*()[]{}/|-_\"+=@~^"
+_LATIN_END, _DOTTED = "\u0250", "\u0130"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The byte alphabet of byte-level BPE: printable bytes stand for themselves, the others for 256, 257, ..."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
 _PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
@@ -39,34 +55,67 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of texts as packed little-endian 32-bit numbers, remembered per white-space-free word.
 
-    The tokenizer splits at white space before anything else, so a text's ids are its words' ids in order. Texts
-    that may hold the tokenizer's special strings, which can span white space or not, are encoded whole.
+    The tokenizer splits at white space before anything else, so a text's ids are its words' ids in order. A word
+    of Latin letters with closing punctuation is one or two pieces for the tokenizer's BPE model, which is then
+    asked directly; any other word goes through the whole tokenizer. Texts that may hold the tokenizer's special
+    strings are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _piece(self, letters: str) -> bytes:
+        """Ids of one lower-case piece, spelled in the byte alphabet of the model."""
+        found = self.cores.get(letters)
+        if found is None:
+            spelled = letters if letters.isascii() else letters.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+            found = self.cores[letters] = pack_ids([t.id for t in self.model.tokenize(spelled)])
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        core = text.rstrip(_CLOSING)
+        if core.isalpha() and (core.isascii() or (max(core) < _LATIN_END and _DOTTED not in core and unicodedata.is_normalized("NFC", core))):
+            ids = self._piece(core.lower())
+            if len(core) < len(text):
+                ids += self._piece(text[len(core) :])
+        else:
+            ids = self._ids(text)
+        self.known[word] = ids
+        return ids
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> bytes:
+        return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if "<|" in text:
-            return self._ids([text])[0]
-        words = text.encode("utf-8", "replace").split()
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            pass
+            return self._ids(text)
         if len(self.known) > _CACHE:
             self.known.clear()
-        new = [w for w in set(words) if w not in self.known]
-        self.known.update(zip(new, self._ids([w.decode("utf-8") for w in new]), strict=True))
-        return b"".join([self.known[w] for w in words])
+            self.cores.clear()
+        known, word = self.known, self._word
+        return b"".join([known[w] if w in known else word(w) for w in text.encode("utf-8", "replace").split()])
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder a worker process, so that tasks share what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def pieces_of(ids: bytes, capacity: int = CAPACITY, end_id: int = END_ID) -> list[tuple[int, int, int, int]]:
@@ -79,7 +128,7 @@ def pieces_of(ids: bytes, capacity: int = CAPACITY, end_id: int = END_ID) -> lis
 def _cutter(path: str | None, capacity: int, end_id: int):
     @F.pandas_udf(_PIECES)
     def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = WordEncoder(path or default_tokenizer())
+        encoder = encoder_for(path or default_tokenizer())
         names = ("piece", "start", "length", "ids_crc32")
         for texts in parts:
             yield pd.Series([[dict(zip(names, p, strict=True)) for p in pieces_of(encoder.encode(t), capacity, end_id)] for t in texts])

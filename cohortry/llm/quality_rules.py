@@ -29,7 +29,7 @@ FENCE = 3.0
 LEAST_DOCS = 50
 WINDOW = 8
 #: Ratio -> least spread. It keeps a group whose values are nearly all equal from rejecting the slightest change.
-FLOORS = {"symbol_ratio": 0.05, "upper_ratio": 0.05, "dup_line_ratio": 0.1, "repeat_ratio": 0.05, "word_length": 0.5}
+FLOORS = {"symbol_ratio": 0.05, "upper_ratio": 0.05, "dup_line_ratio": 0.2, "repeat_ratio": 0.1, "word_length": 0.75}
 TWO_SIDED = ("word_length",)
 #: Fixed value: the symbols of the contract.
 SYMBOLS = b"#*$%&|<>"

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; all other documents, whatever their label says, count as
+Confirmed toxic documents are the positives; a draw from all documents, whatever their label says, counts as
 unlabelled text in which a share (the class prior) is toxic. The risk of a linear classifier is estimated
 as ``prior * R_pos(+1) + max(0, R_unl(-1) - prior * R_pos(-1))``: when the bracket turns negative, the step
 goes back up instead, which is what keeps the estimate from overfitting.
@@ -30,6 +30,10 @@ TERMS = 1500
 POSITIVES = 3000
 UNLABELLED = 9000
 EPOCHS = 300
+#: Standard errors a term must stand out by; high because a million terms are tried.
+LEAST_Z = 4.5
+#: How far below zero the corrected part of the risk may go; covers the sampling error of the prior.
+SLACK = 0.05
 _CACHE = 400_000
 _EDGE = b".,;:!?#*$%&<>|\"'()[]-_"
 
@@ -69,18 +73,26 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.table[features].sum(dtype=np.float64) + self.bias, -40, 40))))
 
 
-def choose_terms(pos: list[np.ndarray], unl: list[np.ndarray], limit: int = TERMS) -> np.ndarray:
-    """Terms by how far their rate among positives exceeds their rate in unlabelled text, in standard errors."""
+def choose_terms(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, limit: int = TERMS) -> np.ndarray:
+    """Terms by how far their rate among positives exceeds their rate in unlabelled text, in standard errors.
+
+    A term that only toxic text uses has in unlabelled text the prior's share of its rate among positives;
+    terms of more than twice that share are left out.
+    """
     a = np.bincount(np.concatenate(pos), minlength=DIMS) / len(pos)
     b = np.bincount(np.concatenate(unl), minlength=DIMS) / len(unl)
     z = (a - b) / np.sqrt(b * (1 - b) / len(pos) + 1.0 / len(pos) ** 2)
     best = np.argsort(-z, kind="stable")[:limit]
-    return np.sort(best[z[best] > 3])
+    return np.sort(best[(z[best] > LEAST_Z) & (b[best] <= 2 * prior * a[best] + 1.0 / len(unl))])
+
 
+def nn_pu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = EPOCHS, rate: float = 0.05, slack: float = SLACK, decay: float = 1e-4) -> Model:
+    """Linear model of least non-negative risk with the logistic loss.
 
-def nn_pu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Linear model of least non-negative risk with the sigmoid loss."""
-    terms = choose_terms(pos, unl)
+    The chosen terms are evidence for toxicity only, so their weights stay at or above zero and a long clean
+    text cannot outweigh what it says.
+    """
+    terms = choose_terms(pos, unl, prior)
     column = np.full(DIMS, -1, dtype=np.int64)
     column[terms] = np.arange(len(terms))
 
@@ -96,19 +108,19 @@ def nn_pu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs
         for row, col, n in sets:
             z = np.bincount(row, weights=w[col], minlength=n) + bias
             s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            slope = s * (1 - s) / n  # of the mean loss for label -1; for label +1 it is the negative
-            slopes.append((np.bincount(col, weights=slope[row], minlength=len(w)), slope.sum()))
-            risks.append(s.mean())
-        (gp, bp), (gu, bu) = slopes
+            slope = s / n  # of the mean loss for label -1; for label +1 it is one n-th less
+            slopes.append((np.bincount(col, weights=slope[row], minlength=len(w)), slope.sum(), np.bincount(col, minlength=len(w)) / n))
+            risks.append(np.logaddexp(0, z).mean())
+        (gp, bp, mean), (gu, bu, _) = slopes
         negative = risks[1] - prior * risks[0]
-        if negative >= 0:
-            g, gb = gu - 2 * prior * gp, bu - 2 * prior * bp
+        if negative >= -slack:
+            g, gb = gu - prior * mean, bu - prior
         else:  # the corrected part went below zero: climb back
             g, gb = -(gu - prior * gp), -(bu - prior * bp)
         g = g + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        w -= rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w = np.maximum(0, w - rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
         bias -= rate * mb / (1 - 0.9**step) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
     return Model(terms, w, bias)
 
@@ -123,17 +135,18 @@ def fit(texts: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabel
     draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000))
     sure = known.where("toxic > 0").where(draw < int(1_000_000 * min(1.0, positives / toxic))).select("doc_id", F.lit(True).alias("sure"))
     marked = texts.where("doc_id is not null").join(F.broadcast(sure), "doc_id", "left")  # `sure` is bounded by `positives`
-    chosen = marked.where(F.col("sure") | (draw < int(1_000_000 * min(1.0, unlabelled / max(1, total)))))
+    marked = marked.withColumn("drawn", draw < int(1_000_000 * min(1.0, unlabelled / max(1, total))))
+    chosen = marked.where(F.col("sure") | F.col("drawn"))
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms()
         for frame in parts:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype(str), "sure": frame["sure"].notna(), "f": [np.sort(terms.of(t)).tobytes() for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype(str), "sure": frame["sure"].notna(), "drawn": frame["drawn"], "f": [np.sort(terms.of(t)).tobytes() for t in frame["text"]]})
 
-    got = chosen.mapInPandas(features, "doc_id string, sure boolean, f binary").collect()  # bounded by the two parameters
+    got = chosen.mapInPandas(features, "doc_id string, sure boolean, drawn boolean, f binary").collect()  # bounded by the two parameters
     got.sort(key=lambda r: (r["doc_id"], bytes(r["f"])))
     pos = [np.frombuffer(r["f"], dtype=np.int32) for r in got if r["sure"]]
-    unl = [np.frombuffer(r["f"], dtype=np.int32) for r in got if not r["sure"]]
+    unl = [np.frombuffer(r["f"], dtype=np.int32) for r in got if r["drawn"]]
     if not pos or not unl:
         return None
     return nn_pu_fit(pos, unl, toxic / n)
