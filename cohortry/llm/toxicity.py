@@ -30,6 +30,9 @@ TERMS = 1500
 POSITIVES = 3000
 UNLABELLED = 9000
 EPOCHS = 300
+#: Price of a unit of weight; terms of a few copied documents are not worth it.
+THRIFT = 0.0015
+LEAST_WEIGHT = 0.1
 #: Standard errors a term must stand out by; high because a million terms are tried.
 LEAST_Z = 4.5
 #: How far below zero the corrected part of the risk may go; covers the sampling error of the prior.
@@ -86,42 +89,48 @@ def choose_terms(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, lim
     return np.sort(best[(z[best] > LEAST_Z) & (b[best] <= 2 * prior * a[best] + 1.0 / len(unl))])
 
 
-def nn_pu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = EPOCHS, rate: float = 0.05, slack: float = SLACK, decay: float = 1e-4) -> Model:
-    """Linear model of least non-negative risk with the logistic loss.
-
-    The chosen terms are evidence for toxicity only, so their weights stay at or above zero and a long clean
-    text cannot outweigh what it says.
-    """
-    terms = choose_terms(pos, unl, prior)
-    column = np.full(DIMS, -1, dtype=np.int64)
-    column[terms] = np.arange(len(terms))
-
-    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        cols = [c[c >= 0] for c in (column[r] for r in rows)]
-        return np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate([*cols, np.zeros(0, np.int64)]), len(rows)
-
-    sets = [matrix(pos), matrix(unl)]
-    w, bias = np.zeros(len(terms)), 0.0
+def _descend(sets: list[tuple[np.ndarray, np.ndarray, int]], n_terms: int, prior: float, thrift: float, epochs: int = EPOCHS, rate: float = 0.05, slack: float = SLACK) -> tuple[np.ndarray, float]:
+    """Weights and bias of least risk; ``sets`` holds row, column and number of rows of positives and unlabelled."""
+    w, bias = np.zeros(n_terms), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, epochs + 1):
         slopes, risks = [], []
         for row, col, n in sets:
             z = np.bincount(row, weights=w[col], minlength=n) + bias
-            s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            slope = s / n  # of the mean loss for label -1; for label +1 it is one n-th less
-            slopes.append((np.bincount(col, weights=slope[row], minlength=len(w)), slope.sum(), np.bincount(col, minlength=len(w)) / n))
+            slope = 1 / (1 + np.exp(-np.clip(z, -40, 40))) / n  # of the mean loss for label -1; for label +1 it is one n-th less
+            slopes.append((np.bincount(col, weights=slope[row], minlength=n_terms), slope.sum(), np.bincount(col, minlength=n_terms) / n))
             risks.append(np.logaddexp(0, z).mean())
         (gp, bp, mean), (gu, bu, _) = slopes
-        negative = risks[1] - prior * risks[0]
-        if negative >= -slack:
+        if risks[1] - prior * risks[0] >= -slack:
             g, gb = gu - prior * mean, bu - prior
         else:  # the corrected part went below zero: climb back
             g, gb = -(gu - prior * gp), -(bu - prior * bp)
-        g = g + decay * w
+        g = g + thrift  # on weights that cannot be negative, a price on every term
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w = np.maximum(0, w - rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
         bias -= rate * mb / (1 - 0.9**step) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
+    return w, bias
+
+
+def nn_pu_fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, thrift: float = THRIFT) -> Model:
+    """Linear model of least non-negative risk with the logistic loss.
+
+    The chosen terms are evidence for toxicity only, so their weights stay at or above zero and a long clean
+    text cannot outweigh what it says. A first descent with a price on weights leaves the terms worth
+    having; a second one without the price sets their weights.
+    """
+
+    def matrix(rows: list[np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        column = np.full(DIMS, -1, dtype=np.int64)
+        column[terms] = np.arange(len(terms))
+        cols = [c[c >= 0] for c in (column[r] for r in rows)]
+        return np.repeat(np.arange(len(rows)), [len(c) for c in cols]), np.concatenate([*cols, np.zeros(0, np.int64)]), len(rows)
+
+    terms = choose_terms(pos, unl, prior)
+    w, _ = _descend([matrix(pos, terms), matrix(unl, terms)], len(terms), prior, thrift)
+    terms = terms[w > LEAST_WEIGHT]
+    w, bias = _descend([matrix(pos, terms), matrix(unl, terms)], len(terms), prior, 0.0)
     return Model(terms, w, bias)
 
 
