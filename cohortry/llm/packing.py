@@ -13,6 +13,7 @@ results, repeated rows are packed each. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import zlib
@@ -33,6 +34,8 @@ _CACHE = 800_000
 #: beyond the Latin blocks, the one Latin capital whose lower case is two characters.
 _CLOSING = ".,;:!?#$%&*()[]{}/|-_\"+=@~^"
 _LATIN_END, _DOTTED = "\u0250", "\u0130"
+_BEYOND_LATIN = re.compile("[^\\x00-\u012f\u0131-\u024f]")
+_JOINED = re.compile(r"(?:[^\w\s]|_)[.,]\s")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -52,6 +55,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Remembered(dict):
+    """A dictionary that asks a function for what it does not hold."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordEncoder:
     """Ids of texts as packed little-endian 32-bit numbers, remembered per white-space-free word.
 
@@ -66,16 +81,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.known = Remembered(self._word)
 
     def _piece(self, letters: str) -> bytes:
         """Ids of one lower-case piece, spelled in the byte alphabet of the model."""
-        found = self.cores.get(letters)
-        if found is None:
-            spelled = letters if letters.isascii() else letters.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
-            found = self.cores[letters] = pack_ids([t.id for t in self.model.tokenize(spelled)])
-        return found
+        spelled = letters if letters.isascii() else letters.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+        return pack_ids([t.id for t in self.model.tokenize(spelled)])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
@@ -86,7 +97,6 @@ class WordEncoder:
                 ids += self._piece(text[len(core) :])
         else:
             ids = self._ids(text)
-        self.known[word] = ids
         return ids
 
     def _ids(self, text: str) -> bytes:
@@ -99,9 +109,11 @@ class WordEncoder:
             return self._ids(text)
         if len(self.known) > _CACHE:
             self.known.clear()
-            self.cores.clear()
-        known, word = self.known, self._word
-        return b"".join([known[w] if w in known else word(w) for w in text.encode("utf-8", "replace").split()])
+        if not _BEYOND_LATIN.search(text):
+            text = text.lower()  # letter by letter, as the tokenizer does next
+            if not _JOINED.search(text):  # a lone mark before white space is a piece of its own
+                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        return b"".join(map(self.known.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 def pack_ids(ids: list[int]) -> bytes:

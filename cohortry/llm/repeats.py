@@ -1,13 +1,16 @@
 """Removal of long byte strings that occur more than once, across documents and within one.
 
 A byte goes if some ``WINDOW``-byte string that covers it also starts elsewhere. Instead of sorting all
-suffixes, equal windows are found in three exact steps that each shrink the data:
+suffixes, equal windows are found in exact steps that each shrink the data:
 
-1. The pick of a window is the smallest hash among its ``GRAM``-byte strings. Equal windows have equal picks,
-   and neighbouring windows mostly share one, so a text is a short list of runs of windows with the same pick
-   (about one for 185 bytes). Runs whose pick occurs in one place only hold no repeated window.
+1. The pick of a window is the least hash among its ``GRAM``-byte strings. Equal windows have equal picks in
+   the same place, and neighbouring windows mostly share one, so a text is a short list of runs of windows with
+   the same pick (about one for 185 bytes). Runs whose pick occurs in one place only hold no repeated window.
 2. A remaining run whose whole text occurs elsewhere as a run is repeated throughout.
-3. The windows of the other remaining runs, at the ends of repeated passages, are hashed one by one and counted.
+3. The other runs are cut into blocks of ``BLOCK`` windows by the distance to the pick. Blocks whose common
+   text occurs once hold no repeated window; those whose whole text occurs elsewhere as a block are repeated
+   throughout.
+4. The windows of what is left, at the ends of repeated passages, are hashed one by one and counted.
 
 Grouped minima and maxima of places tell "occurs twice" and combine before the shuffle, so a passage in
 millions of documents costs one row a task. Windows are compared by pick and a second 64-bit hash.
@@ -32,10 +35,13 @@ from cohortry.llm.common import keep, text_of
 
 WINDOW = 400
 GRAM = 32
+BLOCK = 16
 _SLICE = 1 << 20
 _RNG = np.random.default_rng(5)
 _TABLE = _RNG.integers(0, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Low bits of a hash that give way to the place of its gram within a slice.
+_PLACE = np.uint64((1 << 21) - 1)
 _BACK = pow(_BASE, -1, 1 << 64)
 
 
@@ -87,34 +93,52 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def sliding_max(a: np.ndarray, width: int) -> np.ndarray:
-    return ~sliding_min(~a, width)
-
-
 def runs_of(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Pick, hash of the whole text, first and last window of every run, and whether the pick recurs nearby.
+    """Pick, hash of the whole text, first and last window and place of the pick of every run.
 
-    Slices bound the memory of long texts. A pick that recurs may lie twice within one run, as in periodic text.
+    The pick of a window is its leftmost gram of least leading hash bits; slices bound the memory of long texts.
     """
     data = np.frombuffer(raw, dtype=np.uint8)
-    out, width = [], window - gram + 1
+    out = []
     for lo in range(0, len(data) - window + 1, _SLICE):
         part = data[lo : lo + _SLICE + window - 1]
         hashed = Hashed(part)
         grams = hashed.grams(gram)
-        pick = sliding_min(grams, width)
-        # a gram is some window's pick if it equals the largest pick of the windows that hold it
-        padded = np.concatenate([np.zeros(width - 1, np.uint64), pick, np.zeros(width - 1, np.uint64)])
-        picked = grams[grams == sliding_max(padded, width)]
-        values, times = np.unique(picked, return_counts=True)
-        first = np.concatenate([[0], np.flatnonzero(pick[1:] != pick[:-1]) + 1])
-        last = np.concatenate([first[1:] - 1, [len(pick) - 1]])
-        out.append((pick[first], hashed.parts(first, last + window), first + lo, last + lo, np.isin(pick[first], values[times > 1])))
+        order = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+        place = (sliding_min(order, window - gram + 1) & _PLACE).astype(np.int64)
+        first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+        last = np.concatenate([first[1:] - 1, [len(place) - 1]])
+        at = place[first]
+        out.append((grams[at], hashed.parts(first, last + window), first + lo, last + lo, at + lo))
     if not out:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def blocks_of(raw: bytes, first: np.ndarray, last: np.ndarray, place: np.ndarray, pick: np.ndarray, window: int = WINDOW, step: int = BLOCK) -> tuple[np.ndarray, ...]:
+    """Key, hash of the whole text, first and last window of the blocks of the given runs.
+
+    A block holds the windows whose distance to their pick falls into one stretch of ``step``. The text that all
+    windows of the stretch share is the same wherever one of them occurs, so it makes the key with the pick.
+    """
+    low, high = (place - last) // step, (place - first) // step
+    count = high - low + 1
+    run = np.repeat(np.arange(len(first)), count)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + low[run]
+    top = place[run] - nth * step
+    begin, end = np.maximum(first[run], top - step + 1), np.minimum(last[run], top)
+    # hashed from a slice's own start, which the hash of a part does not depend on
+    data, key, whole = np.frombuffer(raw, dtype=np.uint8), np.zeros(len(run), np.uint64), np.zeros(len(run), np.uint64)
+    for lo in range(0, len(data), _SLICE):
+        mine = np.flatnonzero((begin >= lo) & (begin < lo + _SLICE))
+        if len(mine):
+            hashed = Hashed(data[lo : lo + _SLICE + 2 * window + step])
+            key[mine] = hashed.parts(top[mine] - lo, top[mine] - step + 1 + window - lo)
+            whole[mine] = hashed.parts(begin[mine] - lo, end[mine] + window - lo)
+    key = _mixed(key ^ _mixed(pick[run] + nth.astype(np.uint64)))
+    return key, whole, begin, end
+
+
 def window_hashes(raw: bytes, first: np.ndarray, last: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of every window of the given runs."""
     data = np.frombuffer(raw, dtype=np.uint8)
@@ -146,79 +170,97 @@ def _key() -> list[Column]:
     return [F.xxhash64(text).alias("b1"), F.xxhash64(F.lit(1), text).alias("b2")]
 
 
-def _twice(rows: DataFrame, keys: list[str], place: Column, *more: Column) -> DataFrame:
+def _twice(rows: DataFrame, keys: list[str], place: Column) -> DataFrame:
     """Keys with the smallest and largest of their places."""
-    return rows.groupBy(*keys).agg(F.min(place).alias("lo"), F.max(place).alias("hi"), *more)
+    return rows.groupBy(*keys).agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+
+
+def _busy(rows: DataFrame) -> DataFrame:
+    """Rows whose key occurs in two places, without repeats; ``full`` if their whole text does as well.
+
+    ``look`` marks rows to look into: all that are not full, and one of each full text whose key also has a row
+    that is not, for that row to be compared with.
+    """
+    place = F.xxhash64("b1", "b2", "first")
+    whole = keep(_twice(rows, ["key", "whole"], place), "whole")
+    full = F.col("lo") != F.col("hi")
+    keys = whole.groupBy("key").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.bool_or(~full).alias("mixed")).where("least <> most")
+    busy = keep(whole.join(keys, "key").select("key", "whole", full.alias("full"), F.when(F.col("mixed"), F.col("lo")).alias("shown")), "busy")
+    look = ~F.col("full") | F.coalesce(F.col("shown") == place, F.lit(False))
+    return keep(rows.join(busy, ["key", "whole"]).withColumn("look", look).drop("whole", "shown").distinct(), "marked")
+
+
+def _frames(found: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
 
-def _runs(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    names = ("pick", "whole", "b1", "b2", "first", "last", "again")
+def _collect(texts: DataFrame, names: list[str], make) -> DataFrame:
+    """Apply ``make(bytes, row)``, which gives equally long arrays, to every text; adds b1 and b2."""
+    columns = ["b1", "b2", *names]
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
             found, size = [], 0
-            for text, b1, b2 in zip(frame["text"], frame["b1"], frame["b2"], strict=True):
-                pick, whole, first, last, again = runs_of((text or "").encode("utf-8", "replace"), window, gram)
-                n = len(pick)
+            for row in frame.itertuples(index=False):
+                arrays = make((row.text or "").encode("utf-8", "replace"), row)
+                n = len(arrays[0])
                 if n:
-                    found.append((pick.view(np.int64), whole.view(np.int64), np.full(n, b1), np.full(n, b2), first, last, again))
+                    found.append((np.full(n, row.b1), np.full(n, row.b2), *(a.view(np.int64) for a in arrays)))
                     size += n
                 if size > 50_000:
-                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
+                    yield _frames(found, columns)
                     found, size = [], 0
             if found:
-                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
+                yield _frames(found, columns)
 
-    return texts.mapInPandas(find, "pick long, whole long, b1 long, b2 long, first long, last long, again boolean")
+    return texts.mapInPandas(find, ", ".join(f"{c} long" for c in columns))
 
 
-def _windows(work: DataFrame, window: int) -> DataFrame:
-    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in parts:
-            for text, b1, b2, runs in zip(frame["text"], frame["b1"], frame["b2"], frame["runs"], strict=True):
-                open_runs = [r for r in runs if not r["full"]]
-                if not open_runs:
-                    continue
-                first, last, pick = (np.array([r[c] for r in open_runs], dtype=np.int64) for c in ("first", "last", "pick"))
-                at, code = window_hashes((text or "").encode("utf-8", "replace"), first, last, window)
-                order = np.argsort(first)
-                run = order[np.searchsorted(first[order], at, side="right") - 1]
-                both = _mixed(code ^ (pick[run].view(np.uint64) * np.uint64(_BASE)))
-                for lo in range(0, len(at), 100_000):
-                    n = len(at[lo : lo + 100_000])
-                    yield pd.DataFrame({"pick": pick[run][lo : lo + n], "h": both[lo : lo + n].view(np.int64), "b1": np.full(n, b1), "b2": np.full(n, b2), "at": at[lo : lo + n]})
-
-    return work.mapInPandas(find, "pick long, h long, b1 long, b2 long, at long")
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def _arrays(items, *names: str) -> list[np.ndarray]:
+    return [np.array([x[c] for x in items], dtype=np.int64) for c in names]
+
+
+def _for_text(rows: DataFrame, *columns: str) -> DataFrame:
+    """One list per text; its length is bounded by the text's."""
+    return rows.groupBy("b1", "b2").agg(F.collect_list(F.struct(*columns)).alias("items")).select(F.col("b1").alias("w1"), F.col("b2").alias("w2"), "items")
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, step: int = BLOCK) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     keyed = texts.select("text", *_key())
-    runs = keep(_runs(keyed.where(F.octet_length("text") >= window), window, gram), "runs")
-    place = F.xxhash64("b1", "b2", "first")
-    whole = keep(_twice(runs, ["pick", "whole"], place, F.bool_or("again").alias("again")), "whole")
-    picks = whole.groupBy("pick").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or("again").alias("again")).where("lo <> hi or again").select("pick")
-    busy = keep(whole.join(picks, "pick", "left_semi").select("pick", "whole", (F.col("lo") != F.col("hi")).alias("full")), "busy")
-    marked = runs.join(busy, ["pick", "whole"]).select("b1", "b2", "pick", "first", "last", "full").distinct()
-    work = marked.groupBy("b1", "b2").agg(F.collect_list(F.struct("first", "last", "pick", "full")).alias("runs"))  # the runs of one text
-    work = keep(work, "work").select(F.col("b1").alias("w1"), F.col("b2").alias("w2"), "runs")
     here = (F.col("b1") == F.col("w1")) & (F.col("b2") == F.col("w2"))
-    held = keep(keyed.join(work.hint("shuffle_hash"), here).select("text", "b1", "b2", "runs"), "held")
-    windows = keep(_windows(held, window), "windows")
-    spot = F.xxhash64("b1", "b2", "at")
-    shared = _twice(windows, ["pick", "h"], spot).where("lo <> hi").select("pick", "h")
-    hits = windows.join(shared, ["pick", "h"], "left_semi").select("b1", "b2", "at").distinct()
-    hits = keep(hits.groupBy("b1", "b2").agg(F.sort_array(F.collect_list("at")).alias("at")), "hits").select(F.col("b1").alias("w1"), F.col("b2").alias("w2"), "at")
-    one = held.join(hits.hint("shuffle_hash"), here, "left").select("b1", "b2", "text", F.filter("runs", lambda r: r["full"]).alias("runs"), "at")
+
+    runs = keep(_collect(keyed.where(F.octet_length("text") >= window), ["key", "whole", "first", "last", "place"], lambda raw, row: runs_of(raw, window, gram)), "runs")
+    marked = _busy(runs)
+    todo = keep(_for_text(marked, "first", "last", "place", "key", "full", "look"), "todo")
+    held = keep(keyed.join(todo.hint("shuffle_hash"), here).select("text", "b1", "b2", "items"), "held")
+
+    def blocks(raw: bytes, row) -> tuple[np.ndarray, ...]:
+        first, last, place, key = _arrays([x for x in row.items if x["look"]], "first", "last", "place", "key")
+        return blocks_of(raw, first, last, place, key.view(np.uint64), window, step)
+
+    parts = _busy(keep(_collect(held, ["key", "whole", "first", "last"], blocks), "blocks"))
+    ends = keep(_for_text(parts.where("look"), "first", "last", "key"), "ends")
+
+    def windows(raw: bytes, row) -> tuple[np.ndarray, ...]:
+        first, last, key = _arrays(sorted(row.items, key=lambda x: x["first"]), "first", "last", "key")
+        at, code = window_hashes(raw, first, last, window)
+        own = key[np.searchsorted(first, at, side="right") - 1].view(np.uint64)
+        return _mixed(code ^ own * np.uint64(_BASE)), at
+
+    single = keep(_collect(held.drop("items").join(ends.hint("shuffle_hash"), here).select("text", "b1", "b2", "items"), ["key", "at"], windows), "windows")
+    shared = _twice(single, ["key"], F.xxhash64("b1", "b2", "at")).where("lo <> hi").select("key")
+    hits = single.join(shared, "key", "left_semi").select("b1", "b2", F.col("at").alias("first"), F.col("at").alias("last")).distinct()
+    found = keep(_for_text(hits.union(parts.where("full").select("b1", "b2", "first", "last")), "first", "last"), "found").withColumnRenamed("items", "more")
+    one = held.join(found.hint("shuffle_hash"), here, "left").select("b1", "b2", "text", F.filter("items", lambda r: r["full"]).alias("items"), "more")
 
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:
             out = []
-            for b1, b2, body, full, at in zip(frame["b1"], frame["b2"], frame["text"], frame["runs"], frame["at"], strict=True):
-                single = np.array([] if at is None else at, dtype=np.int64)
-                first, last = (np.concatenate([np.array([r[c] for r in full], dtype=np.int64), single]) for c in ("first", "last"))
-                out.append((b1, b2, *cut((body or "").encode("utf-8", "replace"), first, last, window)))
+            for row in frame.itertuples(index=False):
+                first, last = _arrays([*row.items, *([] if row.more is None else row.more)], "first", "last")
+                out.append((row.b1, row.b2, *cut((row.text or "").encode("utf-8", "replace"), first, last, window)))
             yield pd.DataFrame(out, columns=["c1", "c2", "n_removed", "n_spans", "kept_sha256"])
 
     done = one.mapInPandas(finish, "c1 long, c2 long, n_removed long, n_spans long, kept_sha256 string")
