@@ -13,7 +13,6 @@ results, repeated rows are packed each. Other columns are not read.
 
 from __future__ import annotations
 
-import re
 import struct
 import unicodedata
 import zlib
@@ -34,8 +33,21 @@ _CACHE = 800_000
 #: beyond the Latin blocks, the one Latin capital whose lower case is two characters.
 _CLOSING = ".,;:!?#$%&*()[]{}/|-_\"+=@~^"
 _LATIN_END, _DOTTED = "\u0250", "\u0130"
-_BEYOND_LATIN = re.compile("[^\\x00-\u012f\u0131-\u024f]")
-_JOINED = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+#: First bytes of UTF-8 that only characters from U+0240 on have.
+_BEYOND_LATIN = bytes(range(0xC9, 0x100))
+#: Kinds of bytes: word, blank, full stop or comma, other mark.
+_KINDS = bytes(32 if c in b" \t\n\r\x0b\x0c" else 46 if c in b".," else 97 if c >= 128 or chr(c).isalnum() else 35 for c in range(256))
+
+
+def _plain_latin(raw: bytes) -> bool:
+    """Whether all characters are below U+0240 and none changes its length when lowered."""
+    return raw.isascii() or (len(raw.translate(None, _BEYOND_LATIN)) == len(raw) and b"\xc4\xb0" not in raw)
+
+
+def _lone_marks(raw: bytes) -> bool:
+    """Whether no full stop or comma before a blank follows another mark (or a sign beyond ASCII)."""
+    kinds = raw.translate(_KINDS)
+    return b"#. " not in kinds and b".. " not in kinds and b"\xc2" not in raw and b"\xc3\x97" not in raw and b"\xc3\xb7" not in raw
 
 
 def _byte_letters() -> dict[int, int]:
@@ -109,11 +121,12 @@ class WordEncoder:
             return self._ids(text)
         if len(self.known) > _CACHE:
             self.known.clear()
-        if not _BEYOND_LATIN.search(text):
-            text = text.lower()  # letter by letter, as the tokenizer does next
-            if not _JOINED.search(text):  # a lone mark before white space is a piece of its own
-                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-        return b"".join(map(self.known.__getitem__, text.encode("utf-8", "replace").split()))
+        raw = text.encode("utf-8", "replace")
+        if _plain_latin(raw):
+            raw = raw.lower() if raw.isascii() else text.lower().encode("utf-8", "replace")  # letter by letter, as the tokenizer does next
+            if _lone_marks(raw):  # then such a mark is a piece of its own
+                raw = raw.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" .\n")
+        return b"".join(map(self.known.__getitem__, raw.split()))
 
 
 def pack_ids(ids: list[int]) -> bytes:
