@@ -15,6 +15,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cohortry.functions.rows import join_same
+
 N_BUCKETS = 32
 GROUP_LIMIT = 1_000_000
 DRIVER_VALUES = 200_000
@@ -41,7 +43,7 @@ def by_group_size(
     hot = hot_groups(df, keys, limit)
     if hot is None:
         return small(df)
-    return small(df.join(hot, keys, "left_anti")).unionByName(large(df.join(hot, keys, "left_semi")))
+    return small(join_same(df, hot, keys, "left_anti")).unionByName(large(join_same(df, hot, keys, "left_semi")))
 
 
 def range_edges(df: DataFrame, value: str, n_buckets: int = N_BUCKETS) -> list[float]:
@@ -124,7 +126,7 @@ def value_runs(
     local = binned.select(
         "*", *[F.coalesce(F.sum(n).over(inner), F.lit(0)).alias(f"__in_{n}") for n in names]
     )
-    joined = local.join(_offsets(binned, keys, BUCKET, names), [*keys, BUCKET])
+    joined = join_same(local, _offsets(binned, keys, BUCKET, names), [*keys, BUCKET])
     return joined.select(
         *keys,
         value,
@@ -206,7 +208,7 @@ def row_index(
     counts = binned.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
     offsets = _offsets(counts, keys, BUCKET, ["__n"])
     inner = W.partitionBy(*keys, BUCKET).orderBy(*order)
-    out = binned.withColumn("__rn", F.row_number().over(inner)).join(offsets, [*keys, BUCKET])
+    out = join_same(binned.withColumn("__rn", F.row_number().over(inner)), offsets, [*keys, BUCKET])
     cols = [F.col(c) for c in df.columns if c != BUCKET]
     cols.append((F.col("__off___n") + F.col("__rn") - 1).cast("bigint").alias(name))
     if total:

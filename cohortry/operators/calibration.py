@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortry.functions.rows import join_same
 from cohortry.functions.columns import clip, logit
 from cohortry.functions.curves import linspace
 from cohortry.functions.hashing import hash_wide_mod
@@ -105,9 +106,9 @@ def fit_logistic(
 
 
 def apply_logistic(df: DataFrame, fits: DataFrame, keys: Sequence[str], features: Features, names: Sequence[str], score: str = "p") -> DataFrame:
-    """Replace the score by the fitted probability of its group."""
+    """Replace the score by the fitted probability of its group; null where the group has no fit (one class only)."""
     eta = sum((F.col(n) * x for n, x in zip(names, features(F.col(score)))), F.col("intercept"))
-    d = df.join(fits, list(keys))
+    d = join_same(df, fits, list(keys), "left")
     return d.withColumn(score, F.lit(1.0) / (1.0 + F.exp(-eta))).select(*df.columns)
 
 

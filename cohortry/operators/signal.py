@@ -146,8 +146,10 @@ def decimate_mean(signal: DataFrame, factor: int) -> DataFrame:
 def resample(signal: DataFrame, up: int, down: int, zeros: int = 8, chunk: int = CHUNK) -> DataFrame:
     """Rational rate change by a windowed sinc of ``zeros`` crossings each side.
 
-    Output sample m lies at input time m * down / up; each chunk of inputs yields
-    the outputs that fall inside it.
+    Output sample m lies at input time m * down / up. A chunk of inputs yields the outputs
+    from its first input up to the first input of the next chunk, so borders lose nothing.
+    Outputs are computed phase by phase: those whose index agrees modulo ``up`` use
+    the same weights at inputs that lie in one piece.
     """
     cutoff = min(1.0, up / down)
     reach = math.ceil(zeros / cutoff)
@@ -159,21 +161,29 @@ def resample(signal: DataFrame, up: int, down: int, zeros: int = 8, chunk: int =
         own = t[(t >= c * chunk) & (t < (c + 1) * chunk)]
         if len(own) == 0:
             return pd.DataFrame(columns=["recording", "channel", "t_idx", "value"])
-        m = np.arange(-(-int(own[0]) * up // down), int(own[-1]) * up // down + 1)
-        at = m * down / up
-        offset = at[:, None] - t[None, :] if len(t) <= 4 * reach else None
-        y = np.empty(len(m))
-        for i, a in enumerate(at):
-            d = offset[i] if offset is not None else None
-            if d is None:
-                lo, hi = np.searchsorted(t, [a - reach, a + reach])
-                d, xs = a - t[lo:hi], x[lo:hi]
-            else:
-                xs = x
-            w = np.where(np.abs(d) <= reach, 0.5 + 0.5 * np.cos(np.pi * d / reach), 0.0)
-            h = np.sinc(cutoff * d) * w
-            y[i] = (h * xs).sum() / h.sum()
-        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "channel": pdf["channel"].iloc[0], "t_idx": m, "value": y})
+        after = t[t >= (c + 1) * chunk]
+        stop = -(-int(after[0]) * up // down) if len(after) else int(own[-1]) * up // down + 1
+        m = np.arange(-(-int(own[0]) * up // down), stop)
+        base = int(t[0])
+        dense, there = np.zeros(int(t[-1]) - base + 1), np.zeros(int(t[-1]) - base + 1)
+        dense[t - base], there[t - base] = x, 1.0  # absent inputs weigh nothing
+        y = np.full(len(m), np.nan)
+        for phase in range(up):
+            mine = np.flatnonzero(m % up == phase)
+            if not len(mine):
+                continue
+            whole, part = m[mine] * down // up, (phase * down % up) / up
+            steps = np.arange(-reach, reach + 2)
+            d = part - steps
+            h = np.where(np.abs(d) <= reach, np.sinc(cutoff * d) * (0.5 + 0.5 * np.cos(np.pi * d / reach)), 0.0)
+            where = whole[:, None] + steps[None, :] - base
+            inside = (where >= 0) & (where < len(dense))
+            where = np.where(inside, where, 0)
+            weight = (there[where] * inside) @ h
+            with np.errstate(invalid="ignore", divide="ignore"):
+                y[mine] = ((dense[where] * inside) @ h) / weight
+        found = np.isfinite(y)
+        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "channel": pdf["channel"].iloc[0], "t_idx": m[found], "value": y[found]})
 
     types = dict(signal.dtypes)
     schema = f"recording {types['recording']}, channel string, t_idx bigint, value double"

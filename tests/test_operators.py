@@ -301,6 +301,22 @@ def test_resample_of_a_sine(spark):
         np.testing.assert_allclose(got["value"][50:-50], want[50:-50], atol=0.01)
 
 
+@pytest.mark.parametrize("up,down", [(2, 1), (3, 2), (2, 3), (5, 7)])
+def test_resample_keeps_outputs_at_chunk_borders(spark, up, down):
+    d = pd.DataFrame({"recording": 1, "channel": "a", "t_idx": np.arange(64), "value": np.cos(np.arange(64) / 5) + np.arange(64) % 3})
+    one, cut = (signal.resample(spark.createDataFrame(d), up, down, chunk=c).orderBy("t_idx").toPandas() for c in (1000, 16))
+    assert one["t_idx"].tolist() == cut["t_idx"].tolist() == list(range(63 * up // down + 1))
+    np.testing.assert_allclose(one["value"], cut["value"], atol=1e-12)
+
+
+def test_a_group_without_a_fit_keeps_its_rows(spark):
+    rows = [("m", None if k == 2 else k, i, i % 2 if k else 1, 0.1 + 0.08 * (i % 10)) for k in (0, 1, 2) for i in range(20)]
+    d = spark.createDataFrame(rows, "model string, outer_fold int, idx int, y int, p double")
+    fits = spark.createDataFrame([("m", 1, 0.1, 0.9), ("m", None, 0.2, 0.8)], "model string, outer_fold int, intercept double, slope double")
+    got = calibration.apply_logistic(d, fits, ["model", "outer_fold"], calibration.platt_features, ["slope"]).toPandas()
+    assert len(got) == 60 and got["p"].isna().sum() == 20 and got.loc[got["outer_fold"] == 0, "p"].isna().all()
+
+
 def test_unknown_step(spark):
     with pytest.raises(KeyError, match="unknown step"):
         signal.run_steps(spark.range(1), [{"shake": {}}])

@@ -77,3 +77,20 @@ def test_value_runs_with_one_dominant_value(spark, tiny_limit):
     for r in runs:
         assert r["before_n"] == before and r["total_n"] == 3000
         before += r["n"]
+
+
+def test_null_groups_survive_every_size(spark, monkeypatch):
+    d = spark.createDataFrame([(None if i % 2 else "k", float(i % 4) if i % 3 else None, i) for i in range(24)], "k string, v double, i int")
+    number = lambda: ordering.row_index(d, ["k"], ["v", "i"], lambda x: ordering.with_range_bucket(x, "v"), total="n")
+    small, large = both(monkeypatch, number)
+    assert small == large and len(small) == 24
+    monkeypatch.setattr(ordering, "GROUP_LIMIT", 1_000_000)
+    runs = lambda: ordering.value_runs(d, ["k"], "v").drop(ordering.BUCKET)
+    small = rows(runs())
+    monkeypatch.setattr(ordering, "GROUP_LIMIT", 2)
+    assert small == rows(runs()) and any("None" in r for r in small)
+    monkeypatch.setattr(ordering, "GROUP_LIMIT", 1_000_000)
+    ends = lambda: ordering.grouped_quantiles(d, ["k"], "v", {"q": 0.5})
+    small = rows(ends())
+    monkeypatch.setattr(ordering, "GROUP_LIMIT", 5)
+    assert small == rows(ends()) and len(small) == 2
