@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import Row
 
-from cohortry.llm import common, decontam, language, packing, quality_model, quality_rules, repeats, secrets, simhash, toxicity, warc
+from cohortry.llm import bwt, common, decontam, language, packing, quality_model, quality_rules, repeats, secrets, simhash, toxicity, warc
 from cohortry.llm.queries import ORACLES, QUERIES
 from tests.conftest import SF
 from tools.compare import compare
@@ -195,6 +195,16 @@ def test_random_repeats_over_many_cuts(spark):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removal(texts, 40)
 
 
+def test_merged_transforms_find_the_same_repeats():
+    rng = random.Random(1)
+    for _ in range(150):
+        strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(30))) for _ in range(rng.randrange(9))]
+        window = rng.randrange(1, 8)
+        seen = Counter(b[x : x + window] for b in strings for x in range(len(b) - window + 1))
+        want = {(k, x) for k, b in enumerate(strings) for x in range(len(b) - window + 1) if seen[b[x : x + window]] > 1}
+        assert bwt.repeated_starts(strings, window, per_shard=2) == want
+
+
 def test_masks_reach_every_pair_of_replaced_words():
     for i, j in itertools.combinations(range(decontam.WINDOW), 2):
         assert any(not {i - o, j - o} & set(m) for m in decontam.MASKS for o in range(decontam.WINDOW - decontam.SPAN + 1))
