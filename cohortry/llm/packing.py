@@ -13,6 +13,7 @@ results, repeated rows are packed each. Other columns are not read.
 
 from __future__ import annotations
 
+import codecs
 import struct
 import unicodedata
 import zlib
@@ -28,7 +29,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length are ranked in so many independent parts.
 PARTS = 512
-_CACHE = 800_000
+_CACHE = 1_500_000
 #: Punctuation that closes a word (no apostrophe, which starts pieces of its own), the first letter
 #: beyond the Latin blocks, the one Latin capital whose lower case is two characters.
 _CLOSING = ".,;:!?#$%&*()[]{}/|-_\"+=@~^"
@@ -50,11 +51,11 @@ def _lone_marks(raw: bytes) -> bool:
     return b"#. " not in kinds and b".. " not in kinds and b"\xc2" not in raw and b"\xc3\x97" not in raw and b"\xc3\xb7" not in raw
 
 
-def _byte_letters() -> dict[int, int]:
+def _byte_letters() -> str:
     """The byte alphabet of byte-level BPE: printable bytes stand for themselves, the others for 256, 257, ..."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in plain]
-    return {b: 256 + i for i, b in enumerate(rest)}
+    return "".join(chr(256 + rest.index(b)) if b in rest else chr(b) for b in range(256))
 
 
 _BYTE_LETTERS = _byte_letters()
@@ -97,7 +98,7 @@ class WordEncoder:
 
     def _piece(self, letters: str) -> bytes:
         """Ids of one lower-case piece, spelled in the byte alphabet of the model."""
-        spelled = letters if letters.isascii() else letters.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+        spelled = letters if letters.isascii() else codecs.charmap_decode(letters.encode("utf-8"), "strict", _BYTE_LETTERS)[0]
         return pack_ids([t.id for t in self.model.tokenize(spelled)])
 
     def _word(self, word: bytes) -> bytes:
@@ -129,8 +130,11 @@ class WordEncoder:
         return b"".join(map(self.known.__getitem__, raw.split()))
 
 
+_PACKERS = [struct.Struct(f"<{n}I") for n in range(32)]
+
+
 def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKERS[len(ids)].pack(*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
