@@ -29,7 +29,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length are ranked in so many independent parts.
 PARTS = 512
-_CACHE = 1_500_000
+#: Words remembered in each of two generations.
+_CACHE = 300_000
 #: Punctuation that closes a word (no apostrophe, which starts pieces of its own), the first letter
 #: beyond the Latin blocks, the one Latin capital whose lower case is two characters.
 _CLOSING = ".,;:!?#$%&*()[]{}/|-_\"+=@~^"
@@ -69,14 +70,24 @@ def default_tokenizer() -> str:
 
 
 class Remembered(dict):
-    """A dictionary that asks a function for what it does not hold."""
+    """A dictionary that asks a function for what it does not hold.
 
-    def __init__(self, make):
+    It holds a young and an old generation of at most ``limit`` entries each. What is asked for moves to the young
+    one; once that is full it becomes the old one, so words met again and again stay and the others go.
+    """
+
+    def __init__(self, make, limit: int = _CACHE):
         super().__init__()
-        self.make = make
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -120,8 +131,6 @@ class WordEncoder:
             return b""
         if "<|" in text:
             return self._ids(text)
-        if len(self.known) > _CACHE:
-            self.known.clear()
         raw = text.encode("utf-8", "replace")
         if _plain_latin(raw):
             raw = raw.lower() if raw.isascii() else text.lower().encode("utf-8", "replace")  # letter by letter, as the tokenizer does next
