@@ -19,7 +19,8 @@ from cohortry.functions.rows import join_same
 
 N_BUCKETS = 32
 GROUP_LIMIT = 1_000_000
-DRIVER_VALUES = 200_000
+#: Texts looked at for the edges of text buckets.
+EDGE_SAMPLE = 1024
 BUCKET = "__bucket"
 
 
@@ -74,6 +75,19 @@ def with_range_bucket(
     return df.withColumn(name, -bucket if descending else bucket)
 
 
+def text_bucket(df: DataFrame, column: str, n_buckets: int = N_BUCKETS) -> Column:
+    """Bucket of a text between edges taken from a hash sample of its distinct values.
+
+    Texts that share a long beginning are told apart, which a prefix could not do.  The
+    sample only places the edges; it has at most ``EDGE_SAMPLE`` rows.
+    """
+    text = F.col(column).cast("string")
+    drawn = df.select(text.alias("t")).where("t is not null").distinct().orderBy(F.xxhash64("t"), "t").limit(EDGE_SAMPLE)
+    texts = sorted(r[0] for r in drawn.collect())
+    edges = sorted({texts[len(texts) * i // n_buckets] for i in range(1, n_buckets)}) if texts else []
+    return edge_bucket(text, edges)
+
+
 def _offsets(binned: DataFrame, keys: Sequence[str], bucket: str, names: Sequence[str]) -> DataFrame:
     """Per (keys, bucket): sums over earlier buckets and over the whole group."""
     totals = binned.groupBy(*keys, bucket).agg(*[F.sum(n).alias(n) for n in names])
@@ -285,23 +299,10 @@ def _select_in_brackets(df, columns, quantiles, head, brackets):
         pos = quantiles[j] * (head[f"n{i}"] - 1)
         start = found[f"b{i}_{j}"]
         wanted[f"{i}_{j}"] = (math.floor(pos) - start, math.ceil(pos) - start, pos - math.floor(pos))
-    if sum(found[f"w{i}_{j}"] for i, j in brackets) <= DRIVER_VALUES:
-        got: dict[str, list] = {slot: [None, None] for slot in wanted}
-        counts: dict[str, list] = {}
-        for r in inside.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")).collect():
-            counts.setdefault(r["slot"], []).append((r["value"], r["n"]))
-        for slot, pairs in counts.items():
-            seen = 0
-            for value, n in sorted(pairs):
-                for side in (0, 1):
-                    if seen <= wanted[slot][side] < seen + n:
-                        got[slot][side] = value
-                seen += n
-    else:
-        runs = value_runs(inside, ["slot"], "value")
-        at = [F.create_map(*[x for s, w in wanted.items() for x in (F.lit(s), F.lit(w[k]))])[F.col("slot")] for k in (0, 1)]
-        picked = runs.groupBy("slot").agg(at_position("value", at[0]).alias("lo"), at_position("value", at[1]).alias("hi"))
-        got = {r["slot"]: [r["lo"], r["hi"]] for r in picked.collect()}
+    runs = value_runs(inside, ["slot"], "value")
+    at = [F.create_map(*[x for s, w in wanted.items() for x in (F.lit(s), F.lit(w[k]))])[F.col("slot")] for k in (0, 1)]
+    picked = runs.groupBy("slot").agg(at_position("value", at[0]).alias("lo"), at_position("value", at[1]).alias("hi"))
+    got = {r["slot"]: [r["lo"], r["hi"]] for r in picked.collect()}
     out = {}
     for i, j in brackets:
         lo, hi = got.get(f"{i}_{j}", [None, None])

@@ -6,13 +6,11 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortry.functions.ordering import grouped_quantiles, row_index
+from cohortry.functions.ordering import BUCKET, grouped_quantiles, row_index, text_bucket
 from cohortry.functions.rows import keep_first
 from cohortry.operators.prep import unpivoted
 from cohortry.table import FeatureTable
 
-MAX_LABELS = 100_000
-
 # --------------------------------------------------------------- columns
 
 
@@ -109,8 +107,8 @@ def missing_features(presence: DataFrame, subject: str = "subject_id", feature:
 def group_dimension(df: DataFrame, label: str = "label", subject: str = "subject_id") -> DataFrame:
     """(label, subject, group_id): groups numbered in label, subject order."""
     groups = df.select(label, subject).distinct()
-    bucket = F.struct(F.col(label), F.substring(F.col(subject).cast("string"), 1, 2))
-    return row_index(groups, [], [F.col(label), F.col(subject).cast("string")], bucket, "group_id")
+    cut = lambda d: d.withColumn(BUCKET, F.struct(F.col(label), text_bucket(d, subject)))
+    return row_index(groups, [], [F.col(label), F.col(subject).cast("string")], cut, "group_id")
 
 
 def stack_groups(frames: Sequence[DataFrame], label: str = "label", subject: str = "subject_id") -> DataFrame:
@@ -123,25 +121,30 @@ def stack_groups(frames: Sequence[DataFrame], label: str = "label", subject: str
 
 def label_map(df: DataFrame, label: str = "label", given: Mapping[str, int] | None = None) -> DataFrame:
     """Label ids in alphabetical order, or a given map checked for coverage."""
-    distinct = df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label)
-    labels = [r[0] for r in distinct.limit(MAX_LABELS + 1).collect()]
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels; this column is no label")
-    ids = dict(given) if given is not None else {name: i for i, name in enumerate(labels)}
-    if uncovered := [x for x in labels if x not in ids]:
-        raise ValueError(f"labels without an id: {uncovered}")
-    if any(not isinstance(v, int) for v in ids.values()) or len(set(ids.values())) != len(ids):
+    found = df.select(F.col(label).cast("string").alias(label)).where(F.col(label).isNotNull()).distinct()
+    if given is None:
+        ids = row_index(found, [], [label], lambda d: d.withColumn(BUCKET, text_bucket(d, label)), "label_id")
+        return ids.select(label, F.col("label_id").cast("int").alias("label_id"))
+    if any(not isinstance(v, int) for v in given.values()) or len(set(given.values())) != len(given):
         raise ValueError("label ids must be unique integers")
-    return df.sparkSession.createDataFrame(sorted(ids.items()), f"{label} string, label_id int")
+    ids = df.sparkSession.createDataFrame(sorted(given.items()), f"{label} string, label_id int")
+    if uncovered := [r[0] for r in found.join(ids, label, "left_anti").limit(10).collect()]:
+        raise ValueError(f"labels without an id, among them: {sorted(uncovered)}")
+    return ids
 
 
 # ------------------------------------------------------------- subject joins
 
 
 def subject_merge(left: DataFrame, right: DataFrame, key: str, order: str, how: str = "left") -> DataFrame:
-    """One-to-one merge on a trimmed key; the first row per key counts on both sides."""
-    trimmed = [d.withColumn(key, F.trim(F.col(key).cast("string"))) for d in (left, right)]
-    a, b = (keep_first(d.where(F.col(key).isNotNull()), [key], [F.col(order)]) for d in trimmed)
+    """One-to-one merge on a trimmed key: every left row stays, of the right the first row per key counts.
+
+    A key that the left has twice is an error; rows without a key are kept unmatched.
+    """
+    a, b = (d.withColumn(key, F.trim(F.col(key).cast("string"))) for d in (left, right))
+    if not a.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"{key} occurs more than once on the left side")
+    b = keep_first(b.where(F.col(key).isNotNull()), [key], [F.col(order)])
     return a.join(b.drop(order), key, how)
 
 
@@ -216,8 +219,8 @@ def group_label(df: DataFrame, group: str = "group_id", y: str = "y", how: str =
 def group_gaps(df: DataFrame, group: str = "group_id") -> DataFrame:
     """Ids between 0 and the largest that no row has."""
     ids = df.select(F.col(group).cast("bigint").alias(group)).distinct()
-    top = ids.agg(F.max(group).alias("top")).where(F.col("top").isNotNull())
-    full = top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias(group))
+    top = ids.agg(F.max(group)).first()[0]
+    full = df.sparkSession.range(0, 0 if top is None else top + 1).select(F.col("id").alias(group))
     return full.join(ids, group, "left_anti")
 
 
@@ -229,8 +232,5 @@ def folder_index(paths: DataFrame, label: Column, path: str = "path") -> DataFra
     stem = F.regexp_replace(F.element_at(F.split(F.regexp_replace(path, r"[?#].*$", ""), "/"), -1), r"\.[^.]*$", "")
     d = paths.select(path, label.alias("label"), stem.alias("stem"))
     d = d.where(F.col("label").isNotNull() & (F.col("label") != ""))
-    prefix = F.substring(path, 1, 24)
-    d = row_index(d, ["label"], [path], prefix, "label_index")
-    return row_index(d, [], ["label", path], F.struct(F.col("label"), prefix), "global_index")
-
-
+    d = row_index(d, ["label"], [path], lambda x: x.withColumn(BUCKET, text_bucket(x, path)), "label_index")
+    return row_index(d, [], ["label", path], lambda x: x.withColumn(BUCKET, F.struct(F.col("label"), text_bucket(x, path))), "global_index")

@@ -39,6 +39,16 @@ def constant_share(df: DataFrame, columns: Sequence[str], missing: str = "raise"
 
 def constant_features(df: DataFrame, columns: Sequence[str], tol: float = 1.0, missing: str = "raise") -> DataFrame:
     """Features whose most frequent value has a share of at least ``tol``."""
+    if tol == 1.0 and missing != "include":
+        # strictly constant: two running extremes instead of a count per value
+        per = unpivoted(df, columns, []).groupBy("feature").agg(
+            F.count("value").alias("n"), F.count(F.lit(1)).alias("rows"), (F.min("value") == F.max("value")).alias("c")
+        )
+        same = F.col("c")
+        if missing == "raise":
+            bad = F.raise_error(F.concat(F.lit("missing values in "), F.col("feature"))).cast("boolean")
+            same = F.when(F.col("n") < F.col("rows"), bad).otherwise(same)
+        return per.where(same).select("feature", F.lit(1.0).alias("top_share"), "n")
     return constant_share(df, columns, missing).where(F.col("top_share") >= tol)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.columns import r6
 from cohortry.functions.curves import interp_grid, linspace
+from cohortry.functions.rows import keep_first
 from cohortry.operators import assemble, prep
 from cohortry.plans.registry import query, rounded as R
 from cohortry.plans.views import FEATURES, V, with_views
@@ -138,7 +139,8 @@ def _subject_sides(v: V):
 
 @query("subject_merge", f"WITH {SUBJECTS} SELECT sid, ord, total, balance FROM lf LEFT JOIN rt USING (sid)")
 def subject_merge(spark, folder):
-    return assemble.subject_merge(*_subject_sides(V(spark, folder)), "sid", "ord")
+    left, right = _subject_sides(V(spark, folder))
+    return assemble.subject_merge(keep_first(left, ["sid"], [F.col("ord")]), right, "sid", "ord")
 
 
 @query(

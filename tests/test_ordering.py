@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.functions import ordering
-from cohortry.operators import metrics, risk, splits
+from cohortry.operators import assemble, metrics, risk, select, splits
 from cohortry.plans.views import V
 
 from .conftest import SF
@@ -53,9 +53,7 @@ def test_grouped_quantiles(spark, monkeypatch):
     assert small == large
 
 
-@pytest.mark.parametrize("driver_values", [0, 200_000])
-def test_column_quantiles_match_numpy(spark, monkeypatch, driver_values):
-    monkeypatch.setattr(ordering, "DRIVER_VALUES", driver_values)
+def test_column_quantiles_match_numpy(spark):
     d = V(spark, SF).missing()
     qs = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
     got = ordering.column_quantiles(d, ["price", "tax", "discount"], qs, accuracy=200)
@@ -94,3 +92,41 @@ def test_null_groups_survive_every_size(spark, monkeypatch):
     small = rows(ends())
     monkeypatch.setattr(ordering, "GROUP_LIMIT", 5)
     assert small == rows(ends()) and len(small) == 2
+
+
+def test_text_order_by_buckets_equals_one_window(spark, monkeypatch):
+    rows = [(f"folder {i % 3}" if i % 7 else None, f"https://one.example/shared/beginning/{i * 37 % 101:03d}.edf") for i in range(101)]
+    paths = spark.createDataFrame(rows, "folder string, path string")
+    groups = spark.createDataFrame([(str(i % 2), f"S1-{i:04d}") for i in range(60)], "label string, subject_id string")
+
+    def all_three():
+        a = assemble.folder_index(paths, F.col("folder"))
+        b = assemble.group_dimension(groups)
+        c = assemble.label_map(paths.select(F.col("path").alias("label")))
+        return [sorted(map(tuple, d.collect())) for d in (a, b, c)]
+
+    whole = all_three()
+    assert [len(x) for x in whole] == [86, 60, 101]
+    monkeypatch.setattr(ordering, "GROUP_LIMIT", 2)
+    assert all_three() == whole
+    monkeypatch.setattr(ordering, "EDGE_SAMPLE", 3)
+    assert all_three() == whole
+
+
+def test_subject_merge_keeps_the_left_rows(spark):
+    left = spark.createDataFrame([(" a", 1), ("b ", 2), (None, 3), (None, 4)], "sid string, ord int")
+    right = spark.createDataFrame([("a", 9, 0.5), ("a ", 8, 0.25), (None, 7, 0.1)], "sid string, ord int, v double")
+    got = sorted(map(tuple, assemble.subject_merge(left, right, "sid", "ord").collect()), key=lambda r: r[1])
+    assert got == [("a", 1, 0.25), ("b", 2, None), (None, 3, None), (None, 4, None)]
+    with pytest.raises(ValueError):
+        assemble.subject_merge(right, left, "sid", "ord")
+
+
+def test_gaps_and_constants(spark):
+    ids = spark.createDataFrame([(0,), (3,), (None,)], "group_id long")
+    assert sorted(r[0] for r in assemble.group_gaps(ids).collect()) == [1, 2]
+    assert assemble.group_gaps(ids.limit(0)).count() == 0
+    d = spark.createDataFrame([(1.0, None, 2.0), (1.0, None, 3.0), (None, None, 2.0)], "a double, b double, c double")
+    assert [tuple(r) for r in select.constant_features(d, ["a", "b", "c"], missing="ignore").collect()] == [("a", 1.0, 2)]
+    with pytest.raises(Exception, match="missing values"):
+        select.constant_features(d, ["a"]).collect()
