@@ -37,7 +37,8 @@ LEAST_WEIGHT = 0.1
 LEAST_Z = 4.5
 #: How far below zero the corrected part of the risk may go; covers the sampling error of the prior.
 SLACK = 0.05
-_CACHE = 400_000
+#: Words remembered at a time; more cost memory and save little, as most words of a corpus are rare.
+_CACHE = 60_000
 _EDGE = b".,;:!?#*$%&<>|\"'()[]-_"
 
 
