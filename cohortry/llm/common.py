@@ -43,11 +43,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a derived table once to the shared folder and read it from there: no lineage, known size."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Documents in an Arrow batch; a batch of whole texts is held by the JVM and by the Python worker.
+TEXT_BATCH = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def keep(df: DataFrame, name: str = "table", batch: int | None = None) -> DataFrame:
+    """Write a derived table once to the shared folder and read it from there: no lineage, known size.
+
+    ``batch`` is the number of rows of the Arrow batches while the table is written.
+    """
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(_BATCH_KEY, None)
+    if batch is not None:
+        spark.conf.set(_BATCH_KEY, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch is not None and before is None:
+            spark.conf.unset(_BATCH_KEY)
+        elif batch is not None:
+            spark.conf.set(_BATCH_KEY, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fold(key: str, n: int) -> Column:

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortry.llm.common import keep
+from cohortry.llm.common import TEXT_BATCH, keep
 
 CAPACITY = 4096
 END_ID = 1
@@ -269,7 +269,7 @@ def cut_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces with their sequence_id and offset; a sequence's pieces follow each other without gaps from 0."""
-    pieces = keep(cut_documents(docs, doc_id, text, tokenizer, capacity, end_id).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")), "pieces")
+    pieces = keep(cut_documents(docs, doc_id, text, tokenizer, capacity, end_id).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")), "pieces", TEXT_BATCH)
     parts = keep(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "parts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = keep(parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("length").alias("l"), F.col("part").alias("k"), "base"), "base")

@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortry.llm.common import components, join_on, keep, text_of
+from cohortry.llm.common import TEXT_BATCH, components, join_on, keep, text_of
 
 SHINGLE = 3
 SEED = 42
@@ -114,7 +114,7 @@ def _crowd_links(prints: DataFrame, limit: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, bucket: int = BUCKET) -> DataFrame:
     """A row per document: doc_id, text_hash, fp (signed), component_id."""
-    rows = keep(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), fingerprint_column(text).alias("fp")), "prints")
+    rows = keep(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), fingerprint_column(text).alias("fp")), "prints", TEXT_BATCH)
     roots = components(fingerprint_links(rows, limit, bucket))
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     placed = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
