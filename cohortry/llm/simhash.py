@@ -11,6 +11,11 @@ Its members go another, equally exact way: two fingerprints differ in at most tw
 value lies within one bit of both, so each member meets the smallest member at the 65 values around it;
 at most 65 members share such a value. Components are the same, and no group is ever paired out.
 
+Near duplicates are dropped on another contract: sets of five-word shingles with a Jaccard similarity of at
+least 0.8. Two such sets share a shingle among the first fifth of either in any common order, so the pairs that
+share one are all candidates; sizes and parity bits discard pairs that cannot reach the similarity, and the sets
+of the others are compared. Nothing is estimated: every pair this alike is linked, directly or by others.
+
 Nulls: a null text has no words and fingerprint zero, like an empty one. Null ids never become a component
 id unless no member has one. Empty tables give empty results; repeated rows are kept and share a component.
 """
@@ -18,7 +23,7 @@ id unless no member has one. Empty tables give empty results; repeated rows are
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -35,6 +40,15 @@ BUCKET = 48
 BLOCK_BITS = 16
 _SLICE = 1 << 16
 
+#: Dropping near duplicates: words a shingle and the least Jaccard similarity, as a fraction.
+WIDTH = 5
+ALIKE = (4, 5)
+#: Bits of the parities, leaders of a large bucket, texts of the sample and the most common shingles it names.
+PARITY = 256
+LEADERS = 8
+SAMPLE = 5000
+COMMON = 100_000
+
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
@@ -123,15 +137,136 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(by_print, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is that of their component; all columns are kept.
+def shingle_codes(text: str | None, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct XXH64 values of the word shingles; a shorter text is one shingle, no words are none."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[a : a + width]), seed) for a in range(n)), dtype=np.uint64, count=n))
+
+
+def _least_shared(n: int) -> int:
+    """Shingles that a set of ``n`` shares at least with any set of Jaccard similarity ALIKE."""
+    return -(-n * ALIKE[0] // ALIKE[1])
+
+
+def _sketches(common: np.ndarray) -> Callable[[Column], Column]:
+    """Set hash, size, parities and prefix of the shingles of a text.
+
+    Parity bits of two sets differ in at most as many places as the sets have elements of their own. The prefix
+    holds the first shingles in one order for all texts, ``common`` ones last: so many that two sets as alike as
+    ALIKE share one of them.
+    """
+    where = np.argsort(common)
+    ordered = common[where]
+
+    @F.pandas_udf("sig long, n int, parity array<long>, prefix array<long>")
+    def sketch(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            out = []
+            for t in texts:
+                codes = shingle_codes(t)
+                bits = np.bincount((codes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+                parity = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+                rank = np.full(len(codes), -1, dtype=np.int64)
+                if len(ordered) and len(codes):
+                    at = np.minimum(np.searchsorted(ordered, codes), len(ordered) - 1)
+                    rank = np.where(ordered[at] == codes, where[at], -1)
+                first = codes[np.lexsort((codes, rank))][: len(codes) - _least_shared(len(codes)) + 1]
+                out.append((_signed(xxhash.xxh64_intdigest(codes.tobytes(), SEED)), len(codes), parity, first.view(np.int64)))
+            yield pd.DataFrame(out, columns=["sig", "n", "parity", "prefix"])
+
+    return sketch
+
+
+def _codes_column(text: str) -> Column:
+    @F.pandas_udf("array<long>")
+    def codes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([shingle_codes(t).view(np.int64) for t in texts], dtype="object")
+
+    return codes(F.col(text))
+
+
+def _common_shingles(docs: DataFrame, text: str) -> np.ndarray:
+    """The commonest shingles of a sample, rarest first. They set the order of the prefixes only: any order finds the same pairs."""
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.select(text_of(text).alias("text")).where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(step)) == 0).distinct()
+    each = keep(some.select(_codes_column("text").alias("codes")), "sample", TEXT_BATCH).select(F.explode("codes").alias("h"))
+    top = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "h").limit(COMMON).collect()
+    return np.array([r.h for r in reversed(top)], dtype=np.int64).view(np.uint64)
+
+
+def _possible(pairs: DataFrame) -> DataFrame:
+    """Distinct ``a < b`` of candidates whose sizes and parities allow the similarity."""
+    apart = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    # a Jaccard similarity of s leaves (1 - s) / (1 + s) of the summed sizes as elements of one set only
+    fits = (F.least("na", "nb") * ALIKE[1] >= F.greatest("na", "nb") * ALIKE[0]) & (apart * (ALIKE[1] + ALIKE[0]) <= (F.col("na") + F.col("nb")) * (ALIKE[1] - ALIKE[0]))
+    return pairs.where(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, heads: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The candidates that are alike, by the shingles of one document for each set."""
+    pairs = keep(pairs, "candidates")
+    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    wanted = keep(heads.join(sigs, "sig", "left_semi").select("sig", "doc_id", "text_hash"), "compared")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), F.col(text).alias("text"))
+    found = join_on(texts, wanted, ["doc_id", "text_hash"]).select("sig", "text")
+    sets = keep(found.select("sig", _codes_column("text").alias("codes")), "sets", TEXT_BATCH).dropDuplicates(["sig"])
+    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("codes").alias("ca")), "a").join(sets.select(F.col("sig").alias("b"), F.col("codes").alias("cb")), "b")
+    shared = F.size(F.array_intersect("ca", "cb"))
+    return keep(both.where(shared * (ALIKE[0] + ALIKE[1]) >= (F.size("ca") + F.size("cb")) * ALIKE[0]).select("a", "b"), "alike")
+
+
+def alike_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, sig) of ``docs`` and one row for each shingle set: sig, head's doc_id and text_hash, root.
+
+    Sets share a root exactly if pairs of a Jaccard similarity of at least ALIKE connect them. Candidates share a
+    prefix shingle. The members of a shingle with more than ``bucket`` of them first meet LEADERS members each; after
+    that only pairs across groups are compared, so a family of near copies is not paired out.
+    """
+    sketch = _sketches(_common_shingles(docs, text))
+    rows = keep(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), sketch(F.col(text)).alias("s")).select("doc_id", "text_hash", "s.*"), "shingles", TEXT_BATCH)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("head")
+    heads = keep(rows.groupBy("sig").agg(first, F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")).select("sig", "head.doc_id", "head.text_hash", "n", "parity", "prefix"), "heads")
+    spots = heads.select("sig", F.explode("prefix").alias("h"))
+    counts = keep(spots.groupBy("h").agg(F.count("*").alias("c"), *[F.min_by("sig", F.xxhash64("sig", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]).where("c > 1"), "counts")
+    marks = heads.select("sig", "n", "parity")
+    live = keep(spots.join(counts.withColumnRenamed("h", "k"), F.col("h") == F.col("k")).drop("k"), "live")
+    left = lambda d: d.join(marks, "sig").withColumnsRenamed({"sig": "a", "n": "na", "parity": "pa"})
+    right = lambda d: d.join(marks, "sig").withColumnsRenamed({"sig": "b", "n": "nb", "parity": "pb"})
+    few = live.where(F.col("c") <= bucket).select("h", "sig")
+    pairs = few.join(few.select(F.col("h").alias("k"), F.col("sig").alias("b")), (F.col("h") == F.col("k")) & (F.col("sig") < F.col("b"))).select(F.col("sig").alias("a"), "b")
+    many = live.where(F.col("c") > bucket)
+    led = many.select(F.col("sig").alias("a"), F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("b"))
+    met = pairs.union(led).distinct()
+    links = _alike(_possible(right(left(met.withColumnRenamed("a", "sig")).withColumnRenamed("b", "sig"))), heads, docs, doc_id, text)
+    roots = keep(components(links), "roots")
+    placed = lambda d: d.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    crowd = keep(left(placed(many.select("h", "sig"))), "crowd")
+    split = crowd.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    crowd = keep(crowd.join(split, "h", "left_semi"), "split")
+    other = crowd.select(F.col("h").alias("k"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb"), F.col("root").alias("other"))
+    across = _possible(crowd.join(other, (F.col("h") == F.col("k")) & (F.col("root") < F.col("other"))))
+    more = _alike(across, heads, docs, doc_id, text)
+    if more.limit(1).count():
+        roots = keep(components(links.union(more)), "roots")
+    return rows.select("doc_id", "text_hash", "sig"), placed(heads.select("sig", "doc_id", "text_hash"))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """One row of ``docs`` for each component of texts with a Jaccard similarity of at least ALIKE; all columns are kept.
 
-    A component without any id keeps its rows with the smallest text hash. Repeated rows count as copies.
+    It is a row with the component's smallest id, nulls last, and among these the smallest text hash. Rows without an
+    id are rows like others, and so are different texts under one id. Repeated rows count as copies.
     """
-    placed = near_duplicates(docs, doc_id, text)
-    mine = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    staying = keep(mine.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("n")), "staying")
+    rows, placed = alike_roots(docs, doc_id, text, bucket)
+    heads = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("head"))
+    staying = keep(heads.select("head.doc_id", "head.text_hash"), "staying")
+    twice = rows.groupBy("doc_id", "text_hash").count().where("count > 1").drop("count")
+    again = join_on(staying, twice, ["doc_id", "text_hash"], "left_semi").limit(1).count()
     kept = docs.withColumn("__h", F.xxhash64(text_of(text)))
     wanted = staying.select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias("__h")).hint("shuffle_hash")
-    kept = join_on(kept, wanted, [doc_id, "__h"], "left_semi").drop("__h")
-    return kept.dropDuplicates([doc_id]) if staying.where("n > 1").limit(1).count() else kept
+    kept = join_on(kept, wanted, [doc_id, "__h"], "left_semi")
+    return (kept.dropDuplicates([doc_id, "__h"]) if again else kept).drop("__h")

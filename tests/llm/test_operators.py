@@ -157,6 +157,47 @@ def test_one_of_each_group_stays(spark):
     assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(docs).collect()) == ["1", "2", "5"]
 
 
+def brute_alike(texts):
+    """Root of every text by the Jaccard similarity of five-word shingles, all pairs compared."""
+    sets = {}
+    for t in texts:
+        w = re.findall(BLANK, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[t] = frozenset(" ".join(w[a : a + 5]) for a in range(max(1, len(w) - 4))) if w else frozenset()
+    root = {t: t for t in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(root, 2):
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            root[find(a)] = find(b)
+    return {t: find(t) for t in root}
+
+
+def edited(base, times, seed):
+    rng = random.Random(seed)
+    out = list(base)
+    for k in range(times):
+        out[rng.randrange(len(out))] = f"new{seed}_{k}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("bucket", [48, 2])
+def test_near_duplicates_go_by_shingle_similarity(spark, bucket):
+    texts = [x for x in ODD if x[0] not in (None, 7)]
+    for k, (size, n) in enumerate([(300, 30), (120, 40), (30, 6), (8, 6)]):
+        base = words(size, 100 + k, 9999)
+        texts += [(100 * (k + 1) + i, edited(base, i % (1 + size // 20), 1000 * k + i)) for i in range(n)]
+    texts += [(900 + i, " ".join([*words(20 + i, 70, 9999)[:20], *words(2 + i, 80 + i, 9999)])) for i in range(12)]
+    roots, least = brute_alike(t for _, t in texts), {}
+    for i, t in texts:
+        least[roots[t]] = min(i, least.get(roots[t], i))
+    got = sorted(r.doc_id for r in simhash.drop_near_duplicates(table(spark, texts), bucket=bucket).collect())
+    assert got == sorted(least.values()) and 20 < len(got) < len(texts) - 20
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
