@@ -198,6 +198,17 @@ def test_near_duplicates_go_by_shingle_similarity(spark, bucket):
     assert got == sorted(least.values()) and 20 < len(got) < len(texts) - 20
 
 
+def test_rows_without_id_are_rows_of_their_own(spark):
+    texts = [" ".join(words(40, 200 + i, 9999)) for i in range(6)]
+    item = " ".join(words(20, 300, 9999))
+    rows = [*[(None, t) for t in texts], (None, texts[0]), (1, texts[1]), (2, texts[4] + " a"), (2, "another text under one id"), (None, f"{texts[5]} {item}")]
+    got = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(table(spark, rows)).collect()]
+    want = [(None, t) for t in (texts[0], texts[2], texts[3], texts[5])] + [(1, texts[1]), (2, texts[4] + " a"), (2, "another text under one id"), (None, f"{texts[5]} {item}")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    clean = decontam.drop_contaminated(table(spark, [*rows, (2, item)]), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(str((r.doc_id, r.text)) for r in clean.collect()) == sorted(map(str, rows[:-1]))
+
+
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
