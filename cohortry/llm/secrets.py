@@ -1,8 +1,8 @@
 """Secret scans over a blob ledger, in DataFrame functions only.
 
 Every version of every path is addressed by the SHA-256 of its content. Only (blob, rule version)
-pairs that the ledger does not list are scanned, each blob once however many paths hold it; findings
-are then joined back to all paths.
+pairs that the ledger does not list are scanned, each blob once however many paths hold it. Their findings
+are stored beside the ledger; stored and new ones together are joined back to all paths.
 
 Positions come from the text between the matches: the n-th match starts after the n pieces that a
 split at the pattern leaves before it and the n-1 earlier matches. Offsets count code points, ends are
@@ -68,20 +68,20 @@ def _matches(rule: Rule) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Findings of ``blobs(blob, content, seen)``: blob, kind, rank, start, end.
+    """Findings of ``blobs(blob, content, seen)``: blob, kind, version, rank, start, end.
 
     ``seen`` lists the rule tags already run on the blob; those rules are skipped.
     """
     cases = []
     for rank, rule in enumerate(rules):
         fresh = F.col("seen").isNull() | ~F.array_contains("seen", rule.tag)
-        cases.append(F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least"), F.when(fresh, _matches(rule)).alias("found")))
+        cases.append(F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), F.lit(rule.least).alias("least"), F.when(fresh, _matches(rule)).alias("found")))
     each = blobs.select("blob", F.explode(F.array(*cases)).alias("r")).where("r.found is not null")
-    rows = each.select("blob", "r.rank", "r.kind", "r.least", F.posexplode("r.found").alias("pos", "m"))
-    rows = rows.select("blob", "rank", "kind", "least", "pos", "m.gap", "m.hit", "m.tested")
+    rows = each.select("blob", "r.rank", "r.kind", "r.version", "r.least", F.posexplode("r.found").alias("pos", "m"))
+    rows = rows.select("blob", "rank", "kind", "version", "least", "pos", "m.gap", "m.hit", "m.tested")
     so_far = Window.partitionBy("blob", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = rows.where("hit is not null").withColumn("end", F.sum(F.col("gap") + F.col("hit")).over(so_far))
-    return ends.where("tested >= least").select("blob", "kind", "rank", (F.col("end") - F.col("hit")).alias("start"), "end")
+    return ends.where("tested >= least").select("blob", "kind", "version", "rank", (F.col("end") - F.col("hit")).alias("start"), "end")
 
 
 def unseen_blobs(versions: DataFrame, ledger: DataFrame | None, rules: Sequence[Rule] = RULES, content: str = "text") -> DataFrame:
@@ -129,9 +129,32 @@ def per_blob(found: DataFrame, base: Sequence[Rule] = BASE) -> DataFrame:
     )
 
 
-def scan_versions(versions: DataFrame, path: str = "doc_id", content: str = "text", ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Every row of ``versions`` with its findings: path, counts, base_sha256, spans, blob."""
+def stored_findings(versions: DataFrame, ledger: DataFrame, findings: DataFrame, rules: Sequence[Rule] = RULES, content: str = "text") -> DataFrame:
+    """Findings of earlier runs for the contents of ``versions`` and ``rules``, in the columns of ``scan_blobs``.
+
+    Only pairs that the ledger lists count: findings stored without their ledger rows are scanned again. Repeats are one.
+    """
+    tag = F.concat_ws("@", F.col("kind"), F.col("version").cast("string"))
+    order = F.create_map(*[F.lit(x) for rank, r in enumerate(rules) for x in (r.tag, rank)])
+    mine = findings.where(tag.isin([r.tag for r in rules])).select("blob", "kind", F.col("version").cast("int").alias("version"), order[tag].alias("rank"), "start", "end").distinct()
+    listed = ledger.select("blob", "kind", F.col("version").cast("int").alias("version"))
+    here = versions.select(address(versions, content).alias("blob"))
+    return mine.join(listed, ["blob", "kind", "version"], "left_semi").join(here, "blob", "left_semi")
+
+
+def scan_versions(
+    versions: DataFrame, path: str = "doc_id", content: str = "text", ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES, findings: DataFrame | None = None
+) -> DataFrame:
+    """Every row of ``versions`` with its findings: path, counts, base_sha256, spans, blob.
+
+    With a ledger only unseen pairs are scanned, and ``findings``, the stored results of ``scan_new`` for the pairs
+    that it lists, give the others.
+    """
+    if ledger is not None and findings is None:
+        raise ValueError("pairs that the ledger lists are not scanned again: their stored findings are needed")
     found, _ = scan_new(versions, ledger, rules, content)
+    if ledger is not None:
+        found = found.unionByName(stored_findings(versions, ledger, findings, rules, content))
     summary = keep(per_blob(found).drop("clear", "tail"), "findings")
     rows = versions.select(F.col(path), address(versions, content).alias("blob"))
     joined = rows.join(summary.withColumnRenamed("blob", "__blob"), F.col("blob") == F.col("__blob"), "left")
