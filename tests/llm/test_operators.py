@@ -290,6 +290,21 @@ def test_leaks_are_found_with_replaced_words(spark, per_slice):
     assert kept.count() == len(texts) - 4 and kept.columns == table(spark, texts).columns
 
 
+def test_short_items_are_found_with_every_word_they_may_lose(spark):
+    items, texts, want = [], [], set()
+    for n in range(decontam.SHORTEST, decontam.WINDOW + 1):
+        item = words(n, 500 + n, 99999)
+        items.append((n, " ".join(item)))
+        for at in range(n):
+            texts.append((100 * n + at, " ".join(["aa", *item[:at], "zz", *item[at + 1 :], "bb"])))
+            if 13 * (n - 1) >= 11 * n:
+                want.add((100 * n + at, n))
+        texts.append((100 * n + 99, " ".join(["aa", *item, "bb"])))
+        want.add((100 * n + 99, n))
+    found = decontam.matches(table(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_packing_is_exact(spark):
     tokenizers = pytest.importorskip("tokenizers")
     tok = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
