@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 from cohortry.functions.hashing import hash_bucket, hash_key
 from cohortry.functions.ordering import row_index
 from cohortry.operators.metrics import ranking_metrics
-from cohortry.operators.select import _eliminate, _matrix, constant_share, correlation_pairs, greedy_prune, pearson_pairs
+from cohortry.operators.select import constant_share, correlation_pairs, correlation_states, greedy_prune, vif_history
+from cohortry.session import cut_lineage
 
 ESTIMATORS: dict[str, Callable[..., object]] = {
     "logistic": LogisticRegression,
@@ -176,17 +177,12 @@ def fold_vif(
 ) -> DataFrame:
     """VIF elimination per fold; one history row per threshold, fold and step."""
     fold = ["trial", "outer_fold"]
-    d = _train_rows(df, plan, columns, row).dropna(subset=list(columns))
-    pairs: dict[tuple, list] = {}
-    for t, f, a, b, r in pearson_pairs(d, columns, fold).collect():
-        pairs.setdefault((t, f), []).append((a, b, r))
-    out = []
+    states = cut_lineage(correlation_states(_train_rows(df, plan, columns, row), columns, fold))
+    out = None
     for limit in thresholds:
-        for cell, rows in sorted(pairs.items()):
-            kept, log = _eliminate([_matrix(rows, columns)], columns, limit, cap)
-            out += [(float(limit), *cell, *step) for step in log]
-    schema = "threshold double, trial int, outer_fold int, step int, removed string, vif double"
-    return df.sparkSession.createDataFrame(out, schema)
+        one = vif_history(states, columns, limit, cap).select(F.lit(float(limit)).alias("threshold"), *fold, "step", "removed", "vif")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def features_table(spark, chosen: Mapping[tuple[int, int], Sequence[str]]) -> DataFrame:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from cohortry.functions.hashing import hash_bucket, hash_key, hash_mod
 from cohortry.functions.ordering import row_index, value_runs
+from cohortry.functions.rows import join_same
+from cohortry.operators import gram, sweep
 from cohortry.operators.prep import unpivoted
+from cohortry.session import cut_lineage
 
-MAX_DRIVER_FEATURES = 20_000
 VIF_CAP = 1e6
 
 
@@ -113,6 +117,9 @@ def one_row_per_group(df: DataFrame, seed: int = 0, group: str = "group_id", row
 
 # ------------------------------------------------------------- correlation
 
+#: Pairs that plain grouped sums take in one pass; beyond, pairs are tiles of a blocked Gram matrix, also in one.
+NARROW = 150
+
 
 def _pair_sums(a: Column, b: Column) -> dict[str, Column]:
     both = a.isNotNull() & b.isNotNull()
@@ -120,14 +127,6 @@ def _pair_sums(a: Column, b: Column) -> dict[str, Column]:
     return {"n": F.count(x), "x": F.sum(x), "y": F.sum(y), "xx": F.sum(x * x), "yy": F.sum(y * y), "xy": F.sum(x * y)}
 
 
-def _corr_from_sums(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
-    """Pearson r; 0 where a side does not vary."""
-    vx, vy, c = xx - x * x / n, yy - y * y / n, xy - x * y / n
-    flat = (vx <= 1e-12 * F.greatest(xx, F.lit(1e-300))) | (vy <= 1e-12 * F.greatest(yy, F.lit(1e-300)))
-    r = F.when(flat, 0.0).otherwise(F.try_divide(c, F.sqrt(vx * vy)))
-    return F.coalesce(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)), F.lit(0.0))
-
-
 def _pairs_to_rows(sums: DataFrame, pairs, keys: Sequence[str]) -> DataFrame:
     cols = [
         F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"s{i}").alias("s"))
@@ -141,28 +140,33 @@ def _centers(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: row[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
 
 
-def pearson_pairs(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), chunk: int = 150, centers: Mapping[str, float] | None = None
-) -> DataFrame:
+def is_narrow(columns: Sequence[str]) -> bool:
+    return len(columns) * (len(columns) - 1) // 2 <= NARROW
+
+
+def wide_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), values: Column | None = None) -> DataFrame:
+    """Pearson r of every pair of any number of columns, from one scan (see ``gram``)."""
+    r = gram.correlation(*[F.col(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    return gram.pair_sums(df, columns, keys, values).select(*keys, "feature_a", "feature_b", r.alias("r"))
+
+
+def pearson_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), centers: Mapping[str, float] | None = None) -> DataFrame:
     """(keys, feature_a, feature_b, r) for a before b, over rows with both values.
 
-    Map-side combined sums of products, ``chunk`` pairs per pass.  Values are
-    centred on the column mean (or the given ``centers``) first, which leaves r
-    unchanged and the sums small.
+    Map-side combined sums of products.  Values are centred on the column mean (or the
+    given ``centers``) first, which leaves r unchanged and the sums small.
     """
     columns, keys = list(columns), list(keys)
+    if not is_narrow(columns):
+        return wide_pairs(df, columns, keys)
     means = _centers(df, columns) if centers is None else centers
     d = df.select(*keys, *[(F.col(c) - F.lit(means[c])).alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
-    out = None
-    for start in range(0, len(pairs), chunk):
-        part = pairs[start : start + chunk]
-        aggs = []
-        for i, (a, b) in enumerate(part):
-            aggs.append(F.struct(*[v.alias(k) for k, v in _pair_sums(F.col(a), F.col(b)).items()]).alias(f"s{i}"))
-        rows = _pairs_to_rows(d.groupBy(*keys).agg(*aggs), part, keys)
-        out = rows if out is None else out.unionByName(rows)
-    r = _corr_from_sums(*[F.col("s")[k] for k in ("n", "x", "y", "xx", "yy", "xy")])
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        aggs.append(F.struct(*[v.alias(k) for k, v in _pair_sums(F.col(a), F.col(b)).items()]).alias(f"s{i}"))
+    out = _pairs_to_rows(d.groupBy(*keys).agg(*aggs), pairs, keys)
+    r = gram.correlation(*[F.col("s")[k] for k in ("n", "x", "y", "xx", "yy", "xy")])
     return out.select(*keys, "feature_a", "feature_b", r.alias("r"))
 
 
@@ -179,6 +183,18 @@ def average_ranks(df: DataFrame, columns: Sequence[str], row: str = "row_id", ke
     return ranked.groupBy(row, *keys).agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in columns])
 
 
+def rank_arrays(df: DataFrame, columns: Sequence[str], row: str = "row_id", keys: Sequence[str] = ()) -> DataFrame:
+    """(row, keys, ranks): the average ranks of ``columns`` as one array, for tables too wide for a column each."""
+    keys = list(keys)
+    long = df.select(row, *keys, F.posexplode(gram.packed_columns(columns)).alias("position", "value"))
+    runs = value_runs(long, [*keys, "position"], "value")
+    ranks = runs.select(*keys, "position", "value", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
+    ranked = join_same(long, ranks, [*keys, "position", "value"], "left")
+    # one entry for each column, so sorting by position puts every rank in its place
+    entries = F.array_sort(F.collect_list(F.struct("position", "rank")))
+    return ranked.groupBy(row, *keys).agg(F.transform(entries, lambda e: e["rank"]).alias("ranks"))
+
+
 def correlation_pairs(
     df: DataFrame, columns: Sequence[str], method: str = "spearman", row: str = "row_id", keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -189,9 +205,11 @@ def correlation_pairs(
     if method == "pearson":
         return pearson_pairs(df, columns, keys)
     if method == "spearman":
-        n, *present = df.agg(F.count(F.lit(1)), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-        if any(p < n for p in present):
+        n, gaps = df.agg(F.count(F.lit(1)), F.count_if(has_gap(columns))).first()
+        if gaps:
             return _spearman_complete(df, columns, row, keys)
+        if not is_narrow(columns):
+            return wide_pairs(rank_arrays(df, columns, row, keys), columns, keys, F.col("ranks"))
         # the mean rank of a whole column is known; within keys ranks are small
         middle = 0.0 if keys else (n + 1) / 2
         return pearson_pairs(average_ranks(df, columns, row, keys), columns, keys, centers=dict.fromkeys(columns, middle))
@@ -204,6 +222,11 @@ def correlation_pairs(
     raise ValueError(f"unknown correlation {method!r}")
 
 
+def has_gap(columns: Sequence[str]) -> Column:
+    """Does the row miss any of the values?"""
+    return F.exists(F.array(*[F.col(c).isNull() for c in columns]), lambda gone: gone)
+
+
 def _spearman_complete(df: DataFrame, columns: Sequence[str], row: str, keys: Sequence[str]) -> DataFrame:
     pair = lambda a, b: F.struct(
         F.lit(a).alias("__a"), F.lit(b).alias("__b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")
@@ -236,7 +259,6 @@ def greedy_prune(pairs: DataFrame, columns: Sequence[str], threshold: float = 0.
 
     Only pairs at or above the threshold reach the driver.
     """
-    _check_width(columns)
     rows = collinear_pairs(pairs, threshold).select("feature_a", "feature_b", "r").collect()
     position = {c: i for i, c in enumerate(columns)}
     partners: dict[str, list] = {}
@@ -254,107 +276,133 @@ def greedy_prune(pairs: DataFrame, columns: Sequence[str], threshold: float = 0.
     return [c for c in columns if c not in removed], frame
 
 
-def _check_width(columns: Sequence[str]) -> None:
-    if len(columns) > MAX_DRIVER_FEATURES:
-        raise ValueError(f"{len(columns)} features: the p x p step is limited to {MAX_DRIVER_FEATURES}")
+# ------------------------------------------------------------------- VIF
 
 
-# ------------------------------------------------------------------- VIF
+def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.dropna(subset=list(columns))
 
 
-def _matrix(rows, columns: Sequence[str]) -> np.ndarray:
-    index = {c: i for i, c in enumerate(columns)}
-    r = np.eye(len(columns))
-    for a, b, v in rows:
-        r[index[a], index[b]] = r[index[b], index[a]] = v
-    return r
-
-
-def vif_of(r: np.ndarray, cap: float = VIF_CAP) -> np.ndarray:
-    """Diagonal of the inverse correlation matrix, capped where it is singular."""
-    if len(r) == 1:
-        return np.ones(1)
-    out = np.full(len(r), cap)
-    try:
-        d = np.diag(np.linalg.inv(r))
-        ok = np.isfinite(d) & (d >= 1.0 - 1e-9) & (d < cap)
-        out[ok] = d[ok]
-        if np.linalg.cond(r) > 1e14:
-            raise np.linalg.LinAlgError
-    except np.linalg.LinAlgError:
-        for j in range(len(r)):
-            rest = [i for i in range(len(r)) if i != j]
-            fit = r[j, rest] @ np.linalg.pinv(r[np.ix_(rest, rest)]) @ r[rest, j]
-            out[j] = min(cap, 1.0 / (1.0 - fit)) if fit < 1.0 - 1.0 / cap else cap
-    return out
+def correlation_states(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, state): the correlation matrix of every group over its complete rows, one value a group."""
+    columns, keys = list(columns), list(keys)
+    place = {c: i for i, c in enumerate(columns)}
+    pairs = pearson_pairs(complete_rows(df, columns), columns, keys)
+    group = [F.col(k) for k in keys] or [F.lit(0).alias("one")]
+    fields = StructType([*[df.schema[k] for k in keys], StructField("state", BinaryType())])
 
+    def matrix(found: pd.DataFrame) -> pd.DataFrame:
+        m = np.eye(len(columns))
+        a, b = found["feature_a"].map(place).to_numpy(), found["feature_b"].map(place).to_numpy()
+        m[a, b] = m[b, a] = found["r"].to_numpy()
+        return pd.DataFrame({**{k: [found[k].iloc[0]] for k in keys}, "state": [sweep.pack(m, False)]})
 
-def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(columns))
+    return pairs.groupBy(*group).applyInPandas(matrix, fields)
+
+
+def mean_vif(states: DataFrame, gone: Sequence[int], cap: float = VIF_CAP) -> list[float]:
+    """Mean VIF over all groups of the columns that are left once ``gone`` are dropped: as many numbers as columns."""
+
+    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for state in part["state"]:
+                vif = sweep.vif(state, gone, cap)
+                yield pd.DataFrame({"position": np.arange(len(vif)), "vif": vif})
+
+    rows = states.select("state").mapInPandas(measure, "position int, vif double").groupBy("position").agg(F.avg("vif").alias("vif"))
+    return [r["vif"] for r in rows.orderBy("position").collect()]
 
 
 def vif_table(df: DataFrame, columns: Sequence[str], cap: float = VIF_CAP) -> DataFrame:
     """(feature, vif, tolerance), largest first, over rows without missing values."""
     columns = list(columns)
-    _check_width(columns)
-    rows = pearson_pairs(complete_rows(df, columns), columns).collect()
-    vif = vif_of(_matrix(rows, columns), cap)
+    vif = mean_vif(correlation_states(df, columns), [], cap) if len(columns) > 1 else [1.0] * len(columns)
     data = sorted(((c, float(v), float(1.0 / v)) for c, v in zip(columns, vif)), key=lambda t: (-t[1], t[0]))
     return df.sparkSession.createDataFrame(data, "feature string, vif double, tolerance double")
 
 
-def _eliminate(matrices: Sequence[np.ndarray], columns: Sequence[str], threshold: float, cap: float):
-    """Drop the largest mean VIF while above the threshold: each step inverts a sub-block."""
-    kept, log = list(range(len(columns))), []
-    while len(kept) > 1:
-        vif = np.mean([vif_of(m[np.ix_(kept, kept)], cap) for m in matrices], axis=0)
+#: Drops that tasks repeat on the stored matrices before the shortened ones are stored in their place.
+REFRESH = 24
+VIF_LOG = "step int, removed string, vif double"
+
+
+def eliminate(states: DataFrame, columns: Sequence[str], threshold: float, cap: float = VIF_CAP) -> tuple[list[str], list[tuple]]:
+    """Drop the column of largest mean VIF while it is above the threshold.
+
+    The matrices stay with the executors, inverted once; a drop takes a column out of the
+    inverse by the sweep operator, and only the mean VIF of each column comes back.
+    """
+    left, gone, log = list(columns), [], []
+    states = cut_lineage(states)
+    while len(left) > 1:
+        vif = mean_vif(states, gone, cap)
+        if not vif:
+            break
         worst = int(np.argmax(vif))
         if vif[worst] <= threshold:
             break
-        log.append((len(log) + 1, columns[kept[worst]], float(vif[worst])))
-        del kept[worst]
-    return [columns[i] for i in kept], log
+        log.append((len(log) + 1, left.pop(worst), float(vif[worst])))
+        gone.append(worst)
+        if len(gone) == REFRESH:
+            states, gone = cut_lineage(_shortened(states, gone)), []
+    return left, log
+
+
+def vif_history(states: DataFrame, columns: Sequence[str], threshold: float, cap: float = VIF_CAP) -> DataFrame:
+    """(keys, step, removed, vif): every group's own elimination, each in one task on its own matrix."""
+    columns, keys = list(columns), [f for f in states.schema.fields if f.name != "state"]
+    fields = StructType([*keys, StructField("step", IntegerType()), StructField("removed", StringType()), StructField("vif", DoubleType())])
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for _, row in part.iterrows():
+                log = sweep.eliminated(row["state"], threshold, cap)
+                here = {f.name: [row[f.name]] * len(log) for f in keys}
+                yield pd.DataFrame({**here, "step": range(1, len(log) + 1), "removed": [columns[k] for k, _ in log], "vif": [v for _, v in log]})
+
+    return states.mapInPandas(work, fields)
+
+
+def _shortened(states: DataFrame, gone: Sequence[int]) -> DataFrame:
+    gone = list(gone)
+
+    def shorten(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"state": [sweep.pack(*sweep.dropped(s, gone)) for s in part["state"]]})
+
+    return states.select("state").mapInPandas(shorten, "state binary")
 
 
 def vif_prune(df: DataFrame, columns: Sequence[str], threshold: float = 5.0, cap: float = VIF_CAP) -> tuple[list[str], DataFrame]:
     """Iterative elimination from one pass over the rows.
 
     With missing values the complete rows depend on the columns left, so the sums
-    are taken again after a drop; without them every step is a sub-block inverse.
+    are taken again after a drop; without them every step works on the stored inverse.
     """
-    columns = list(columns)
-    _check_width(columns)
-    schema = "step int, removed string, vif double"
-    complete = df.select(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    if not any(complete[c] for c in columns):
-        r = _matrix(pearson_pairs(df, columns).collect(), columns)
-        kept, log = _eliminate([r], columns, threshold, cap)
-        return kept, df.sparkSession.createDataFrame(log, schema)
-    kept, log = columns, []
+    kept, log = list(columns), []
+    if df.where(has_gap(kept)).isEmpty():
+        rows = vif_history(correlation_states(df, kept), kept, threshold, cap).orderBy("step").collect()
+        log = [(r["step"], r["removed"], r["vif"]) for r in rows]
+        gone = {r["removed"] for r in rows}
+        return [c for c in kept if c not in gone], df.sparkSession.createDataFrame(log, VIF_LOG)
     while len(kept) > 1:
-        r = _matrix(pearson_pairs(complete_rows(df, kept), kept).collect(), kept)
-        vif = vif_of(r, cap)
+        vif = mean_vif(correlation_states(df, kept), [], cap)
+        if not vif:
+            break
         worst = int(np.argmax(vif))
         if vif[worst] <= threshold:
             break
-        log.append((len(log) + 1, kept[worst], float(vif[worst])))
-        kept = [c for c in kept if c != kept[worst]]
-    return kept, df.sparkSession.createDataFrame(log, schema)
+        log.append((len(log) + 1, kept.pop(worst), float(vif[worst])))
+    return kept, df.sparkSession.createDataFrame(log, VIF_LOG)
 
 
 def vif_prune_grouped(
     df: DataFrame, columns: Sequence[str], n_boot: int, threshold: float = 5.0, cap: float = VIF_CAP, seed: int = 0, group: str = "group_id"
 ) -> tuple[list[str], DataFrame]:
     """Elimination by the mean VIF over samples of one row per group."""
-    columns = list(columns)
-    _check_width(columns)
     sample = bootstrap_rows(df.select("row_id", group, *columns), n_boot, seed, group)
-    rows = pearson_pairs(complete_rows(sample, columns), columns, ["boot"]).collect()
-    by: dict[int, list] = {}
-    for boot, a, b, r in rows:
-        by.setdefault(boot, []).append((a, b, r))
-    kept, log = _eliminate([_matrix(v, columns) for v in by.values()], columns, threshold, cap)
-    return kept, df.sparkSession.createDataFrame(log, "step int, removed string, vif double")
+    kept, log = eliminate(correlation_states(sample, columns, ["boot"]), columns, threshold, cap)
+    return kept, df.sparkSession.createDataFrame(log, VIF_LOG)
 
 
 def prune_features(

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from cohortry.functions.columns import r6
 from cohortry.operators import interpret as ip, models as ml, prep, scorers, splits
 from cohortry.operators.metrics import fold_metrics
+from cohortry.plans import matrix_sql as msql
 from cohortry.plans.metric_queries import rank_sql
 from cohortry.plans.registry import query, rounded as R
-from cohortry.plans.views import V, with_views
+from cohortry.plans.views import FEATURES, V, with_views
 from cohortry.sources.tables import spread
 
 TEXT = ["n_chars", "n_words", "n_lines", "n_digits", "n_upper"]
@@ -78,6 +79,8 @@ FOLDED = ["price", "discount", "net"]
 KF = """kf AS (SELECT row_id, 1 + (row_number() OVER (PARTITION BY y ORDER BY md5('outer:0:' || row_id)) - 1) % 3 AS test_fold, price, discount, net FROM mx),
   tn AS (SELECT kf.*, CAST(f AS INTEGER) AS outer_fold FROM kf, range(1, 4) t(f) WHERE f <> test_fold)"""
 
+KF_ALL = KF.replace("price, discount, net FROM", ", ".join(FEATURES) + " FROM")
+
 
 def fold_plan(m):
     """Outer folds only."""
@@ -103,23 +106,17 @@ def fold_feature_select(spark, folder):
     return ml.features_table(spark, ml.fold_feature_select(m, fold_plan(m), FOLDED))
 
 
-DET = "(1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc)"
-
-
 @query(
     "fold_vif",
     with_views(
         "mx",
-        f"""SELECT 5.0::DOUBLE AS threshold, 0 AS trial, outer_fold, 1 AS step, removed, {R('vif', 4)} AS vif FROM (
-          SELECT outer_fold, unnest(['price', 'discount', 'net']) AS removed, unnest([(1 - bc * bc) / {DET}, (1 - ac * ac) / {DET}, (1 - ab * ab) / {DET}]) AS vif
-          FROM (SELECT outer_fold, corr(price, discount) AS ab, corr(price, net) AS ac, corr(discount, net) AS bc FROM tn GROUP BY 1))
-          QUALIFY row_number() OVER (PARTITION BY outer_fold ORDER BY vif DESC) = 1 AND vif > 5""",
-        KF,
+        f"SELECT 5.0::DOUBLE AS threshold, 0 AS trial, outer_fold, step, removed, {R('vif', 4)} AS vif FROM el",
+        KF_ALL + ", " + msql.inverse("iv", "tn", FEATURES, "outer_fold") + ", bl AS (SELECT outer_fold, [a] AS bs FROM iv), " + msql.elimination("el", "bl", FEATURES, 5.0, "outer_fold"),
     ),
 )
 def fold_vif(spark, folder):
     m = V(spark, folder).matrix()
-    return ml.fold_vif(m, fold_plan(m), FOLDED).withColumn("vif", r6(F.col("vif"), 4))
+    return ml.fold_vif(m, fold_plan(m), FEATURES, (5.0,)).withColumn("vif", r6(F.col("vif"), 4))
 
 
 # ---------------------------------------------------------- interpretation

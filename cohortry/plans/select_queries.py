@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from cohortry.functions.columns import r6
 from cohortry.functions.hashing import hash_mod
 from cohortry.operators import select
+from cohortry.plans import matrix_sql as msql
 from cohortry.plans.registry import query, rounded as R
-from cohortry.plans.views import FEATURES, V, with_views
+from cohortry.plans.views import FEATURES, V, VECTOR, with_views
 
 CONST = ["zero", "pi", "per_group", "half", "mostly", "noise"]
 
@@ -181,54 +182,82 @@ def collinear_prune_grouped(spark, folder):
     return select.greedy_prune(pairs, FEATURES, 0.8)[1].withColumn("r", r6(F.col("r")))
 
 
-VIF3 = ["price", "discount", "net"]
+def _vif_of(inverses: str, columns) -> str:
+    """(feature, vif) from the diagonal of one inverse matrix."""
+    names = "[" + ", ".join(f"'{c}'" for c in columns) + "]"
+    return f"SELECT {names}[i] AS feature, a[i][i] AS vif FROM {inverses}, range(1, {len(columns) + 1}) t(i)"
 
 
-def vif_sql(src: str, cols, cond: str = "") -> str:
-    """VIF of two or three features in closed form."""
-    a, b, c = cols
-    det = "(1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc)"
-    return f"""SELECT unnest(['{a}', '{b}', '{c}']) AS feature, unnest([(1 - bc * bc) / {det}, (1 - ac * ac) / {det}, (1 - ab * ab) / {det}]) AS vif
-      FROM (SELECT corr({a}, {b}) AS ab, corr({a}, {c}) AS ac, corr({b}, {c}) AS bc FROM {src} {cond})"""
+def _vif_table_sql(view: str, columns, cond: str = "") -> str:
+    table = f"SELECT feature, {R('vif', 4)} AS vif, {R('1 / vif')} AS tolerance FROM ({_vif_of('iv', columns)})"
+    return with_views(view, table, f"cr AS (SELECT * FROM {view} {cond}), " + msql.inverse("iv", "cr", columns))
 
 
-@query(
-    "vif_table",
-    with_views(
-        "mxn",
-        f"SELECT feature, {R('vif', 4)} AS vif, {R('1 / vif')} AS tolerance FROM "
-        f"({vif_sql('mxn', VIF3, 'WHERE price IS NOT NULL AND discount IS NOT NULL AND net IS NOT NULL')})",
-    ),
-)
+@query("vif_table", _vif_table_sql("mxn", FEATURES, "WHERE price IS NOT NULL AND tax IS NOT NULL AND net IS NOT NULL"))
 def vif_table(spark, folder):
-    d = select.vif_table(V(spark, folder).missing(), VIF3)
+    d = select.vif_table(V(spark, folder).missing(), FEATURES)
     return d.withColumns({"vif": r6(F.col("vif"), 4), "tolerance": r6(F.col("tolerance"))})
 
 
+STEPS = f"SELECT step, removed, {R('vif', 4)} AS vif FROM el"
+
+
 @query(
     "vif_prune",
+    with_views("mx", STEPS, msql.inverse("iv", "mx", FEATURES) + ", bl AS (SELECT [a] AS bs FROM iv), " + msql.elimination("el", "bl", FEATURES, 5.0)),
+)
+def vif_prune(spark, folder):
+    return select.vif_prune(V(spark, folder).matrix(), FEATURES, 5.0)[1].withColumn("vif", r6(F.col("vif"), 4))
+
+
+@query(
+    "vif_prune_grouped",
     with_views(
         "mx",
-        f"SELECT 1 AS step, feature AS removed, {R('vif', 4)} AS vif FROM ({vif_sql('mx', VIF3)}) WHERE vif > 5 ORDER BY vif DESC LIMIT 1",
+        STEPS,
+        NUM.format(boots=BOOTS, seed=0) + ", " + msql.inverse("iv", "bs", FEATURES, "boot") + ", bl AS (SELECT list(a ORDER BY boot) AS bs FROM iv), " + msql.elimination("el", "bl", FEATURES, 5.0),
     ),
 )
-def vif_prune(spark, folder):
-    return select.vif_prune(V(spark, folder).matrix(), VIF3)[1].withColumn("vif", r6(F.col("vif"), 4))
+def vif_prune_grouped(spark, folder):
+    d = select.vif_prune_grouped(V(spark, folder).matrix(), FEATURES, BOOTS, 5.0)[1]
+    return d.withColumn("vif", r6(F.col("vif"), 4))
 
 
-def _boot_vif_sql() -> str:
-    a, b, c = VIF3
-    det = "(1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc)"
-    return f"""SELECT 1 AS step, feature AS removed, {R('avg(vif)', 4)} AS vif FROM (
-      SELECT boot, unnest(['{a}', '{b}', '{c}']) AS feature, unnest([(1 - bc * bc) / {det}, (1 - ac * ac) / {det}, (1 - ab * ab) / {det}]) AS vif
-      FROM (SELECT boot, corr({a}, {b}) AS ab, corr({a}, {c}) AS ac, corr({b}, {c}) AS bc FROM bs GROUP BY boot))
-      GROUP BY feature HAVING avg(vif) > 5 ORDER BY avg(vif) DESC LIMIT 1"""
+# ------------------------------------------------------------- wide tables
 
+WIDE_RANKS = "rk AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}" for c in VECTOR) + " FROM vec)"
 
-@query("vif_prune_grouped", with_views("mx", _boot_vif_sql(), NUM.format(boots=BOOTS, seed=0)))
-def vif_prune_grouped(spark, folder):
-    d = select.vif_prune_grouped(V(spark, folder).matrix(), VIF3, BOOTS)[1]
-    return d.withColumn("vif", r6(F.col("vif"), 4))
+
+def _wide_sql(src: str, more: str = "") -> str:
+    """All pairs of the vector columns from one list of correlations."""
+    names = "[" + ", ".join(f"'{c}'" for c in VECTOR) + "]"
+    body = f"""SELECT {names}[i] AS feature_a, {names}[j] AS feature_b, {R('m[i][j]')} AS r
+      FROM cm, range(1, {len(VECTOR) + 1}) s(i), range(1, {len(VECTOR) + 1}) t(j) WHERE i < j"""
+    return with_views("vec", body, (more + ", " if more else "") + f"cm AS MATERIALIZED (SELECT {msql.correlations(VECTOR)} AS m FROM {src})")
+
+
+@query("corr_wide_pearson", _wide_sql("vec"))
+def corr_wide_pearson(spark, folder):
+    return select.correlation_pairs(V(spark, folder).vectors(), VECTOR, "pearson", "vec_id").withColumn("r", r6(F.col("r")))
+
+
+@query("corr_wide_spearman", _wide_sql("rk", WIDE_RANKS))
+def corr_wide_spearman(spark, folder):
+    return select.correlation_pairs(V(spark, folder).vectors(), VECTOR, "spearman", "vec_id").withColumn("r", r6(F.col("r")))
+
+
+@query("vif_wide", _vif_table_sql("vec", VECTOR))
+def vif_wide(spark, folder):
+    d = select.vif_table(V(spark, folder).vectors(), VECTOR)
+    return d.withColumns({"vif": r6(F.col("vif"), 4), "tolerance": r6(F.col("tolerance"))})
+
+
+@query(
+    "vif_prune_wide",
+    with_views("vec", STEPS, msql.inverse("iv", "vec", VECTOR) + ", bl AS (SELECT [a] AS bs FROM iv), " + msql.elimination("el", "bl", VECTOR, 1.1)),
+)
+def vif_prune_wide(spark, folder):
+    return select.vif_prune(V(spark, folder).vectors(), VECTOR, 1.1)[1].withColumn("vif", r6(F.col("vif"), 4))
 
 
 @query(

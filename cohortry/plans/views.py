@@ -14,6 +14,7 @@ from cohortry.sources.tables import read_table, spread
 
 FEATURES = ["quantity", "price", "discount", "tax", "shipday", "net"]
 CHANNELS = ["quantity", "price", "discount", "tax"]
+VECTOR = [f"e{i}" for i in range(64)]
 EPOCH = 64
 STATE_EPOCH = 32
 N_STATES = 4
@@ -156,6 +157,11 @@ class V:
             state.alias("state"),
         )
 
+    def vectors(self) -> DataFrame:
+        """vec_id, label and the numbers of each vector as columns e0, e1, ..."""
+        e = spread(self.table("embeddings"), "vec_id")
+        return e.select("vec_id", F.col("label").cast("int").alias("y"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(VECTOR)])
+
     def documents(self) -> DataFrame:
         """Labelled documents: group = source."""
         d, l = spread(self.table("documents"), "doc_id"), self.table("labels")
@@ -237,6 +243,10 @@ VIEW_SQL = {
              WHEN 'purchase' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 END AS state
            FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t_idx FROM events)""",
     ),
+    "vec": (
+        [],
+        "SELECT vec_id, CAST(label AS INTEGER) AS y, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS {c}" for i, c in enumerate(VECTOR)) + " FROM embeddings",
+    ),
     "doc": (
         [],
         """SELECT d.doc_id, source AS label, quality AS y, toxic, lang, CAST(n_chars AS DOUBLE) AS n_chars,
@@ -260,4 +270,4 @@ def with_views(names: str, body: str, more: str = "") -> str:
     parts = [f"{n} AS MATERIALIZED ({VIEW_SQL[n][1]})" for n in order]
     if more:
         parts.append(more)
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.functions import kernels
 from cohortry.functions.curves import interp_grid
 from cohortry.functions.hashing import hash_mod
-from cohortry.operators import assemble, calibration, features, metrics, models, prep, relief, risk, scorers, select, signal, splits, states
+from cohortry.operators import assemble, calibration, features, gram, metrics, models, prep, relief, risk, scorers, select, signal, splits, states, sweep
 from cohortry.plans.views import FEATURES, V
 from cohortry.sources import bundle, scan
 from cohortry.table import FeatureTable
@@ -22,27 +22,31 @@ from .conftest import SF
 
 
 @pytest.fixture(scope="module")
-def constants(spark):
-    """Four groups of thirty rows with constants in all, half or one of the groups."""
-    noise = lambda s: (hash_mod(100000, s, F.col("id")) / 1e5).alias(f"noise_{s}")
-    g, r = F.col("id") % 4, (hash_mod(100000, "v", F.col("id")) / 1e5)
-    return spark.range(120).select(
-        F.col("id").alias("row_id"), g.alias("group_id"), (g % 2).cast("int").alias("y"),
-        F.lit(0.0).alias("global_zeros"), F.lit(math.pi).alias("global_pi"), g.cast("double").alias("group_value"),
-        F.when(g < 2, 1.0).otherwise(r).alias("half"), F.when(g == 0, 1.0).otherwise(r).alias("one"), noise("0"), noise("1"), noise("2"),
-    ).persist()
+def steady(spark):
+    """Seven groups of 3 to 21 rows: a column flat in every row, one flat in each group, one flat in all groups but the last, one that varies, and missing values."""
+    g = F.when(F.col("id") < 3, 0).when(F.col("id") < 12, 1).when(F.col("id") < 30, 2).when(F.col("id") < 51, 3).when(F.col("id") < 57, 4).when(F.col("id") < 70, 5).otherwise(6)
+    draw = hash_mod(997, "draw", F.col("id")).cast("double")
+    d = spark.range(75).select(F.col("id").alias("row_id"), g.alias("group_id"), draw.alias("varies"), F.lit(-4.5).alias("flat"))
+    d = d.withColumns({"by_group": F.col("group_id") * 2.5, "late": F.when(F.col("group_id") == 6, F.col("varies")).otherwise(8.0)})
+    return d.withColumn("gaps", F.when(F.col("row_id") % 4 != 0, F.col("by_group"))).persist()
 
 
-COLS = ["global_zeros", "global_pi", "group_value", "half", "one", "noise_0", "noise_1", "noise_2"]
+STEADY = ["flat", "by_group", "late", "varies"]
 
 
-def test_global_constants(constants):
-    assert select.drop_constant(constants, COLS) == COLS[2:]
+def test_global_constants(steady):
+    assert select.drop_constant(steady, STEADY) == STEADY[1:]
+    assert select.drop_constant(steady.where("group_id = 2"), [*STEADY, "gaps"], missing="ignore") == ["varies"]
 
 
-@pytest.mark.parametrize("frac, dropped", [(1.0, 3), (0.5, 4), (0.25, 5)])
-def test_local_constants(constants, frac, dropped):
-    assert select.drop_constant(constants, COLS, "both", local_frac=frac) == COLS[dropped:]
+@pytest.mark.parametrize("frac, left", [(1.0, ["late", "varies"]), (6 / 7, ["varies"])])
+def test_local_constants(steady, frac, left):
+    assert select.drop_constant(steady, STEADY, "both", local_frac=frac) == left
+
+
+def test_local_constants_with_missing_values(steady):
+    found = {r["feature"]: r["n_groups"] for r in select.locally_constant_features(steady, ["gaps", "varies"], missing="ignore", min_rows=5).collect()}
+    assert found == {"gaps": 4}  # groups with fewer than five values left are not judged
 
 
 def test_constant_missing_rules(spark):
@@ -86,8 +90,52 @@ def test_greedy_pruning_keeps_the_earlier_column(spark):
 
 def test_vif_of_a_copy_is_capped():
     r = np.array([[1, 1, 0.2], [1, 1, 0.2], [0.2, 0.2, 1]], dtype=float)
-    v = select.vif_of(r)
+    v = sweep.vif(sweep.pack(r, False), [], 1e6)
     assert v[0] == v[1] == 1e6 and 1 <= v[2] < 1.1
+    assert [k for k, _ in sweep.eliminated(sweep.pack(r, False), 5.0, 1e6)] == [0]
+    assert sweep.vif(sweep.pack(r, False), [0], 1e6) == pytest.approx(1 / (1 - 0.04))
+
+
+def test_swept_out_inverse_equals_a_fresh_one():
+    x = np.random.default_rng(2).normal(size=(60, 9))
+    x[:, 4] += 3 * x[:, 1]
+    r = np.corrcoef(x.T)
+    state, places = sweep.pack(r, False), list(range(9))
+    for gone in (4, 0, 6, 2):
+        state = sweep.pack(*sweep.dropped(state, [places.index(gone)]))
+        places.remove(gone)
+        assert np.allclose(sweep.vif(state, [], 1e6), np.diag(np.linalg.inv(r[np.ix_(places, places)])))
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 4, "held": 2000}])
+def test_tiles_equal_plain_pairs(spark, options):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 11)) * 5 + 1000
+    x[:, 7] = 3.0
+    rows = [(None if i % 3 == 0 else f"k{i % 3}", *[None if rng.random() < 0.1 else float(v) for v in r]) for i, r in enumerate(x)]
+    names = [f"c{k}" for k in range(11)]
+    d = spark.createDataFrame(rows, "part string, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+    for keys in ([], ["part"]):
+        sums = gram.pair_sums(d, names, keys, **options)
+        got = {(*[r[k] for k in keys], r.feature_a, r.feature_b): r for r in sums.withColumn("r", gram.correlation(*[F.col(c) for c in gram.SUMS[2:]])).collect()}
+        want = select.pearson_pairs(d, names, keys).collect()
+        assert len(got) == len(want) == 55 * (3 if keys else 1)
+        for r in want:
+            assert got[(*[r[k] for k in keys], r.feature_a, r.feature_b)].r == pytest.approx(r.r, abs=1e-12)
+    assert gram.pair_sums(d.where("c0 > 1e9"), names, **options).count() == 0
+
+
+def test_two_thousand_columns_in_one_scan(spark):
+    p = 2000
+    names = [f"c{k}" for k in range(p)]
+    noise = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda k: F.pmod(F.xxhash64("id", F.floor(k / 2)), F.lit(1009)) + F.when(k % 2 == 1, F.pmod(F.xxhash64("id", k), F.lit(40))).otherwise(0))
+    d = spark.range(1500, numPartitions=2).select(F.transform(noise, lambda v: v.cast("double")).alias("v"))
+    pairs = select.wide_pairs(d, names, values=F.col("v"))
+    assert pairs._jdf.queryExecution().toString().count("MapInArrow") >= 2
+    close = pairs.where("abs(r) >= 0.9")
+    assert {(r.feature_a, r.feature_b) for r in close.collect()} == {(f"c{k}", f"c{k + 1}") for k in range(0, p, 2)}
+    kept, _ = select.greedy_prune(pairs, names, 0.9)
+    assert kept == names[::2]
 
 
 def test_vif_matches_regression(spark):
