@@ -21,15 +21,16 @@ no phrases. Only language and text are read.
 
 from __future__ import annotations
 
+import itertools
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cohortry.llm.common import TEXT_BATCH, keep
+from cohortry.llm.common import TEXT_BATCH, discard, keep
 
 #: Least count of a candidate, share of a longer one that drops it (percent), score unit, rows a language.
 LEAST = 10
@@ -38,21 +39,21 @@ UNIT = 1_000_000
 TOP = 2000
 UNKNOWN = "und"
 #: Words of a shard, and phrases of a part of all filters (before equal ones are merged).
-SHARD = 1 << 20
+SHARD = 1 << 21
 PART = 1 << 21
 #: Ranked lists of a language that are cut to TOP before they meet.
 SALTS = 16
-#: Filters in an Arrow batch.
-FILTER_BATCH = 16
 
 _BORDER = b"\n"
 _SPACE = re.compile(rb"[ \n]")
 _CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\x09", _BORDER * 9 + b" ")
-_SHARDS = "shard string, lang string, skip int, words array<binary>, counts array<long>, codes binary"
+_SHARDS = "shard long, lang string, skip int, words array<binary>, counts array<long>, codes binary"
 _SHARD_NAMES = ["shard", "lang", "skip", "words", "counts", "codes"]
 _FILTERS = "size int, part int, filter binary"
 _PHRASES = "g1 long, g2 long, g3 long, a long"
 _ROUNDS = 4
+#: Bits of a word's code in a shard, which holds fewer words than that even where a slice runs over.
+CODE_BITS = 24
 
 
 class _Numbers(dict):
@@ -69,17 +70,19 @@ class _Open:
     def __init__(self, carried: list[bytes] = ()):  # type: ignore[assignment]
         self.numbers = _Numbers({b"": 0, _BORDER: 1})
         self.codes = [np.array([self.numbers[w] for w in carried], dtype=np.uint32)]
-        self.skip, self.size = len(carried), 0
+        self.skip = len(carried)
 
-    def add(self, words: list[bytes]) -> None:
+    def add(self, words: list[bytes]) -> int:
+        """Codes the words and tells how many there are, borders included."""
         codes = np.fromiter(map(self.numbers.__getitem__, words), dtype=np.uint32, count=len(words))
-        self.codes.append(codes[codes > 0])
-        self.size += len(codes)
+        codes = codes[codes > 0]
+        self.codes.append(codes)
+        return len(codes)
 
-    def row(self, lang: str) -> tuple:
+    def row(self, shard: int, lang: str) -> tuple:
         codes = np.concatenate(self.codes)
         counts = np.bincount(codes[self.skip :], minlength=len(self.numbers)).astype(np.int64)
-        return uuid.uuid4().hex, lang, self.skip, list(self.numbers)[2:], counts[2:], codes.tobytes()
+        return shard, lang, self.skip, list(self.numbers)[2:], counts[2:], _narrow(codes, CODE_BITS)
 
     def tail(self) -> list[bytes]:
         """The last words of an open piece, at most two."""
@@ -106,18 +109,19 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", size: int =
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filling: dict[str, _Open] = {}
-        held = 0
+        held, made = 0, itertools.count(TaskContext.get().partitionId() << 32)
         for part in parts:
             for name, t in zip(part["lang"], part["text"]):
                 for k, words in enumerate(_slices(t, size)):
-                    if held and held + len(words) > size:
+                    if held >= size:
                         carried = filling[name].tail() if k else []
-                        yield pd.DataFrame([x.row(y) for y, x in filling.items()], columns=_SHARD_NAMES)
+                        yield pd.DataFrame([x.row(next(made), y) for y, x in filling.items()], columns=_SHARD_NAMES)
                         filling, held = ({name: _Open(carried)} if carried else {}), 0
-                    filling.setdefault(name, _Open()).add(words)
-                    held += len(words)
+                    if name not in filling:
+                        filling[name] = _Open()
+                    held += filling[name].add(words)
         if filling:
-            yield pd.DataFrame([x.row(y) for y, x in filling.items()], columns=_SHARD_NAMES)
+            yield pd.DataFrame([x.row(next(made), y) for y, x in filling.items()], columns=_SHARD_NAMES)
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return rows.mapInPandas(cut, _SHARDS)
@@ -128,6 +132,7 @@ def vocabulary(words: DataFrame, least: int) -> DataFrame:
     many = keep(words.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "frequent")
     placed = many.withColumn("place", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id())
     placed = keep(placed, "placed")
+    discard(many)
     sizes = placed.groupBy("place").agg(F.count("*").alias("n"), F.min("nth").alias("first")).orderBy("place").collect()
     start, offsets = 1, []
     for r in sizes:
@@ -253,7 +258,7 @@ def _filters(codes: DataFrame, numbers: DataFrame, bits: int, part_bits: dict[in
     def count(shard: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in shard.itertuples(index=False):
-            local = np.frombuffer(row.codes, dtype=np.uint32)
+            local = _wide(row.codes, CODE_BITS, len(row.codes) // (CODE_BITS // 8)).astype(np.int64)
             ids = np.zeros(int(local.max(initial=0)) + 1, dtype=np.int64)
             at = known["code"].to_numpy()
             ids[at[at < len(ids)]] = known["id"].to_numpy()[at < len(ids)]
@@ -307,17 +312,20 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
 
     Every part of a candidate is frequent too, so three words find their parts among the pairs.
     """
+    if 2 * shard >= 1 << CODE_BITS:
+        raise ValueError(f"shards are limited to {1 << CODE_BITS - 1} words")
     cut = keep(shards(docs, text, lang, shard), "shards", TEXT_BATCH)
-    pairs = F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("f"))).alias("nth", "w")
-    listed = cut.select("shard", "lang", pairs).select("shard", "lang", (F.col("nth") + 2).alias("code"), F.col("w.word").alias("word"), F.col("w.f").alias("f"))
+    zipped = F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("f"))).alias("nth", "w")
+    listed = cut.select("shard", "lang", zipped).select("shard", "lang", (F.col("nth") + 2).alias("code"), F.col("w.word").alias("word"), F.col("w.f").alias("f"))
     known = keep(vocabulary(listed.select("lang", "word", "f"), least), "vocabulary")
     sizes = keep(cut.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda x, y: x + y)).alias("n")), "sizes")
     bits = max(1, int(known.agg(F.max("id").alias("top")).first()["top"] or 0).bit_length())
     parts = int((sizes.agg(F.sum("n").alias("n")).first()["n"] or 0) // part).bit_length()
     part_bits = {m: min(parts, Permutation(m, bits).width) for m in (2, 3)}
     numbers = listed.join(known.select("lang", "word", "id"), ["lang", "word"]).select("shard", "code", "id")
-    filters = keep(_filters(cut.select("shard", "skip", "codes"), numbers, bits, part_bits), "filters")
-    found = keep(_merged(filters, bits, part_bits, least), "phrases", FILTER_BATCH)
+    filters = _filters(cut.select("shard", "skip", "codes"), numbers, bits, part_bits)
+    found = keep(_merged(filters, bits, part_bits, least), "phrases")
+    discard(cut)
     word = lambda k: known.select(F.col("id").alias(f"g{k}"), F.col("word").cast("string").alias(f"w{k}"), F.col("f").alias(f"f{k}"))
     two = found.where("g3 is null").select("g1", "g2", "a")
     two = keep(two.join(word(1).join(known.select(F.col("id").alias("g1"), "lang"), "g1"), "g1").join(word(2), "g2"), "pairs")

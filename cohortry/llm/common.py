@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -55,6 +56,7 @@ def keep(df: DataFrame, name: str = "table", batch: int | None = None) -> DataFr
     """
     spark = df.sparkSession
     path, before = scratch(spark, name), spark.conf.get(_BATCH_KEY, None)
+    _MADE.get().append(path)
     if batch is not None:
         spark.conf.set(_BATCH_KEY, str(batch))
     try:
@@ -64,7 +66,38 @@ def keep(df: DataFrame, name: str = "table", batch: int | None = None) -> DataFr
             spark.conf.unset(_BATCH_KEY)
         elif batch is not None:
             spark.conf.set(_BATCH_KEY, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+#: Folders that the work under way has written.
+_MADE: ContextVar[list[str]] = ContextVar("made", default=[])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote and that nothing will read again."""
+    for table in tables:
+        _delete(table.sparkSession, table.kept_path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str = "table", batch: int | None = None) -> DataFrame:
+    """``keep`` what ``make`` returns, then delete all tables that were written on the way to it."""
+    token = _MADE.set([])
+    try:
+        out = keep(make(), name, batch)
+        made = _MADE.get()
+    finally:
+        _MADE.reset(token)
+    _MADE.get().append(made.pop())
+    for path in made:
+        _delete(spark, path)
+    return out
 
 
 def fold(key: str, n: int) -> Column:
