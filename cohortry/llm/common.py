@@ -35,6 +35,14 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
 
 
+def free_name(wish: str, columns: Sequence[str]) -> str:
+    """``wish`` with underscores before it until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder inside the checkpoint folder that the cluster names in ``spark.checkpoint.dir``."""
     root = spark.sparkContext.getCheckpointDir()
@@ -105,6 +113,16 @@ def fold(key: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n)).cast("int")
 
 
+def drawn(key: str, bound: int, size: int) -> Column:
+    """Is the key in a sample by hash of about ``bound`` of ``size`` keys? All 64 bits of the hash count, so the share is right at any size."""
+    return F.lit(True) if bound >= size else F.xxhash64(key) < F.lit(hash_limit(bound, size))
+
+
+def hash_limit(bound: int, size: int) -> int:
+    """The signed 64-bit number below which a share of bound / size of all hashes lies."""
+    return (bound << 64) // size - (1 << 63)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node of the undirected ``links(a, b)``: columns node, root.
 
@@ -112,8 +130,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     its smallest one through a grouped minimum and a join, so no neighbour list is ever gathered. Rounds
     grow with the logarithm of a chain's length; exceeding ``rounds`` is an error, not a cut.
     """
-    edges = keep(links.select("a", "b").where("a <> b").distinct(), "links")
-    nodes = edges
+    nodes = edges = keep(links.select("a", "b").where("a <> b").distinct(), "links")
     before = None
     for _ in range(rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
@@ -123,7 +140,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = keep(small.select("e.a", "e.b").where("a <> b").distinct(), "small")
+        last, edges = edges, keep(small.select("e.a", "e.b").where("a <> b").distinct(), "small")
+        discard(large, *([last] if last is not nodes else []))
         # a finished set of stars is fixed under both steps
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

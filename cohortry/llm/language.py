@@ -14,14 +14,14 @@ Empty tables give empty results; without training rows every text is ``und``. Re
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, functions as F
 
-from cohortry.llm.common import fold
+from cohortry.llm.common import drawn, fold
 
 DIMS = 4096
 SAMPLE = 300
@@ -29,7 +29,7 @@ CENTROIDS = 3
 ROUNDS = 12
 #: Share of a centroid's training texts that may lie beyond its rejection distance.
 OUTSIDE = 0.005
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _MIX = np.random.default_rng(7).integers(0, 1 << 32, size=(3, 256), dtype=np.uint32)
 _SLICE = 1 << 20
@@ -116,10 +116,9 @@ def fit(training: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     n, seen = _document_frequency(rows)
     idf = (np.log((1 + n) / (1 + seen)) + 0.05).astype(np.float32)
     # a share of each language by hash: the expected number of rows is the bound
-    draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000))
     share = F.lit(False)
     for lang, size in sizes.items():
-        share = share | ((F.col("lang") == lang) & (draw < int(1_000_000 * min(1.0, sample / size))))
+        share = share | ((F.col("lang") == lang) & drawn("doc_id", sample, size))
 
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in parts:

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cohortry.llm.common import fold, keep
+from cohortry.llm.common import drawn, fold, keep
 
 VOCAB = 1 << 13
 DIM = 24
@@ -231,9 +231,7 @@ class Network:
 def labelled(rows: DataFrame, labels: DataFrame, target: str, bound: int) -> DataFrame:
     """``rows`` joined with their label as ``y``, thinned by a hash of the id to about ``bound`` rows."""
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
-    n = known.count()
-    share = int(1_000_000 * min(1.0, bound / max(1, n)))
-    return rows.join(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share), "doc_id")
+    return rows.join(known.where(drawn("doc_id", bound, known.count())), "doc_id")
 
 
 def train_network(pooled: DataFrame, labels: DataFrame, target: str = "quality", bound: int = SAMPLE) -> Network | None:

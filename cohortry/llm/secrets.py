@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortry.llm.common import keep, text_of
+from cohortry.llm.common import free_name, keep, text_of
 
 
 @dataclass(frozen=True)
@@ -174,10 +174,11 @@ def redact(docs: DataFrame, content: str = "text", rules: Sequence[Rule] = RULES
     Rows without findings, null texts included, come back unchanged; all columns are kept.
     """
     found, _ = scan_new(docs, None, rules, content)
-    cuts = keep(per_blob(found).select(F.col("blob").alias("__blob"), F.col("clear").alias("__clear"), F.col("tail").alias("__tail")), "cuts")
+    blob, clear, tail = (free_name(c, docs.columns) for c in ("blob", "clear", "tail"))
+    cuts = keep(per_blob(found).select(F.col("blob").alias(blob), F.col("clear").alias(clear), F.col("tail").alias(tail)), "cuts")
     text = F.col(content)
-    parts = F.array_join(F.transform("__clear", lambda s: F.concat(F.substring(text, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), F.lit(MARK))), "")
-    rest = F.substring(text, (F.col("__tail") + 1).cast("int"), F.length(text))
-    joined = docs.join(cuts, F.sha2(text_of(content), 256) == F.col("__blob"), "left")
-    clean = F.when(F.col("__blob").isNull(), text).otherwise(F.concat(parts, rest))
+    parts = F.array_join(F.transform(clear, lambda s: F.concat(F.substring(text, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), F.lit(MARK))), "")
+    rest = F.substring(text, (F.col(tail) + 1).cast("int"), F.length(text))
+    joined = docs.join(cuts, F.sha2(text_of(content), 256) == F.col(blob), "left")
+    clean = F.when(F.col(blob).isNull(), text).otherwise(F.concat(parts, rest))
     return joined.withColumn(content, clean).select(*docs.columns)

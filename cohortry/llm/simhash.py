@@ -12,9 +12,11 @@ value lies within one bit of both, so each member meets the smallest member at t
 at most 65 members share such a value. Components are the same, and no group is ever paired out.
 
 Near duplicates are dropped on another contract: sets of five-word shingles with a Jaccard similarity of at
-least 0.8. Two such sets share a shingle among the first fifth of either in any common order, so the pairs that
-share one are all candidates; sizes and parity bits discard pairs that cannot reach the similarity, and the sets
-of the others are compared. Nothing is estimated: every pair this alike is linked, directly or by others.
+least 0.8. Fingerprints cannot tell these: at a similarity of 0.8 they differ in about 10 of 64 bits, give or take 3,
+and a search that wide has no blocks or pivots left to cut by. Two such sets share a shingle among the first fifth
+of the larger and the first ninth of the smaller one in any common order, so the pairs that share one are all
+candidates; sizes and parity bits discard pairs that cannot reach the similarity, and the sets of the others are
+compared. Nothing is estimated: every pair this alike is linked, directly or by others.
 
 Nulls: a null text has no words and fingerprint zero, like an empty one. Null ids never become a component
 id unless no member has one. Empty tables give empty results; repeated rows are kept and share a component.
@@ -31,7 +33,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortry.llm.common import TEXT_BATCH, components, join_on, keep, text_of
+from cohortry.llm.common import TEXT_BATCH, components, discard, free_name, join_on, keep, text_of
 
 SHINGLE = 3
 SEED = 42
@@ -151,17 +153,22 @@ def _least_shared(n: int) -> int:
     return -(-n * ALIKE[0] // ALIKE[1])
 
 
+def _least_shared_by_smaller(n: int) -> int:
+    """Shingles that a set of ``n`` shares at least with any set of similarity ALIKE that is no smaller."""
+    return -(-2 * n * ALIKE[0] // (ALIKE[0] + ALIKE[1]))
+
+
 def _sketches(common: np.ndarray) -> Callable[[Column], Column]:
-    """Set hash, size, parities and prefix of the shingles of a text.
+    """Set hash, size, parities, prefix and number of lead shingles of a text.
 
     Parity bits of two sets differ in at most as many places as the sets have elements of their own. The prefix
     holds the first shingles in one order for all texts, ``common`` ones last: so many that two sets as alike as
-    ALIKE share one of them.
+    ALIKE share one of them. In the set that is no larger it is one of the fewer ``lead`` ones.
     """
     where = np.argsort(common)
     ordered = common[where]
 
-    @F.pandas_udf("sig long, n int, parity array<long>, prefix array<long>")
+    @F.pandas_udf("sig long, n int, parity array<long>, prefix array<long>, lead int")
     def sketch(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             out = []
@@ -174,8 +181,9 @@ def _sketches(common: np.ndarray) -> Callable[[Column], Column]:
                     at = np.minimum(np.searchsorted(ordered, codes), len(ordered) - 1)
                     rank = np.where(ordered[at] == codes, where[at], -1)
                 first = codes[np.lexsort((codes, rank))][: len(codes) - _least_shared(len(codes)) + 1]
-                out.append((_signed(xxhash.xxh64_intdigest(codes.tobytes(), SEED)), len(codes), parity, first.view(np.int64)))
-            yield pd.DataFrame(out, columns=["sig", "n", "parity", "prefix"])
+                lead = len(codes) - _least_shared_by_smaller(len(codes)) + 1
+                out.append((_signed(xxhash.xxh64_intdigest(codes.tobytes(), SEED)), len(codes), parity, first.view(np.int64), lead))
+            yield pd.DataFrame(out, columns=["sig", "n", "parity", "prefix", "lead"])
 
     return sketch
 
@@ -198,12 +206,21 @@ def _common_shingles(docs: DataFrame, text: str) -> np.ndarray:
     return np.array([r.h for r in reversed(top)], dtype=np.int64).view(np.uint64)
 
 
-def _possible(pairs: DataFrame) -> DataFrame:
-    """Distinct ``a < b`` of candidates whose sizes and parities allow the similarity."""
+def _possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Distinct ``a < b`` of candidates whose sizes and parities (``marks``) allow the similarity."""
+    side = lambda x: marks.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    met = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
     apart = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
     # a Jaccard similarity of s leaves (1 - s) / (1 + s) of the summed sizes as elements of one set only
     fits = (F.least("na", "nb") * ALIKE[1] >= F.greatest("na", "nb") * ALIKE[0]) & (apart * (ALIKE[1] + ALIKE[0]) <= (F.col("na") + F.col("nb")) * (ALIKE[1] - ALIKE[0]))
-    return pairs.where(fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.where(fits).select("a", "b")
+
+
+def _meet(rows: DataFrame, other: DataFrame, apart: Column | None = None) -> DataFrame:
+    """Pairs (a, b) that share a shingle h which is a lead one of a, a being no larger than b and not too small for it."""
+    right = other.select(F.col("h").alias("k"), F.col("sig").alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"other_{c}") for c in other.columns if c not in ("h", "sig", "n", "lead")])
+    fits = (F.col("h") == F.col("k")) & (F.col("n") <= F.col("nb")) & (F.col("n") * ALIKE[1] >= F.col("nb") * ALIKE[0]) & (F.col("sig") != F.col("b"))
+    return rows.where("lead").join(right, fits if apart is None else fits & apart).select(F.col("sig").alias("a"), "b")
 
 
 def _alike(pairs: DataFrame, heads: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -223,33 +240,29 @@ def alike_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buc
     """Rows (doc_id, text_hash, sig) of ``docs`` and one row for each shingle set: sig, head's doc_id and text_hash, root.
 
     Sets share a root exactly if pairs of a Jaccard similarity of at least ALIKE connect them. Candidates share a
-    prefix shingle. The members of a shingle with more than ``bucket`` of them first meet LEADERS members each; after
-    that only pairs across groups are compared, so a family of near copies is not paired out.
+    prefix shingle that is a lead one of the smaller set. The members of a shingle with more than ``bucket`` of them
+    first meet LEADERS members each; after that only pairs across groups are compared, so a family of near copies is
+    not paired out.
     """
     sketch = _sketches(_common_shingles(docs, text))
     rows = keep(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), sketch(F.col(text)).alias("s")).select("doc_id", "text_hash", "s.*"), "shingles", TEXT_BATCH)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("head")
-    heads = keep(rows.groupBy("sig").agg(first, F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")).select("sig", "head.doc_id", "head.text_hash", "n", "parity", "prefix"), "heads")
-    spots = heads.select("sig", F.explode("prefix").alias("h"))
-    counts = keep(spots.groupBy("h").agg(F.count("*").alias("c"), *[F.min_by("sig", F.xxhash64("sig", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]).where("c > 1"), "counts")
+    heads = keep(rows.groupBy("sig").agg(first, F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"), F.first("lead").alias("lead")).select("sig", "head.doc_id", "head.text_hash", "n", "parity", "prefix", "lead"), "heads")
+    spots = heads.select("sig", "n", F.posexplode("prefix").alias("at", "h"), F.col("lead").alias("leads")).select("h", "sig", "n", (F.col("at") < F.col("leads")).alias("lead"))
+    shared = keep(spots.groupBy("h").agg(F.count("*").alias("c"), F.max("lead").alias("any")).where("c > 1 and any").select(F.col("h").alias("k"), "c"), "shared")
+    live = keep(spots.join(shared, F.col("h") == F.col("k")).drop("k"), "live")
+    discard(shared)
     marks = heads.select("sig", "n", "parity")
-    live = keep(spots.join(counts.withColumnRenamed("h", "k"), F.col("h") == F.col("k")).drop("k"), "live")
-    left = lambda d: d.join(marks, "sig").withColumnsRenamed({"sig": "a", "n": "na", "parity": "pa"})
-    right = lambda d: d.join(marks, "sig").withColumnsRenamed({"sig": "b", "n": "nb", "parity": "pb"})
-    few = live.where(F.col("c") <= bucket).select("h", "sig")
-    pairs = few.join(few.select(F.col("h").alias("k"), F.col("sig").alias("b")), (F.col("h") == F.col("k")) & (F.col("sig") < F.col("b"))).select(F.col("sig").alias("a"), "b")
-    many = live.where(F.col("c") > bucket)
-    led = many.select(F.col("sig").alias("a"), F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("b"))
-    met = pairs.union(led).distinct()
-    links = _alike(_possible(right(left(met.withColumnRenamed("a", "sig")).withColumnRenamed("b", "sig"))), heads, docs, doc_id, text)
+    few, many = live.where(F.col("c") <= bucket).drop("c"), live.where(F.col("c") > bucket).drop("c")
+    leaders = many.groupBy("h").agg(*[F.min_by("sig", F.xxhash64("sig", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
+    led = many.join(leaders.withColumnRenamed("h", "k"), F.col("h") == F.col("k")).select(F.col("sig").alias("a"), F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("b"))
+    links = _alike(_possible(_meet(few, few).union(led), marks), heads, docs, doc_id, text)
     roots = keep(components(links), "roots")
     placed = lambda d: d.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    crowd = keep(left(placed(many.select("h", "sig"))), "crowd")
+    crowd = keep(placed(many), "crowd")
     split = crowd.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
     crowd = keep(crowd.join(split, "h", "left_semi"), "split")
-    other = crowd.select(F.col("h").alias("k"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("pa").alias("pb"), F.col("root").alias("other"))
-    across = _possible(crowd.join(other, (F.col("h") == F.col("k")) & (F.col("root") < F.col("other"))))
-    more = _alike(across, heads, docs, doc_id, text)
+    more = _alike(_possible(_meet(crowd, crowd, F.col("root") != F.col("other_root")), marks), heads, docs, doc_id, text)
     if more.limit(1).count():
         roots = keep(components(links.union(more)), "roots")
     return rows.select("doc_id", "text_hash", "sig"), placed(heads.select("sig", "doc_id", "text_hash"))
@@ -266,7 +279,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     staying = keep(heads.select("head.doc_id", "head.text_hash"), "staying")
     twice = rows.groupBy("doc_id", "text_hash").count().where("count > 1").drop("count")
     again = join_on(staying, twice, ["doc_id", "text_hash"], "left_semi").limit(1).count()
-    kept = docs.withColumn("__h", F.xxhash64(text_of(text)))
-    wanted = staying.select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias("__h")).hint("shuffle_hash")
-    kept = join_on(kept, wanted, [doc_id, "__h"], "left_semi")
-    return (kept.dropDuplicates([doc_id, "__h"]) if again else kept).drop("__h")
+    h = free_name("text_hash", docs.columns)
+    kept = docs.withColumn(h, F.xxhash64(text_of(text)))
+    wanted = staying.select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(h)).hint("shuffle_hash")
+    kept = join_on(kept, wanted, [doc_id, h], "left_semi")
+    return (kept.dropDuplicates([doc_id, h]) if again else kept).drop(h)

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortry.llm.common import fold
+from cohortry.llm.common import drawn, fold
 
 DIMS = 1 << 20
 TERMS = 1500
@@ -142,10 +142,9 @@ def fit(texts: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabel
     if not toxic:
         return None
     total = texts.where("doc_id is not null").count()
-    draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000))
-    sure = known.where("toxic > 0").where(draw < int(1_000_000 * min(1.0, positives / toxic))).select("doc_id", F.lit(True).alias("sure"))
+    sure = known.where("toxic > 0").where(drawn("doc_id", positives, toxic)).select("doc_id", F.lit(True).alias("sure"))
     marked = texts.where("doc_id is not null").join(F.broadcast(sure), "doc_id", "left")  # `sure` is bounded by `positives`
-    marked = marked.withColumn("drawn", draw < int(1_000_000 * min(1.0, unlabelled / max(1, total))))
+    marked = marked.withColumn("drawn", drawn("doc_id", unlabelled, total))
     chosen = marked.where(F.col("sure") | F.col("drawn"))
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import Row
+from pyspark.sql import Row, functions as F
 
 from cohortry.llm import bwt, common, decontam, language, packing, quality_model, quality_rules, repeats, secrets, simhash, toxicity, warc
 from cohortry.llm.queries import ORACLES, QUERIES
@@ -19,12 +19,12 @@ from tests.conftest import SF
 from tools.compare import compare
 
 BLANK = r"[^\x20\x09-\x0D]+"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kind string, blob string, fp long, words string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kind string, blob string, fp long, words string, text_hash long, __h long, clear string, tail string"
 
 
 def table(spark, texts, lang="en"):
     """Documents with nulls, and with extra columns whose names the operators use inside."""
-    rows = [(i, t, lang, "s", None, "x", "y", 1, "z") for i, t in texts]
+    rows = [(i, t, lang, "s", None, "x", "y", 1, "z", 5, 6, "c", "t") for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -213,6 +213,18 @@ def test_near_duplicates_go_by_shingle_similarity(spark, bucket):
     assert got == sorted(least.values()) and 20 < len(got) < len(texts) - 20
 
 
+def test_pages_that_share_a_paragraph_are_not_paired_out(spark):
+    footer = " ".join(words(110, 77, 9999))
+    pages = [(i, f"{' '.join(words(20, 10_000 + i, 99_999))} {footer}") for i in range(600)] + [(1000 + i, edited(words(130, 78, 9999), i % 3, i)) for i in range(200)]
+    heads = spark.createDataFrame(pages, "doc_id long, text string")
+    sketch = simhash._sketches(simhash._common_shingles(heads, "text"))
+    rows = heads.select(sketch(F.col("text")).alias("s")).select("s.*").dropDuplicates(["sig"])
+    spots = rows.select("sig", "n", "lead", F.posexplode("prefix").alias("at", "h")).select("h", "sig", "n", (F.col("at") < F.col("lead")).alias("lead"))
+    met = simhash._meet(spots, spots).distinct()
+    assert met.count() <= 200 * 200 + 10 * len(pages)
+    assert simhash.drop_near_duplicates(heads).count() == 601
+
+
 def test_rows_without_id_are_rows_of_their_own(spark):
     texts = [" ".join(words(40, 200 + i, 9999)) for i in range(6)]
     item = " ".join(words(20, 300, 9999))
@@ -371,6 +383,19 @@ def test_language_names_held_out_texts(spark):
     assert language.identify_all(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_marks_and_numbers_are_not_letters():
+    assert not any(map(language.has_letter, ["\u00bd \u00b2 \u2460 \u2167", "12 _ !", "", None])) and all(map(language.has_letter, ["\u00aa", "1a", "\u6f22"]))
+
+
+def test_samples_of_any_size_hold_their_bound(spark):
+    keys = spark.range(400_000).withColumnRenamed("id", "doc_id")
+    for bound, size in ((1000, 400_000), (3, 400_000), (400_000, 400_000)):
+        got = keys.where(common.drawn("doc_id", bound, size)).count()
+        assert abs(got - bound) <= 5 * math.sqrt(bound) and (bound < size or got == bound)
+    # a pretended size of 1e11: the share is 300 / 1e11 of all hashes, not none of them
+    assert (common.hash_limit(300, 10**11) + (1 << 63)) / (1 << 64) == pytest.approx(300 / 1e11, rel=1e-6)
+
+
 def test_quality_model_on_held_out_labels(spark):
     rows = [(i, " ".join(f"{w}###" if i % 4 == 0 else w for w in words(80, i))) for i in range(400)] + ODD
     labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
@@ -451,10 +476,9 @@ def test_pipeline_against_its_parts(spark):
         assert len(ids) == len(set(ids)) and set(ids) <= {r.doc_id for r in here.select("doc_id").collect()}
         if name == "simhash":
             texts = {r.doc_id: r.text for r in here.collect()}
-            prints = {i: brute_print(t) for i, t in texts.items()}
-            roots, least = brute_components(set(prints.values())), {}
-            for i, p in prints.items():
-                least[roots[p]] = min(i, least.get(roots[p], i))
+            roots, least = brute_alike(texts.values()), {}
+            for i, t in texts.items():
+                least[roots[t]] = min(i, least.get(roots[t], i))
             assert set(ids) == set(least.values())
         here = after
     direct = {(r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()}
