@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from cohortry.functions.curves import interp_grid, linspace
 from cohortry.functions.hashing import hash_bucket, hash_key
 from cohortry.functions.ordering import column_quantiles, row_index
+from cohortry.functions.shuffles import permuted_column, round_keys
 from cohortry.operators.metrics import probability_metrics, ranking_metrics
 from cohortry.operators.prep import unscale
 
@@ -27,21 +28,32 @@ def _metric(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
     return table(df, keys).select(*keys, (F.col(metric) * sign).alias("value"))
 
 
+def numbered(df: DataFrame, row: str = "row_id") -> tuple[DataFrame, int]:
+    """The table with row numbers 0..n-1 (column ``__r``) in the order of a digest of the row's id, and n.
+
+    The digest cuts the rows into even ranges that are numbered side by side; only the
+    sizes of the ranges are summed up in one place.
+    """
+    base = df.withColumn("__h", hash_key("base", F.col(row)))
+    return row_index(base, [], ["__h"], hash_bucket(F.col("__h"), 3), "__r", limit=0).drop("__h"), df.count()
+
+
 def shuffled_copies(df: DataFrame, features: Sequence[str], repeats: Sequence[int], row: str = "row_id", seed: int = 0) -> DataFrame:
     """One copy of the rows per feature and repeat with that feature permuted.
 
-    A permutation lists the rows in the order of a seeded digest: row number r
-    takes the value of the r-th row in that order.
+    A repeat permutes the row numbers by a keyed bijection, the same for all features, so
+    a row's values go straight to the row that receives them: nothing is sorted, and what
+    is joined is one row of values per row and repeat.
     """
-    n = df.count()
-    base = df.withColumn("__h", hash_key("base", F.col(row)))
-    base = row_index(base, [], ["__h"], hash_bucket(F.col("__h"), 3), "__r", largest=n).drop("__h")
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(int(r)).alias("repeat"), F.col(c).cast("double").alias("donated")) for c in features for r in repeats])
-    donors = df.select(row, F.inline(cells)).withColumn("__h", hash_key(seed, F.col("feature"), F.col("repeat"), F.col(row)))
-    donors = row_index(donors, ["feature", "repeat"], ["__h"], hash_bucket(F.col("__h"), 3), "__r", largest=n)
-    out = base.join(donors.select("feature", "repeat", "__r", "donated"), "__r")
+    features, repeats = list(features), [int(r) for r in repeats]
+    base, n = numbered(df, row)
+    keys = [round_keys(seed, r) for r in repeats]
+    donated = base.select(F.posexplode(permuted_column(F.col("__r"), n, keys)).alias("__k", "__to"), *[F.col(c).cast("double").alias(f"__d{i}") for i, c in enumerate(features)])
+    met = base.join(donated, F.col("__r") == F.col("__to"))
+    names = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__d{i}").alias("donated")) for i, c in enumerate(features)])
+    out = met.withColumn("repeat", F.get(F.array(*[F.lit(r) for r in repeats]), F.col("__k"))).select("*", F.inline(names))
     changed = {c: F.when(F.col("feature") == c, F.col("donated")).otherwise(F.col(c)) for c in features}
-    return out.withColumns(changed).drop("__r", "donated")
+    return out.withColumns(changed).select(*df.columns, "feature", "repeat")
 
 
 def perm_importance(
@@ -65,8 +77,13 @@ def perm_importance(
 
 
 def perm_combined(folds: Mapping[tuple[int, int], DataFrame]) -> DataFrame:
-    """Repeats of all folds together; every fold must report the same features."""
-    out = None
+    """Repeats of all folds together; folds that do not report the same features are an error."""
+    out, named = None, None
+    for cell, d in folds.items():
+        here = {r["feature"] for r in d.select("feature").distinct().collect()}  # a name per feature
+        if named is not None and here != named:
+            raise ValueError(f"fold {cell} reports other features: {sorted(here ^ named)}")
+        named = here
     for (trial, outer_fold), d in folds.items():
         d = d.withColumns({"trial": F.lit(trial), "outer_fold": F.lit(outer_fold)})
         out = d if out is None else out.unionByName(d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortry.functions.columns import r6
+from cohortry.functions.shuffles import MULTIPLIERS, PRIME
 from cohortry.operators import interpret as ip, models as ml, prep, scorers, splits
 from cohortry.operators.metrics import fold_metrics
 from cohortry.plans import matrix_sql as msql
@@ -153,6 +154,22 @@ def labelled(spark, folder):
 LB = "lb AS (SELECT row_id, CAST(quantity + price / 2000 - discount * 200 > 30 AS INTEGER) AS y, quantity, price, discount FROM mx)"
 
 
+def feistel_sql(seed_rows: str, repeats: int) -> str:
+    """Recursive CTE ``pm`` (seed, repeat, r0, x): row numbers under the keyed bijections, walked until they are below n."""
+    key = lambda t: f"(('0x'||substr(md5(seed || ':' || repeat || ':{t}'),1,8))::BIGINT % {PRIME})"
+    mixed = lambda x, t: f"(({x} % {PRIME} + k{t}) % {PRIME} * {MULTIPLIERS[0]} % {PRIME})"
+    part = lambda x, t, m: f"((xor({mixed(x, t)}, {mixed(x, t)} >> 15) * {MULTIPLIERS[1]}) % {PRIME}) & ((1::BIGINT << {m}) - 1)"
+    turns = ", ".join(f"{key(t)} AS k{t}" for t in range(4))
+    body = "x >> rb AS a, x & ((1::BIGINT << rb) - 1) AS b"
+    walk = lambda src: f"""SELECT seed, repeat, r0, n, lb_, rb, k0, k1, k2, k3, (a2 << rb) | b2 AS x FROM (
+        SELECT *, xor(b1, {part('a2', 3, 'rb')}) AS b2 FROM (SELECT *, xor(a1, {part('b1', 2, 'lb_')}) AS a2 FROM (
+        SELECT *, xor(b, {part('a1', 1, 'rb')}) AS b1 FROM (SELECT *, xor(a, {part('b', 0, 'lb_')}) AS a1 FROM (
+        SELECT *, {body} FROM {src}))))) q"""
+    return f"""sz AS (SELECT n, bits // 2 AS lb_, bits - bits // 2 AS rb FROM (SELECT n, greatest(2, length(ltrim(bin(n - 1), '0'))) AS bits FROM (SELECT count(*) AS n FROM nb))),
+      st AS (SELECT s AS seed, repeat, r AS r0, r AS x, n, lb_, rb, {turns} FROM (SELECT s, s AS seed, b AS repeat, r, n, lb_, rb FROM nb, sz, range({repeats}) t(b), (VALUES {seed_rows}) u(s))),
+      wk AS ({walk('st')} UNION ALL {walk('wk WHERE x >= n')}), pm AS (SELECT seed, repeat, r0, x FROM wk WHERE x < n)"""
+
+
 def perm_sql(models: dict, seeds, repeats: int) -> str:
     """CTEs ``im``: (model, seed, feature, repeat, importance) by AUROC."""
     parts, base = [], []
@@ -161,10 +178,10 @@ def perm_sql(models: dict, seeds, repeats: int) -> str:
         cases = {c: f"CASE WHEN feature = '{c}' THEN donated ELSE {c} END" for c in COLS}
         parts.append(f"SELECT '{name}' AS model, seed, feature, repeat, y, {score_sql(betas, cases)} AS p FROM cp")
     seed_rows = ", ".join(f"({s})" for s in seeds)
-    return f"""{LB}, nb AS (SELECT *, row_number() OVER (ORDER BY md5('base:' || row_id)) AS r FROM lb),
-      dn AS (SELECT s AS seed, feature, CAST(b AS INTEGER) AS repeat, row_number() OVER (PARTITION BY s, feature, b
-          ORDER BY md5(s || ':' || feature || ':' || b || ':' || row_id)) AS r, v AS donated
-        FROM (SELECT row_id, feature, v FROM lb UNPIVOT (v FOR feature IN ({', '.join(COLS)}))), range({repeats}) t(b), (VALUES {seed_rows}) u(s)),
+    return f"""{LB}, nb AS (SELECT *, row_number() OVER (ORDER BY md5('base:' || row_id)) - 1 AS r FROM lb),
+      {feistel_sql(seed_rows, repeats)},
+      dn AS (SELECT seed, feature, CAST(repeat AS INTEGER) AS repeat, x AS r, v AS donated
+        FROM (SELECT r AS r0, feature, v FROM nb UNPIVOT (v FOR feature IN ({', '.join(COLS)}))) JOIN pm USING (r0)),
       cp AS (SELECT * FROM nb JOIN dn USING (r)), ba AS ({' UNION ALL '.join(base)}), sh AS ({' UNION ALL '.join(parts)}),
       bm AS (SELECT model, auroc AS b FROM (WITH {rank_sql('ba', 'model', 'p')} SELECT * FROM au)),
       im AS (SELECT model, seed, feature, repeat, b - auroc AS importance FROM (WITH {rank_sql('sh', 'model, seed, feature, repeat', 'p')} SELECT * FROM au) JOIN bm USING (model))"""

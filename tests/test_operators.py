@@ -7,10 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.functions import kernels
+from cohortry.functions import kernels, shuffles
 from cohortry.functions.curves import interp_grid
 from cohortry.functions.hashing import hash_mod
-from cohortry.operators import assemble, calibration, features, gram, metrics, models, prep, relief, risk, scorers, select, signal, splits, states, sweep
+from cohortry.operators import assemble, calibration, features, gram, interpret, metrics, models, prep, relief, risk, scorers, select, signal, splits, states, sweep
 from cohortry.plans.views import FEATURES, V
 from cohortry.sources import bundle, scan
 from cohortry.table import FeatureTable
@@ -88,6 +88,34 @@ def test_greedy_pruning_keeps_the_earlier_column(spark):
     assert [tuple(r) for r in log.collect()] == [("b", "a", 0.9)]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000, 4097])
+def test_keyed_permutations_are_bijections(n):
+    keys = [shuffles.round_keys(5, r) for r in range(3)]
+    images = [shuffles.permuted(np.arange(n), n, k) for k in keys]
+    assert all(sorted(x) == list(range(n)) for x in images)
+    if n > 60:
+        assert all((a != b).mean() > 0.9 for a, b in ((images[0], images[1]), (images[1], images[2]), (images[0], np.arange(n))))
+        assert all(abs(np.corrcoef(x, np.arange(n))[0, 1]) < 0.35 for x in images)
+
+
+def test_shuffled_copies_permute_one_feature(spark):
+    d = spark.range(500).select(F.concat(F.lit("r"), "id").alias("row_id"), F.col("id").cast("double").alias("a"), (F.col("id") * 3.0).alias("b"), F.lit(1).alias("y"))
+    out = interpret.shuffled_copies(d, ["a", "b"], [0, 4], seed=9).toPandas()
+    assert len(out) == 500 * 4
+    for (feature, _), part in out.groupby(["feature", "repeat"]):
+        own = part["row_id"].str[1:].astype(float)
+        other = "b" if feature == "a" else "a"
+        assert sorted(part[feature]) == sorted(own * (1 if feature == "a" else 3)) and (part[other] == own * (1 if other == "a" else 3)).all()
+        assert (part[feature].to_numpy() != own.to_numpy() * (1 if feature == "a" else 3)).mean() > 0.9
+
+
+def test_folds_with_other_features_are_refused(spark):
+    d = lambda c: spark.createDataFrame([(c, 0, 0.5)], "feature string, repeat int, importance double")
+    assert interpret.perm_combined({(0, 1): d("a"), (0, 2): d("a")}).count() == 2
+    with pytest.raises(ValueError, match="other features"):
+        interpret.perm_combined({(0, 1): d("a"), (0, 2): d("b")})
+
+
 def test_vif_of_a_copy_is_capped():
     r = np.array([[1, 1, 0.2], [1, 1, 0.2], [0.2, 0.2, 1]], dtype=float)
     v = sweep.vif(sweep.pack(r, False), [], 1e6)
