@@ -15,8 +15,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cohortry.functions.ordering import edge_bucket
+from cohortry.functions.rows import join_same
 
 RANGE_ROWS = 100_000
 MAX_RANGES = 512
@@ -59,46 +61,54 @@ def _edges(df: DataFrame, columns: Sequence[str], n: int) -> dict[str, list[floa
     return out
 
 
-def _kernel(cells: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+def _kernel(cells: DataFrame, by: list[str], keys: list[str], x: str, y: str) -> DataFrame:
+    """Concordance of the cells of each (by, keys), as a row of ``by`` and s."""
+    fields = StructType([*[cells.schema[k] for k in by], StructField("s", DoubleType())])
+
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         s = concordance(pdf[x].to_numpy(), pdf[y].to_numpy(), pdf["w"].to_numpy())
-        return pd.DataFrame({"feature_a": [pdf["feature_a"].iloc[0]], "feature_b": [pdf["feature_b"].iloc[0]], "s": [s]})
+        return pdf[by].head(1).assign(s=s)
 
-    return cells.groupBy(*PAIR, *keys).applyInPandas(fn, "feature_a string, feature_b string, s double")
+    return cells.groupBy(*by, *keys).applyInPandas(fn, fields)
 
 
-def _varying(cells: DataFrame, bucket: str, value: str) -> DataFrame:
+def _varying(cells: DataFrame, by: list[str], bucket: str, value: str) -> DataFrame:
     """Cells of the ranges that hold more than one value; the others add nothing."""
-    span = cells.groupBy(*PAIR, bucket).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    return cells.join(span.where("lo < hi").select(*PAIR, bucket), [*PAIR, bucket], "left_semi")
+    span = cells.groupBy(*by, bucket).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    return join_same(cells, span.where("lo < hi").select(*by, bucket), [*by, bucket], "left_semi")
+
 
+def _ties(cells: DataFrame, by: list[str], value: str) -> DataFrame:
+    t = cells.groupBy(*by, value).agg(F.sum("w").cast("double").alias("t"))
+    return t.groupBy(*by).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"ties_{value}"))
 
-def _ties(cells: DataFrame, value: str) -> DataFrame:
-    t = cells.groupBy(*PAIR, value).agg(F.sum("w").cast("double").alias("t"))
-    return t.groupBy(*PAIR).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"ties_{value}"))
 
+def kendall_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), n_ranges: int | None = None) -> DataFrame:
+    """(keys, feature_a, feature_b, r): tau-b of every pair over rows with both values, in every group of ``keys``.
 
-def kendall_pairs(df: DataFrame, columns: Sequence[str], n_ranges: int | None = None) -> DataFrame:
-    """(feature_a, feature_b, r): tau-b of every pair over rows with both values."""
-    columns = list(columns)
+    Ranges are those of the whole columns, as many as the largest group needs.
+    """
+    columns, keys = list(columns), list(keys)
+    by = [*keys, *PAIR]
     if n_ranges is None:
-        n_ranges = min(MAX_RANGES, max(1, math.ceil(df.count() / RANGE_ROWS)))
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        n_ranges = min(MAX_RANGES, max(1, math.ceil((sizes.agg(F.max("n")).first()[0] or 0) / RANGE_ROWS)))
     edges = _edges(df, columns, n_ranges)
     part = lambda a, b: F.struct(
         F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
         F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"),
         edge_bucket(F.col(a), edges[a]).alias("xb"), edge_bucket(F.col(b), edges[b]).alias("yb"),
     )
-    long = df.select(F.inline(F.array(*[part(a, b) for a, b in combinations(columns, 2)])))
+    long = df.select(*keys, F.inline(F.array(*[part(a, b) for a, b in combinations(columns, 2)])))
     long = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    cells = long.groupBy(*PAIR, "x", "y", "xb", "yb").agg(F.count(F.lit(1)).alias("w")).persist()
-    table = cells.groupBy(*PAIR, "xb", "yb").agg(F.sum("w").alias("w"))
-    within_x = _kernel(_varying(cells, "xb", "x"), ["xb"], "x", "y")
-    within_y = _kernel(_varying(cells, "yb", "y"), ["yb"], "xb", "y")
-    across = _kernel(table, [], "xb", "yb")
-    s = within_x.unionByName(within_y).unionByName(across).groupBy(*PAIR).agg(F.sum("s").alias("s"))
-    n = cells.groupBy(*PAIR).agg(F.sum("w").cast("double").alias("n"))
-    d = n.join(s, PAIR).join(_ties(cells, "x"), PAIR).join(_ties(cells, "y"), PAIR)
+    cells = long.groupBy(*by, "x", "y", "xb", "yb").agg(F.count(F.lit(1)).alias("w")).persist()
+    table = cells.groupBy(*by, "xb", "yb").agg(F.sum("w").alias("w"))
+    s = _kernel(_varying(cells, by, "xb", "x"), by, ["xb"], "x", "y")
+    if n_ranges > 1:  # with one range each, every pair of rows lies within it
+        s = s.unionByName(_kernel(_varying(cells, by, "yb", "y"), by, ["yb"], "xb", "y")).unionByName(_kernel(table, by, [], "xb", "yb"))
+    d = cells.groupBy(*by).agg(F.sum("w").cast("double").alias("n"))
+    for other in (s.groupBy(*by).agg(F.sum("s").alias("s")), _ties(cells, by, "x"), _ties(cells, by, "y")):
+        d = join_same(d, other, by, "left")
     total = F.col("n") * (F.col("n") - 1) / 2
     tau = F.try_divide(F.col("s"), F.sqrt((total - F.col("ties_x")) * (total - F.col("ties_y"))))
-    return d.select(*PAIR, F.coalesce(tau, F.lit(0.0)).alias("r"))
+    return d.select(*by, F.coalesce(tau, F.lit(0.0)).alias("r"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortry.functions.hashing import hash_bucket, hash_key
 from cohortry.functions.ordering import row_index
 from cohortry.operators.metrics import ranking_metrics
-from cohortry.operators.select import constant_share, correlation_pairs, correlation_states, greedy_prune, vif_history
+from cohortry.operators.select import constant_share, correlation_pairs, correlation_states, greedy_prune, has_gap, vif_history
 from cohortry.session import cut_lineage
 
 ESTIMATORS: dict[str, Callable[..., object]] = {
@@ -29,15 +29,16 @@ def fit_model(train: DataFrame, features: Sequence[str], estimator: str | Callab
     """Assemble and fit on rows without missing values."""
     cls = ESTIMATORS[estimator] if isinstance(estimator, str) else estimator
     est = cls(featuresCol="__features", labelCol="__label", **(params or {}))
-    stages = [VectorAssembler(inputCols=list(features), outputCol="__features"), est]
+    stages = [VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="keep"), est]
     d = train.dropna(subset=[*features, y]).withColumn("__label", F.col(y).cast("double"))
     return Pipeline(stages=stages).fit(d.select(*features, "__label"))
 
 
 def score_rows(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
-    """Add the probability of class 1."""
+    """Add the probability of class 1; a row with a missing feature keeps its place with a null."""
     p = vector_to_array(F.col("probability"))[1]
-    return model.transform(df).withColumn(out, p).select(*df.columns, out)
+    whole = ~has_gap(model.stages[0].getInputCols())
+    return model.transform(df).withColumn(out, F.when(whole, p)).select(*df.columns, out)
 
 
 def fit_score(train: DataFrame, test: DataFrame, features: Sequence[str], estimator, params: Mapping | None = None) -> tuple[PipelineModel, DataFrame]:
@@ -45,7 +46,7 @@ def fit_score(train: DataFrame, test: DataFrame, features: Sequence[str], estima
     model = fit_model(train, features, estimator, params)
     both = None
     for split, d in (("train", train), ("test", test)):
-        scored = score_rows(model, d.dropna(subset=list(features))).select(F.lit(split).alias("split"), "y", "p")
+        scored = score_rows(model, d).select(F.lit(split).alias("split"), "y", "p")
         both = scored if both is None else both.unionByName(scored)
     return model, ranking_metrics(both, ["split"])
 
@@ -108,7 +109,7 @@ def nested_cv(
 
     def one(cell: tuple[int, int]):
         names = list(features[cell] if isinstance(features, Mapping) else features)[:max_features]
-        part = joined.where((F.col("trial") == cell[0]) & (F.col("outer_fold") == cell[1])).dropna(subset=names)
+        part = joined.where((F.col("trial") == cell[0]) & (F.col("outer_fold") == cell[1]))
         train = part.where("role = 'outer_train'")
         best = best_setting(inner_cv_scores(train, names, estimator, grid, metric=metric)) if len(grid) > 1 else 0
         model = fit_model(train, names, estimator, grid[best])
@@ -128,8 +129,8 @@ def nested_cv(
 
 
 def oof_predictions(train: DataFrame, features: Sequence[str], estimator, params: Mapping | None = None, k: int = 5, row: str = "row_id", y: str = "y") -> DataFrame:
-    """Score every training row with a fresh model that did not see its fold."""
-    d = train.dropna(subset=list(features)).withColumn("__h", hash_key("oof", F.col(row)))
+    """Score every training row with a fresh model that did not see its fold; null where a feature is missing."""
+    d = train.withColumn("__h", hash_key("oof", F.col(row)))
     d = row_index(d, [y], ["__h"], hash_bucket(F.col("__h")), "__i")
     d = d.withColumn("oof_fold", (1 + F.col("__i") % k).cast("int")).drop("__h", "__i").persist()
     out = None

@@ -216,9 +216,7 @@ def correlation_pairs(
     if method == "kendall":
         from cohortry.operators.kendall import kendall_pairs
 
-        if keys:
-            raise ValueError("Kendall correlation is for whole tables")
-        return kendall_pairs(df, columns)
+        return kendall_pairs(df, columns, keys)
     raise ValueError(f"unknown correlation {method!r}")
 
 

@@ -12,6 +12,7 @@ from cohortry.plans import matrix_sql as msql
 from cohortry.plans.metric_queries import rank_sql
 from cohortry.plans.registry import query, rounded as R
 from cohortry.plans.views import FEATURES, V, with_views
+from cohortry.sources import bundle
 from cohortry.sources.tables import spread
 
 TEXT = ["n_chars", "n_words", "n_lines", "n_digits", "n_upper"]
@@ -362,3 +363,45 @@ def pdp_raw_units(spark, folder):
     d = ip.pdp_mean(fold_pdp(spark, folder).persist(), n_points=20, max_unique=12, fold=["fold"])
     d = prep.unscale(d.select("feature", "grid_index", "grid", F.col("mean").alias("m")), params, "grid", "grid_raw")
     return d.select("feature", "grid_index", r6(F.col("grid"), 4).alias("grid"), r6(F.col("m")).alias("mean"), r6(F.col("grid_raw"), 1).alias("grid_raw"))
+
+
+REPORT_BETAS = {"tax": 9.0, "open": 1.5, "discount": -3.0}
+REPORT = """rs AS (SELECT group_id % 3 AS fold, tax, CAST(l_linestatus = 'O' AS DOUBLE) AS open, discount FROM mx),
+  rg AS (SELECT DISTINCT fold, 'tax' AS feature, tax AS grid FROM rs UNION ALL SELECT DISTINCT fold, 'open', open FROM rs),
+  rp AS (SELECT feature, fold, grid, avg(p) AS value FROM (SELECT feature, rs.fold, grid, {score} AS p FROM rs JOIN rg ON rs.fold = rg.fold) GROUP BY ALL)""".format(
+    score=score_sql(REPORT_BETAS, {c: f"CASE WHEN feature = '{c}' THEN grid ELSE {c} END" for c in ("tax", "open")})
+)
+
+
+@query(
+    "pdp_report",
+    with_views(
+        "mx",
+        f"""SELECT feature, CAST(dense_rank() OVER (PARTITION BY feature ORDER BY grid) - 1 AS INTEGER) AS grid_index, {R('grid')} AS grid, {R('avg(value)')} AS mean,
+          {R('stddev_pop(value)')} AS sd, count(value) AS n_folds FROM rp GROUP BY feature, grid""",
+        REPORT,
+    ),
+)
+def pdp_report(spark, folder):
+    m = V(spark, folder).matrix().withColumn("open", (F.col("l_linestatus") == "O").cast("double"))
+    folds = {(0, k): (m.where(F.col("group_id") % 3 == k), scorer(REPORT_BETAS)) for k in range(3)}
+    d = ip.pdp_report(folds, ["tax", "open"])
+    return d.select("feature", F.col("grid_index").cast("int").alias("grid_index"), *[r6(F.col(c)).alias(c) for c in ("grid", "mean", "sd")], "n_folds")
+
+
+@query(
+    "save_load_models",
+    "SELECT 'kept' AS model, count(*) AS n, count(*) AS n_equal, 0::BIGINT AS n_null FROM documents JOIN labels USING (doc_id)",
+)
+def save_load_models(spark, folder):
+    """A fitted model is saved with its predictions, read back, and scores every row as before."""
+    d = documents(spark, folder)
+    model = ml.fit_model(d, TEXT, "forest", {"numTrees": 5, "maxDepth": 3, "seed": 7})
+    scored = ml.score_rows(model, d).select(F.lit("kept").alias("model"), F.lit("uncalib").alias("variant"), "row_id", "p")
+    path = bundle.scratch_folder(spark)
+    bundle.save_results(scored, {"kept": model}, path)
+    before, models = bundle.load_results(spark, path, ["kept"])
+    again = ml.score_rows(models["kept"], d).select("row_id", F.col("p").alias("again"))
+    return before.join(again, "row_id").groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("p").eqNullSafe(F.col("again"))).alias("n_equal"), F.count_if(F.col("again").isNull()).alias("n_null")
+    )

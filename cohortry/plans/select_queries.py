@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -143,6 +144,22 @@ def corr_spearman(spark, folder):
     return d.withColumn("r", r6(F.col("r")))
 
 
+def _kendall_sql(src: str, pairs) -> str:
+    """Mean absolute tau-b over bootstraps, all pairs of rows compared."""
+    one = lambda a, b: f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, avg(abs(coalesce(s / nullif(sqrt(nx * ny), 0), 0))) AS r FROM (
+      SELECT p.boot, sum(sign(p.{a} - q.{a}) * sign(p.{b} - q.{b})) AS s, sum(CAST(p.{a} <> q.{a} AS DOUBLE)) AS nx, sum(CAST(p.{b} <> q.{b} AS DOUBLE)) AS ny
+      FROM {src} p JOIN {src} q ON p.boot = q.boot AND p.row_id < q.row_id GROUP BY p.boot)"""
+    return " UNION ALL ".join(one(a, b) for a, b in pairs)
+
+
+@query(
+    "kendall_grouped",
+    with_views("mx", f"SELECT feature_a, feature_b, {R('r')} AS r FROM ({_kendall_sql('bs', list(combinations(FEATURES, 2)))})", NUM.format(boots=BOOTS, seed=0)),
+)
+def kendall_grouped(spark, folder):
+    return select.grouped_pairs(V(spark, folder).matrix(), FEATURES, BOOTS, "kendall").withColumn("r", r6(F.col("r")))
+
+
 @query(
     "collinear_pairs",
     with_views("mx", f"SELECT feature_a, feature_b, {R('abs(r)')} AS r FROM ({corr_sql('mx', FEATURES)}) WHERE abs(r) >= 0.6"),

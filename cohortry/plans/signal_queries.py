@@ -412,3 +412,23 @@ def feat_spec_entropy(spark, folder):
 def extract_features(spark, folder):
     d = ft.extract_features(V(spark, folder).epochs(), CHANNELS, ["mean", "std", "line_length"])
     return _rounded(d, [c for c in d.columns if c not in ("recording", "epoch_id")])
+
+
+ASKED = {" STD": "std", "Ptp ": "ptp", "mean": "mean"}
+
+
+@query(
+    "feature_help",
+    with_views(
+        "ep",
+        """SELECT feature, meaning, count(value) AS n_values FROM (SELECT recording, epoch_id, channel, stddev_pop(value) AS std, max(value) - min(value) AS ptp, avg(value) AS mean
+          FROM ep GROUP BY ALL) UNPIVOT (value FOR feature IN (std, ptp, mean)) JOIN (VALUES """
+        + ", ".join(f"('{c}', '{ft.HELP[c]}')" for c in ASKED.values())
+        + ") h(feature, meaning) USING (feature) GROUP BY ALL",
+    ),
+)
+def feature_help(spark, folder):
+    """Features asked for in any spelling, what they mean, and how many values the signal gives."""
+    names = ft.validate_names(list(ASKED))
+    d = ft.time_features(V(spark, folder).epochs(), names).unpivot(["recording", "epoch_id", "channel"], names, "feature", "value")
+    return d.join(ft.help_table(spark), "feature").groupBy("feature", "meaning").agg(F.count("value").alias("n_values"))

@@ -109,6 +109,18 @@ def test_shuffled_copies_permute_one_feature(spark):
         assert (part[feature].to_numpy() != own.to_numpy() * (1 if feature == "a" else 3)).mean() > 0.9
 
 
+def test_rows_with_a_missing_feature_keep_a_null_score(spark):
+    rows = [(f"r{i}", i % 2, None if i % 10 == 3 else float(i % 2 * 3 + i % 7), float(i % 5)) for i in range(120)]
+    d = spark.createDataFrame(rows, "row_id string, y int, a double, b double").withColumn("group_id", F.col("row_id"))
+    out = models.oof_predictions(d, ["a", "b"], "forest", {"numTrees": 3, "seed": 1}, 3).collect()
+    assert len(out) == 120 and all((r.p is None) == (r.a is None) for r in out)
+    model, table = models.fit_score(d.where("y >= 0"), d, ["a", "b"], "logistic")
+    assert {r.split: r.n for r in table.collect()} == {"train": 108, "test": 108}
+    plan = splits.nested_splits(d, 3, 2, 1)
+    scored, _ = models.nested_cv(d, plan, ["a", "b"], "logistic", {"regParam": [0.0, 0.1]}, "m")
+    assert scored.count() == 360 and scored.where("p is null").count() == 36
+
+
 def test_folds_with_other_features_are_refused(spark):
     d = lambda c: spark.createDataFrame([(c, 0, 0.5)], "feature string, repeat int, importance double")
     assert interpret.perm_combined({(0, 1): d("a"), (0, 2): d("a")}).count() == 2
