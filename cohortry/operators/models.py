@@ -1,4 +1,4 @@
-"""Fitting and tuning MLlib models on split plans."""
+"""Fitting and tuning models on split plans: logistic regressions all together, other MLlib estimators one by one."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortry.functions.hashing import hash_bucket, hash_key
 from cohortry.functions.ordering import row_index
+from cohortry.operators import batched
 from cohortry.operators.metrics import ranking_metrics
 from cohortry.operators.select import constant_share, correlation_pairs, correlation_states, greedy_prune, has_gap, vif_history
 from cohortry.session import cut_lineage
@@ -63,10 +64,21 @@ def sampled_params(space: Mapping[str, Sequence], n: int, seed: int = 0) -> list
     return sorted(grid, key=lambda g: hashlib.md5(f"{seed}:{sorted(g.items())}".encode()).hexdigest())[:n]
 
 
+def is_batched(estimator, params: Sequence[Mapping]) -> bool:
+    """Can all settings be fitted together (ridge-penalised logistic regression)?"""
+    return estimator == "logistic" and all(set(p) <= {"regParam", "maxIter"} for p in params)
+
+
 def inner_cv_scores(
-    train: DataFrame, features: Sequence[str], estimator, params: Sequence[Mapping], inner: str = "inner_fold", metric: str = "auprc"
+    train: DataFrame, features: Sequence[str], estimator, params: Sequence[Mapping], inner: str = "inner_fold", metric: str = "auprc", row: str = "row_id"
 ) -> list[dict]:
-    """Train and held-out score of every setting on every inner fold."""
+    """Train and held-out score of every setting on every inner fold.
+
+    Logistic regressions are all fitted together; other estimators one after another.
+    """
+    if is_batched(estimator, params):
+        plan = train.select(F.lit(0).alias("trial"), F.lit(0).alias("outer_fold"), F.col(inner).alias("inner_fold"), row, F.lit("outer_train").alias("role"))
+        return tuning_scores(train, plan, {(0, 0): features}, params, metric, row)[0, 0]
     folds = sorted(r[0] for r in train.select(inner).distinct().collect())
     out = []
     for i, setting in enumerate(params):
@@ -78,6 +90,51 @@ def inner_cv_scores(
     return out
 
 
+def tuning_scores(
+    df: DataFrame, plan: DataFrame, features: Mapping[tuple[int, int], Sequence[str]], params: Sequence[Mapping], metric: str = "auprc", row: str = "row_id"
+) -> dict[tuple[int, int], list[dict]]:
+    """Inner scores of every setting in every (trial, outer_fold), from one batched fit of all of them.
+
+    A row is held once, with the list of the cells that train on it and of those that are
+    tested on it; each fold may use its own features.
+    """
+    names = sorted({c for chosen in features.values() for c in chosen})
+    outer = {cell: k for k, cell in enumerate(sorted(features))}
+    train = plan.where("role = 'outer_train'")
+    inner = sorted(r[0] for r in train.select("inner_fold").distinct().collect())
+    n_set, n_in = len(params), len(inner)
+    number = lambda k, s, g: (k * n_set + s) * n_in + g
+    spark = df.sparkSession
+    tags = spark.createDataFrame([(t, f, k) for (t, f), k in outer.items()], "trial int, outer_fold int, k int")
+    held = spark.createDataFrame([(g, i) for i, g in enumerate(inner)], "inner_fold int, g int")
+    placed = train.join(F.broadcast(tags), ["trial", "outer_fold"]).join(F.broadcast(held), "inner_fold")
+    settings = F.sequence(F.lit(0), F.lit(n_set - 1))
+    others = F.filter(F.sequence(F.lit(0), F.lit(n_in - 1)), lambda g: g != F.col("g"))
+    fit = F.flatten(F.transform(settings, lambda s: F.transform(others, lambda g: number(F.col("k"), s, g))))
+    test = F.transform(settings, lambda s: number(F.col("k"), s, F.col("g")))
+    lists = placed.groupBy(row).agg(F.flatten(F.collect_list(fit)).alias("fit_cells"), F.flatten(F.collect_list(test)).alias("test_cells"))
+    rows = df.select(row, "y", *names).join(lists, row).persist()
+    cells = [
+        batched.Cell(float(p.get("regParam", 0.0)), [names.index(c) for c in features[cell]], int(p.get("maxIter", batched.STEPS)))
+        for cell in outer for p in params for _ in inner
+    ]
+    fits = batched.fit_cells(rows, names, cells, cell_column="fit_cells")
+    both = None
+    for split, column in (("train", "fit_cells"), ("test", "test_cells")):
+        d = batched.score_cells(rows.select("y", *names, F.col(column).alias("cells")), names, fits).select(F.lit(split).alias("split"), "cell", "y", "p")
+        both = d if both is None else both.unionByName(d)
+    found = {(r["cell"], r["split"]): r[metric] for r in ranking_metrics(both, ["cell", "split"]).collect()}  # two numbers a cell
+    rows.unpersist()
+    at = lambda k, s, g, split: found.get((number(k, s, g), split))
+    return {
+        cell: [
+            {"setting": s, "inner_fold": fold, "train": at(k, s, g, "train"), "test": at(k, s, g, "test")}
+            for s in range(n_set) for g, fold in enumerate(inner)
+        ]
+        for cell, k in outer.items()
+    }
+
+
 def best_setting(scores: Sequence[Mapping]) -> int:
     """Setting with the highest mean held-out score; ties to the earlier one."""
     by: dict[int, list[float]] = {}
@@ -104,14 +161,18 @@ def nested_cv(
     step.  Returns long predictions and the chosen settings.
     """
     cells = [tuple(r) for r in plan.select("trial", "outer_fold").distinct().orderBy("trial", "outer_fold").collect()]
+    chosen = {cell: list(features[cell] if isinstance(features, Mapping) else features)[:max_features] for cell in cells}
     joined = df.join(plan.select("trial", "outer_fold", "inner_fold", row, "role"), row).persist()
     grid = param_grid(space)
+    together = tuning_scores(df, plan, chosen, grid, metric, row) if len(grid) > 1 and is_batched(estimator, grid) else None
 
     def one(cell: tuple[int, int]):
-        names = list(features[cell] if isinstance(features, Mapping) else features)[:max_features]
+        names = chosen[cell]
         part = joined.where((F.col("trial") == cell[0]) & (F.col("outer_fold") == cell[1]))
         train = part.where("role = 'outer_train'")
-        best = best_setting(inner_cv_scores(train, names, estimator, grid, metric=metric)) if len(grid) > 1 else 0
+        best = 0
+        if len(grid) > 1:
+            best = best_setting(together[cell] if together else inner_cv_scores(train, names, estimator, grid, metric=metric, row=row))
         model = fit_model(train, names, estimator, grid[best])
         scored = score_rows(model, part).select(
             F.lit(name).alias("model"), F.lit("uncalib").alias("variant"),
@@ -122,6 +183,7 @@ def nested_cv(
 
     with ThreadPool(parallelism) as pool:
         results = pool.map(one, cells)
+    joined.unpersist()
     out = results[0][2]
     for r in results[1:]:
         out = out.unionByName(r[2])

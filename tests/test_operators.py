@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.functions import kernels, shuffles
 from cohortry.functions.curves import interp_grid
 from cohortry.functions.hashing import hash_mod
-from cohortry.operators import assemble, calibration, features, gram, interpret, metrics, models, prep, relief, risk, scorers, select, signal, splits, states, sweep
+from cohortry.operators import assemble, batched, calibration, features, gram, interpret, metrics, models, prep, relief, risk, scorers, select, signal, splits, states, sweep
 from cohortry.plans.views import FEATURES, V
 from cohortry.sources import bundle, scan
 from cohortry.table import FeatureTable
@@ -121,6 +121,50 @@ def test_rows_with_a_missing_feature_keep_a_null_score(spark):
     assert scored.count() == 360 and scored.where("p is null").count() == 36
 
 
+def newton(x, y, penalty):
+    """Ridge logistic regression by Newton steps: mean loss, features scaled to unit variance in the penalty."""
+    a = np.column_stack([np.ones(len(x)), x])
+    b, ridge = np.zeros(a.shape[1]), np.concatenate([[0], penalty * x.var(axis=0, ddof=1)]) * len(x)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-a @ b))
+        b = b + np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (y - p) - ridge * b)
+    return b
+
+
+def test_batched_regressions_equal_single_ones(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 3)) * [1, 50, 0.01] + [0, 900, 3]
+    y = (rng.random(600) < 1 / (1 + np.exp(-(x[:, 0] + (x[:, 1] - 900) / 40)))).astype(int)
+    member = [[c for c in range(4) if (i + c) % 3 or c == 3] for i in range(600)]
+    rows = [(f"r{i}", int(y[i]), *[float(v) for v in x[i]], m) for i, m in enumerate(member)] + [("gap", 1, None, 1.0, 2.0, [0, 1, 2, 3]), ("none", 0, 1.0, 1.0, 1.0, [])]
+    d = spark.createDataFrame(rows, "row_id string, y int, a double, b double, c double, cells array<int>").repartition(4)
+    cells = [batched.Cell(0.0), batched.Cell(0.3), batched.Cell(0.0, [0, 2]), batched.Cell(0.05, [1]), batched.Cell()]
+    fits = batched.fit_cells(d, ["a", "b", "c"], cells)
+    assert fits.converged.tolist() == [True] * 4 + [False] and np.isnan(fits.coefficients[4]).all()
+    for k, cell in enumerate(cells[:4]):
+        mine = np.array([k in m for m in member])
+        use = list(range(3) if cell.features is None else cell.features)
+        want = newton(x[mine][:, use], y[mine], cell.penalty)
+        assert fits.coefficients[k][[0, *[1 + u for u in use]]] == pytest.approx(want, rel=1e-5, abs=1e-7)
+        assert all(v == 0 for u, v in enumerate(fits.coefficients[k][1:]) if u not in use)
+    scored = batched.score_cells(d, ["a", "b", "c"], fits).collect()
+    assert len(scored) == sum(map(len, member)) + 4 and all((r.p is None) == (r.row_id == "gap") for r in scored)
+
+
+def test_batched_tuning_agrees_with_single_fits(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"r{i}", f"g{i // 3}", int(v[0] + v[1] > 0.3), float(v[0] + rng.normal()), float(v[1])) for i, v in enumerate(rng.normal(size=(240, 2)))]
+    d = spark.createDataFrame(rows, "row_id string, group_id string, y int, a double, b double").persist()
+    plan = splits.nested_splits(d, 3, 2, 1).persist()
+    grid = models.param_grid({"regParam": [0.0, 0.2]})
+    got = models.tuning_scores(d, plan, {(0, f): ["a", "b"][: f] if f < 3 else ["b"] for f in (1, 2, 3)}, grid)
+    part = d.join(plan.where("outer_fold = 2 AND role = 'outer_train'").select("row_id", "inner_fold"), "row_id")
+    for r in got[0, 2]:
+        fit, held = part.where(F.col("inner_fold") != r["inner_fold"]), part.where(F.col("inner_fold") == r["inner_fold"])
+        by = {s["split"]: s["auprc"] for s in models.fit_score(fit, held, ["a", "b"], "logistic", grid[r["setting"]] | {"tol": 1e-12, "maxIter": 200})[1].collect()}
+        assert (r["train"], r["test"]) == (pytest.approx(by["train"], abs=1e-9), pytest.approx(by["test"], abs=1e-9))
+
+
 def test_folds_with_other_features_are_refused(spark):
     d = lambda c: spark.createDataFrame([(c, 0, 0.5)], "feature string, repeat int, importance double")
     assert interpret.perm_combined({(0, 1): d("a"), (0, 2): d("a")}).count() == 2
