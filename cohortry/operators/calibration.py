@@ -1,15 +1,14 @@
 """Recalibration of probabilities and calibration measures.
 
 Logistic fits run as Newton steps: each step is one grouped sum over all groups at
-once, on rows combined per (group, distinct score), and only the few coefficients
-per group return to the driver.
+once, on rows combined per (group, distinct score), and the coefficients of the groups
+stay a table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortry.functions.rows import join_same
@@ -17,8 +16,8 @@ from cohortry.functions.columns import clip, logit
 from cohortry.functions.curves import linspace
 from cohortry.functions.hashing import hash_wide_mod
 from cohortry.functions.ordering import edge_bucket, grouped_quantiles, value_runs
+from cohortry.session import cut_lineage
 
-MAX_FITS = 200_000
 MODEL = ["model", "variant", "split"]
 Features = Callable[[Column], list[Column]]
 
@@ -44,6 +43,64 @@ def score_cells(df: DataFrame, keys: Sequence[str], score: str = "p", y: str = "
     )
 
 
+def _solved(h: dict[tuple[int, int], Column], g: list[Column]) -> list[Column]:
+    """Solution of a symmetric 2 x 2 or 3 x 3 system in closed form (Cramer's rule)."""
+    at = lambda i, j: h[min(i, j), max(i, j)]
+    if len(g) == 2:
+        det = at(0, 0) * at(1, 1) - at(0, 1) * at(0, 1)
+        return [(at(1, 1) * g[0] - at(0, 1) * g[1]) / det, (at(0, 0) * g[1] - at(0, 1) * g[0]) / det]
+
+    def minor(i: int, j: int) -> Column:
+        (r, t), (u, v) = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+        return (at(r, u) * at(t, v) - at(r, v) * at(t, u)) * (-1) ** (i + j)
+
+    det = sum((at(0, j) * minor(0, j) for j in range(1, 3)), at(0, 0) * minor(0, 0))
+    return [sum((minor(i, j) * g[j] for j in range(1, 3)), minor(i, 0) * g[0]) / det for i in range(3)]
+
+
+def _newton(data: DataFrame, state: DataFrame, keys: list[str], width: int, tol: float, nonnegative: bool, small: bool) -> DataFrame:
+    """One Newton step of every group that has not settled: a grouped sum, then a projection."""
+    x = [F.lit(1.0), *[F.col(f"x{i}") for i in range(1, width)]]
+    known = [c for c in state.columns if c not in keys]
+    d = join_same(data, F.broadcast(state) if small else state, keys) if keys else data.crossJoin(F.broadcast(state))
+    eta = sum((F.col(f"b{i}") * x[i] for i in range(1, width)), F.col("b0"))
+    d = d.withColumn("m", F.lit(1.0) / (1.0 + F.exp(-clip(eta, -500.0, 500.0))))
+    w = F.col("n") * F.col("m") * (1.0 - F.col("m"))
+    grad = [F.sum((F.col("pos") - F.col("n") * F.col("m")) * x[i]).alias(f"g{i}") for i in range(width)]
+    hess = [F.sum(w * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(width) for j in range(i, width)]
+    sums = d.groupBy(*keys, *known).agg(*grad, *hess)
+    free = [F.lit(True), *[F.col(f"free{i}") for i in range(1, width)]]
+    ridge = 1e-12 * sum((F.col(f"h{i}_{i}") for i in range(1, width)), F.col("h0_0"))
+    h = {}
+    for i in range(width):
+        for j in range(i, width):
+            own = F.col(f"h{i}_{j}") + ridge if i == j else F.col(f"h{i}_{j}")
+            h[i, j] = F.when(free[i] & free[j], own).otherwise(1.0 if i == j else 0.0)
+    steps = _solved(h, [F.when(free[i], F.col(f"g{i}")).otherwise(0.0) for i in range(width)])
+    moved = sums.select(*keys, *known, *[s.alias(f"s{i}") for i, s in enumerate(steps)])
+    reach = F.greatest(*[F.abs(f"s{i}") for i in range(width)])
+    # the first steps of a near-separable group stay finite
+    short = F.when(reach > 20, 20 / reach).otherwise(1.0)
+    after = [F.when(F.col("done"), F.col(f"b{i}")).otherwise(F.col(f"b{i}") + F.col(f"s{i}") * short) for i in range(width)]
+    moved = moved.select(*keys, "done", *[f"free{i}" for i in range(1, width)], *[a.alias(f"b{i}") for i, a in enumerate(after)], reach.alias("reach"))
+    settled = F.col("reach") < tol * F.greatest(F.lit(1.0), *[F.abs(f"b{i}") for i in range(width)])
+    if not nonnegative:
+        return moved.select(*keys, *known[:-1], (F.col("done") | settled).alias("done"))
+    lowest = F.least(*[F.when(F.col(f"free{i}"), F.col(f"b{i}")).otherwise(0.0) for i in range(1, width)], F.lit(0.0))
+    fixed = lambda i: ~F.col("done") & settled & F.col(f"free{i}") & (F.col(f"b{i}") < 0) & (F.col(f"b{i}") == lowest)
+    return moved.select(
+        *keys,
+        "b0", *[F.when(fixed(i), 0.0).otherwise(F.col(f"b{i}")).alias(f"b{i}") for i in range(1, width)],
+        *[(F.col(f"free{i}") & ~fixed(i)).alias(f"free{i}") for i in range(1, width)],
+        (F.col("done") | (settled & (lowest >= 0))).alias("done"),
+    )
+
+
+#: Newton steps between two looks at what has settled; groups whose coefficients are sent to all tasks at most.
+ROUND = 4
+SENT = 100_000
+
+
 def fit_logistic(
     cells: DataFrame,
     keys: Sequence[str],
@@ -53,56 +110,31 @@ def fit_logistic(
     max_iter: int = 30,
     tol: float = 1e-10,
 ) -> DataFrame:
-    """Unpenalised logistic regression per key on (keys, p, n, pos) cells.
+    """Unpenalised logistic regression per key on (keys, p, n, pos) cells, any number of groups at once.
 
-    Columns: keys, 'intercept' and ``names``; groups with one class are left out.
-    With ``nonnegative`` a negative slope is fixed at 0 and the rest refitted.
+    Columns: keys, 'intercept', ``names`` and 'converged'; groups with one class are left
+    out.  With ``nonnegative`` a negative slope is fixed at 0 and the rest refitted.  The
+    coefficients are a table; a step sums over all groups and solves each in columns, so
+    nothing but the number of unsettled groups is looked at outside.
     """
-    keys, spark = list(keys), cells.sparkSession
+    keys = list(keys)
     xs = features(F.col("p"))
     width = len(xs) + 1
     data = cells.select(*keys, "n", "pos", *[x.alias(f"x{i}") for i, x in enumerate(xs, 1)]).persist()
-    groups = data.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    rows = groups.where("pos > 0 AND pos < n").limit(MAX_FITS + 1).collect()
-    if len(rows) > MAX_FITS:
-        raise ValueError(f"more than {MAX_FITS} fits at once; split them")
-    beta = {tuple(r[k] for k in keys): np.zeros(width) for r in rows}
-    free = {k: np.ones(width, dtype=bool) for k in beta}
-    types = dict(data.dtypes)
-    schema = "".join(f"{k} {types[k]}, " for k in keys) + ", ".join(f"b{i} double" for i in range(width))
-    x = [F.lit(1.0), *[F.col(f"x{i}") for i in range(1, width)]]
-    active = set(beta)
-    for _ in range(max_iter * (2 if nonnegative else 1)):
-        if not active:
+    groups = data.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where("pos > 0 AND pos < n")
+    start = [*[F.lit(0.0).alias(f"b{i}") for i in range(width)], *[F.lit(True).alias(f"free{i}") for i in range(1, width)], F.lit(False).alias("done")]
+    state = cut_lineage(groups.select(*keys, *start))
+    n_groups = state.count()
+    left = max_iter * (2 if nonnegative else 1) if n_groups else 0
+    while left > 0:
+        for _ in range(min(ROUND, left)):
+            state = _newton(data, state, keys, width, tol, nonnegative, n_groups <= SENT)
+        left -= ROUND
+        state = cut_lineage(state)
+        if state.where(~F.col("done")).isEmpty():
             break
-        now = spark.createDataFrame([(*k, *map(float, beta[k])) for k in active], schema)
-        d = data.join(now, keys) if keys else data.withColumns({f"b{i}": F.lit(float(b)) for i, b in enumerate(beta[()])})
-        eta = sum((F.col(f"b{i}") * x[i] for i in range(1, width)), F.col("b0"))
-        d = d.withColumn("m", F.lit(1.0) / (1.0 + F.exp(-clip(eta, -500.0, 500.0))))
-        w = F.col("n") * F.col("m") * (1.0 - F.col("m"))
-        grad = [F.sum((F.col("pos") - F.col("n") * F.col("m")) * x[i]).alias(f"g{i}") for i in range(width)]
-        hess = [F.sum(w * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(width) for j in range(i, width)]
-        for r in d.groupBy(*keys).agg(*grad, *hess).collect():
-            k = tuple(r[c] for c in keys)
-            use = np.flatnonzero(free[k])
-            g = np.array([r[f"g{i}"] for i in range(width)])[use]
-            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(width)] for i in range(width)])[np.ix_(use, use)]
-            step = np.linalg.lstsq(h + 1e-12 * np.eye(len(use)) * np.trace(h), g, rcond=None)[0]
-            size = np.abs(step).max()
-            if size > 20:  # keep the first steps of a near-separable group finite
-                step *= 20 / size
-            beta[k][use] += step
-            if size < tol * max(1.0, np.abs(beta[k]).max()):
-                low = np.flatnonzero((beta[k][1:] < 0) & free[k][1:]) + 1 if nonnegative else []
-                if len(low):
-                    worst = low[np.argmin(beta[k][low])]
-                    free[k][worst], beta[k][worst] = False, 0.0
-                else:
-                    active.discard(k)
     data.unpersist()
-    out = [(*k, *map(float, b)) for k, b in beta.items()]
-    fields = "".join(f"{k} {types[k]}, " for k in keys) + "intercept double" + "".join(f", {n} double" for n in names)
-    return spark.createDataFrame(out, fields)
+    return state.select(*keys, F.col("b0").alias("intercept"), *[F.col(f"b{i}").alias(n) for i, n in enumerate(names, 1)], F.col("done").alias("converged"))
 
 
 def apply_logistic(df: DataFrame, fits: DataFrame, keys: Sequence[str], features: Features, names: Sequence[str], score: str = "p") -> DataFrame:
@@ -131,7 +163,7 @@ def recalibrate(oof: DataFrame, targets: DataFrame, method: str, keys: Sequence[
 def calibration_alpha_beta(df: DataFrame, keys: Sequence[str] = MODEL) -> DataFrame:
     """Calibration intercept and slope: logistic of y on logit(p)."""
     fits = fit_logistic(score_cells(df, keys), keys, logit_features, ["beta"])
-    return fits.withColumnRenamed("intercept", "alpha")
+    return fits.select(*keys, F.col("intercept").alias("alpha"), "beta")
 
 
 def bootstrap_cells(
