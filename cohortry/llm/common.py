@@ -52,6 +52,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_REMEMBERED: dict[tuple, object] = {}
+
+
+def remembered(owner: tuple, make: Callable[[], object] = dict) -> object:
+    """What a Python worker keeps between tasks of one operator.
+
+    Workers live on from stage to stage: the first task of another operator drops what the one before it kept.
+    """
+    if owner not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[owner] = make()
+    return _REMEMBERED[owner]
+
+
 #: Documents in an Arrow batch; a batch of whole texts is held by the JVM and by the Python worker.
 TEXT_BATCH = 1000
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"

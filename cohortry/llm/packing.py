@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortry.llm.common import TEXT_BATCH, keep
+from cohortry.llm.common import TEXT_BATCH, keep, remembered
 
 CAPACITY = 4096
 END_ID = 1
@@ -146,14 +146,9 @@ def pack_ids(ids: list[int]) -> bytes:
     return _PACKERS[len(ids)].pack(*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder_for(path: str) -> WordEncoder:
     """One encoder a worker process, so that tasks share what it remembers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return remembered(("packing", path), lambda: WordEncoder(path))
 
 
 def pieces_of(ids: bytes, capacity: int = CAPACITY, end_id: int = END_ID) -> list[tuple[int, int, int, int]]:

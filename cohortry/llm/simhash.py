@@ -33,7 +33,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortry.llm.common import TEXT_BATCH, components, discard, free_name, join_on, keep, text_of
+from cohortry.llm.common import TEXT_BATCH, components, discard, free_name, join_on, keep, remembered, text_of
 
 SHINGLE = 3
 SEED = 42
@@ -83,6 +83,7 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
 def fingerprint_column(text: str = "text") -> Column:
     @F.pandas_udf("long")
     def prints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        remembered(("simhash",))
         for texts in parts:
             yield pd.Series([_signed(fingerprint(t)) for t in texts], dtype="int64")
 
@@ -170,6 +171,7 @@ def _sketches(common: np.ndarray) -> Callable[[Column], Column]:
 
     @F.pandas_udf("sig long, n int, parity array<long>, prefix array<long>, lead int")
     def sketch(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        remembered(("simhash",))
         for texts in parts:
             out = []
             for t in texts:
@@ -191,6 +193,7 @@ def _sketches(common: np.ndarray) -> Callable[[Column], Column]:
 def _codes_column(text: str) -> Column:
     @F.pandas_udf("array<long>")
     def codes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        remembered(("simhash",))
         for texts in parts:
             yield pd.Series([shingle_codes(t).view(np.int64) for t in texts], dtype="object")
 

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortry.llm.common import drawn, fold
+from cohortry.llm.common import drawn, fold, remembered
 
 DIMS = 1 << 20
 TERMS = 1500
@@ -148,6 +148,7 @@ def fit(texts: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabel
     chosen = marked.where(F.col("sure") | F.col("drawn"))
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered(("toxicity",))
         terms = Terms()
         for frame in parts:
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype(str), "sure": frame["sure"].notna(), "drawn": frame["drawn"], "f": [np.sort(terms.of(t)).tobytes() for t in frame["text"]]})
@@ -166,6 +167,7 @@ def score_column(spark, model: Model | None, text: str = "text") -> Column:
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        remembered(("toxicity",))
         terms, own = Terms(), shared.value
         for texts in parts:
             yield pd.Series([own.score(terms.of(t)) if own else 0.0 for t in texts], dtype="float64")
