@@ -191,10 +191,19 @@ def nested_cv(
 
 
 def oof_predictions(train: DataFrame, features: Sequence[str], estimator, params: Mapping | None = None, k: int = 5, row: str = "row_id", y: str = "y") -> DataFrame:
-    """Score every training row with a fresh model that did not see its fold; null where a feature is missing."""
+    """Score every training row with a fresh model that did not see its fold; null where a feature is missing.
+
+    The models of logistic regressions are fitted together.
+    """
     d = train.withColumn("__h", hash_key("oof", F.col(row)))
     d = row_index(d, [y], ["__h"], hash_bucket(F.col("__h")), "__i")
     d = d.withColumn("oof_fold", (1 + F.col("__i") % k).cast("int")).drop("__h", "__i").persist()
+    if is_batched(estimator, [params or {}]):
+        others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: c != F.col("oof_fold") - 1)
+        cell = batched.Cell(float((params or {}).get("regParam", 0.0)), None, int((params or {}).get("maxIter", batched.STEPS)))
+        fits = batched.fit_cells(d.withColumn("__cells", others), features, [cell] * k, y, "__cells")
+        held = d.withColumn("__cells", F.array(F.col("oof_fold") - 1))
+        return batched.score_cells(held, features, fits, "__cells", "__cell").select(*d.columns, "p")
     out = None
     for fold in range(1, k + 1):
         model = fit_model(d.where(F.col("oof_fold") != fold), features, estimator, params, y)

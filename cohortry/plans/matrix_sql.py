@@ -1,4 +1,4 @@
-"""Correlation matrices, their inverses and eliminations as SQL lists, for the oracles of collinearity queries."""
+"""Matrices as SQL lists, for oracles: correlations, inverses, eliminations, Newton steps of logistic regressions."""
 
 from __future__ import annotations
 
@@ -33,3 +33,26 @@ def elimination(tag: str, inverses: str, columns: Sequence[str], threshold: floa
             SELECT *, [list_avg([b[i][i] FOR b IN bs]) FOR i IN range(1, len(names) + 1)] AS d FROM {tag}e))
         WHERE len(names) > 1 AND d[w] > {threshold}),
       {tag} AS (SELECT {k}CAST(step AS INTEGER) AS step, removed, vif FROM {tag}e WHERE step > 0)"""
+
+
+def newton(tag: str, src: str, keys: str, d: int, steps: int = 14) -> str:
+    """Expression ``tag`` (keys, b): logistic coefficients of each group of ``src`` (keys, y, x, penalty).
+
+    ``x`` is a list of ``d`` numbers, the first 1; ``penalty`` is a list of as many weights
+    of the squared coefficients, summed over rows.  Each step solves its system by elimination.
+    """
+    index = range(1, d + 1)
+    out = [f"{tag}0 AS (SELECT {keys}, [0.0::DOUBLE FOR i IN range({d})] AS b FROM {src} GROUP BY {keys} HAVING sum(y) > 0 AND sum(y) < count(*))"]
+    rows = ", ".join("[" + ", ".join([*[f"sum(w * x[{min(i, j)}] * x[{max(i, j)}]){f' + any_value(penalty[{i}])' if i == j else ''}" for j in index], f"sum((y - m) * x[{i}]) - any_value(penalty[{i}] * b[{i}])"]) + "]" for i in index)
+    for t in range(1, steps + 1):
+        now = f"""SELECT {keys}, b, [{rows}] AS a FROM (SELECT *, m * (1 - m) AS w FROM (
+          SELECT *, 1 / (1 + exp(-list_dot_product(b, x))) AS m FROM {src} JOIN {tag}{t - 1} USING ({keys}))) GROUP BY {keys}, b"""
+        out.append(f"{tag}s{t}_0 AS MATERIALIZED ({now})")
+        for k in index:
+            out.append(
+                f"""{tag}s{t}_{k} AS MATERIALIZED (SELECT {keys}, b, [[CASE WHEN i = {k} THEN a[{k}][j] / a[{k}][{k}] ELSE a[i][j] - a[i][{k}] * a[{k}][j] / a[{k}][{k}] END
+                FOR j IN range(1, {d + 2})] FOR i IN range(1, {d + 1})] AS a FROM {tag}s{t}_{k - 1})"""
+            )
+        out.append(f"{tag}{t} AS MATERIALIZED (SELECT {keys}, [b[i] + a[i][{d + 1}] FOR i IN range(1, {d + 1})] AS b FROM {tag}s{t}_{d})")
+    out.append(f"{tag} AS (SELECT * FROM {tag}{steps})")
+    return ", ".join(out)

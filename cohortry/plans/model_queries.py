@@ -70,9 +70,21 @@ def nested_cv_fold_features(spark, folder):
     return fold_metrics(out)
 
 
-@query("oof_predictions")
+LABELLED = r"""ld AS (SELECT doc_id AS row_id, source AS group_id, quality AS y, n_chars::DOUBLE AS n_chars, len(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'))::DOUBLE AS n_words,
+    len(string_split(text, chr(10)))::DOUBLE AS n_lines, length(regexp_replace(text, '[^0-9]', '', 'g'))::DOUBLE AS n_digits,
+    length(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE AS n_upper FROM documents JOIN labels USING (doc_id)),
+  lz AS (SELECT row_id, y, [1.0::DOUBLE, """ + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()" for c in TEXT) + "] AS x FROM ld)"
+OOF = f"""{LABELLED}, of AS (SELECT *, CAST(1 + (row_number() OVER (PARTITION BY y ORDER BY md5('oof:' || row_id)) - 1) % 3 AS INTEGER) AS oof_fold FROM lz),
+  tr AS (SELECT f AS fold, y, x, [0.0::DOUBLE FOR i IN range(6)] AS penalty FROM of, range(1, 4) t(f) WHERE f <> oof_fold), {msql.newton('nw', 'tr', 'fold', 6, 24)}"""
+
+
+@query(
+    "oof_predictions",
+    f"WITH RECURSIVE {OOF} SELECT row_id, oof_fold, y, {R('1 / (1 + exp(-list_dot_product(b, x)))', 5)} AS p FROM of JOIN nw ON nw.fold = of.oof_fold",
+)
 def oof_predictions(spark, folder):
-    return ml.oof_predictions(documents(spark, folder), TEXT, "logistic", LR, 3).select("row_id", "oof_fold", "y", "p")
+    d = ml.oof_predictions(documents(spark, folder), TEXT, "logistic", LR, 3)
+    return d.select("row_id", "oof_fold", "y", r6(F.col("p"), 5).alias("p"))
 
 
 # ----------------------------------------------- selection inside the folds

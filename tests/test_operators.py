@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.functions import kernels, shuffles
 from cohortry.functions.curves import interp_grid
 from cohortry.functions.hashing import hash_mod
-from cohortry.operators import assemble, batched, calibration, features, gram, interpret, metrics, models, prep, relief, risk, scorers, select, signal, splits, states, sweep
+from cohortry.operators import assemble, batched, calibration, features, gram, interpret, metrics, microstates, models, prep, relief, risk, scorers, select, signal, splits, states, sweep
 from cohortry.plans.views import FEATURES, V
 from cohortry.sources import bundle, scan
 from cohortry.table import FeatureTable
@@ -165,6 +165,50 @@ def test_batched_tuning_agrees_with_single_fits(spark):
         assert (r["train"], r["test"]) == (pytest.approx(by["train"], abs=1e-9), pytest.approx(by["test"], abs=1e-9))
 
 
+def test_smoothing_weighs_fit_against_neighbours():
+    rng = np.random.default_rng(6)
+    c = np.linalg.qr(rng.normal(size=(5, 3)))[0].T
+    truth = np.repeat([0, 1, 2, 0], 25)
+    x = c[truth] * rng.choice([-3, 3], size=(100, 1)) + rng.normal(size=(100, 5)) * 1.3
+    plain = ((x @ c.T) ** 2).argmax(axis=1)
+    assert (microstates.smoothed(x, c, factor=0) == plain).all()
+    labels = microstates.smoothed(x, c, factor=10, half=4)
+    assert (labels == truth).mean() > max(0.9, (plain == truth).mean()) and len(microstates.runs_of(labels)[0]) < len(microstates.runs_of(plain)[0])
+    counts = microstates.window_counts(labels, 3, 4)
+    assert all(counts[t, k] == (labels[max(0, t - 4) : t + 5] == k).sum() for t in range(100) for k in range(3))
+    # the labels are a fixed point: none would be chosen otherwise given the noise they leave
+    explained = (x @ c.T) ** 2
+    noise = ((x * x).sum(axis=1) - explained[np.arange(100), labels]).mean() / 4
+    cost = ((x * x).sum(axis=1)[:, None] - explained) / (8 * noise) - 10 * counts
+    assert (cost.argmin(axis=1) == labels).mean() > 0.97
+
+
+def test_short_runs_join_the_longer_neighbour():
+    labels = np.array([0, 0, 0, 1, 2, 2, 0, 1, 1])
+    assert microstates.without_short_runs(labels, 2).tolist() == [0, 0, 0, 0, 2, 2, 2, 1, 1]
+    assert microstates.without_short_runs(np.array([4]), 3).tolist() == [4] and microstates.runs_of(np.array([], dtype=int))[0].size == 0
+
+
+def test_microstates_of_planted_maps(spark):
+    rng = np.random.default_rng(9)
+    c = np.linalg.qr(rng.normal(size=(6, 6)))[0][:, 1:4].T
+    c -= c.mean(axis=1, keepdims=True)
+    rows = []
+    for t in range(2048):
+        k = t // 32 % 3
+        v = c[k] * (3 + 2 * math.sin(t)) * (-1) ** (t // 5) + rng.normal(size=6) * 0.05
+        rows += [("a", f"c{i}", t, float(v[i])) for i in range(6)]
+    rows += [("flat", f"c{i}", t, 1.0) for i in range(6) for t in range(128)] + [("short", f"c{i}", t, float(t == 20) * i) for i in range(6) for t in range(64)]
+    signal = spark.createDataFrame(rows, "recording string, channel string, t_idx bigint, value double")
+    summary, labels = microstates.subject_microstates(signal, [f"c{i}" for i in range(6)], 64, 100.0, [2, 3, 4], n_init=4, n_final=4, max_iter=30, peak_distance_s=0.01, half_window=2, min_segment=2, reject_edges=False)
+    got = {r.recording: r for r in summary.collect()}
+    assert {k: r.status for k, r in got.items()} == {"a": "ok", "flat": "no peaks", "short": "too few peaks"}
+    assert got["a"].converged and got["a"].n_epochs == 32 and got["a"].total_gev > 0.95 and 2 < got["a"].best_k <= 4
+    runs = labels.groupBy("recording").agg(F.count("*").alias("n"), F.count("state").alias("told")).collect()
+    assert [(r.n, r.told) for r in runs] == [(2048, 2048)]
+    assert got["a"].mean_time_coverage == pytest.approx(1 / got["a"].best_k)
+
+
 def test_folds_with_other_features_are_refused(spark):
     d = lambda c: spark.createDataFrame([(c, 0, 0.5)], "feature string, repeat int, importance double")
     assert interpret.perm_combined({(0, 1): d("a"), (0, 2): d("a")}).count() == 2
