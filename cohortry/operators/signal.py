@@ -7,15 +7,18 @@ into chunks that carry that margin, and no task ever holds a whole recording.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from cohortry.functions.ordering import row_index
 
 CHUNK = 8192
+#: Taps from which on filters are applied by FFT.
+LONG_FILTER = 192
 
 
 def drop_channels(signal: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -91,37 +94,68 @@ def _chunks(signal: DataFrame, margin: int, chunk: int) -> DataFrame:
     return signal.withColumn("chunk", F.explode(F.sequence(lo, F.expr(f"(t_idx + {margin}) div {chunk}"))))
 
 
+def _on_chunks(signal: DataFrame, margin: int, chunk: int, work: Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``work(t_idx, value, chunk number)`` on every chunk with its margins, as arrays in time order; its results as rows.
+
+    A chunk crosses to Python and back as two arrays, not as a row for each sample.
+    """
+    d = _chunks(signal.select("recording", "channel", "t_idx", "value"), margin, chunk)
+    lists = d.groupBy("recording", "channel", "chunk").agg(F.collect_list(F.struct(F.col("t_idx").cast("bigint").alias("t"), F.col("value").cast("double").alias("x"))).alias("s"))
+    arrays = lists.select("recording", "channel", "chunk", F.col("s.t").alias("t"), F.col("s.x").alias("x"))
+    fields = StructType([signal.schema["recording"], signal.schema["channel"], StructField("t", ArrayType(LongType())), StructField("y", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column("t").value_lengths().to_numpy())
+            times, values = batch.column("t").flatten().to_numpy(), batch.column("x").flatten().to_numpy(zero_copy_only=False)
+            out, sizes = [(np.empty(0, np.int64), np.empty(0))], [0]
+            for k, stop in enumerate(ends):
+                start = ends[k - 1] if k else 0
+                order = np.argsort(times[start:stop], kind="stable")
+                out.append(work(times[start:stop][order], values[start:stop][order], batch.column("chunk")[k].as_py()))
+                sizes.append(len(out[-1][0]))
+            offsets = pa.array(np.cumsum(sizes), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([o[i] for o in out]))) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("recording"), batch.column("channel"), *lists], names=["recording", "channel", "t", "y"])
+
+    found = arrays.mapInArrow(run, fields)
+    return found.select("recording", "channel", F.inline(F.arrays_zip(F.col("t").alias("t_idx"), F.col("y").alias("value"))))
+
+
 def fir_filter(signal: DataFrame, taps: np.ndarray, chunk: int = CHUNK) -> DataFrame:
-    """Zero-phase FIR per (recording, channel); ends are extended by point reflection."""
+    """Zero-phase FIR per (recording, channel); ends are extended by point reflection.
+
+    Overlap-save: a chunk is convolved together with the samples around it that its own
+    samples need, and keeps those alone.
+    """
     taps = np.asarray(taps, dtype=float)
     margin = len(taps) // 2
     if chunk <= 2 * margin:
         raise ValueError("chunk must be longer than the filter")
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_idx")
-        t, x = pdf["t_idx"].to_numpy(), pdf["value"].to_numpy(dtype=float)
-        c = int(pdf["chunk"].iloc[0])
+    def work(t: np.ndarray, x: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
         inside = (t >= c * chunk) & (t < (c + 1) * chunk)
         if not inside.any():
-            return pdf.iloc[:0][["recording", "channel", "t_idx", "value"]]
-        left = max(0, margin - int(inside.argmax()))
-        right = max(0, margin - int(inside[::-1].argmax()))
+            return t[:0], x[:0]
+        first, own = int(inside.argmax()), int(inside.sum())
+        left, right = max(0, margin - first), max(0, margin - (len(t) - first - own))
         if len(x) > 1 and (left or right):
             x = np.pad(x, (left, right), mode="reflect", reflect_type="odd")
         elif left or right:
             x = np.pad(x, (left, right), mode="edge")
         # position of the first own sample in the padded array
-        start = int(inside.argmax()) + left - margin
-        y = np.convolve(x, taps, mode="valid")[start : start + int(inside.sum())]
-        out = pdf.loc[inside, ["recording", "channel", "t_idx"]].copy()
-        out["value"] = y
-        return out
-
-    types = dict(signal.dtypes)
-    schema = f"recording {types['recording']}, channel string, t_idx bigint, value double"
-    d = _chunks(signal.select("recording", "channel", "t_idx", "value"), margin, chunk)
-    return d.groupBy("recording", "channel", "chunk").applyInPandas(fn, schema)
+        start = first + left - margin
+        return t[inside], _convolved(x, taps)[start : start + own]
+
+    return _on_chunks(signal, margin, chunk, work)
+
+
+def _convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Full-overlap convolution, by FFT where the filter is long."""
+    if len(taps) < LONG_FILTER or not np.isfinite(x).all():
+        return np.convolve(x, taps, mode="valid")
+    n = 1 << (len(x) + len(taps) - 2).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(taps, n), n)[len(taps) - 1 : len(x)]
 
 
 def bandpass(signal: DataFrame, fs: float, low: float | None, high: float | None, n_taps: int = 33, chunk: int = CHUNK) -> DataFrame:
@@ -154,13 +188,10 @@ def resample(signal: DataFrame, up: int, down: int, zeros: int = 8, chunk: int =
     cutoff = min(1.0, up / down)
     reach = math.ceil(zeros / cutoff)
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t_idx")
-        t, x = pdf["t_idx"].to_numpy(), pdf["value"].to_numpy(dtype=float)
-        c = int(pdf["chunk"].iloc[0])
+    def work(t: np.ndarray, x: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
         own = t[(t >= c * chunk) & (t < (c + 1) * chunk)]
         if len(own) == 0:
-            return pd.DataFrame(columns=["recording", "channel", "t_idx", "value"])
+            return t[:0], x[:0]
         after = t[t >= (c + 1) * chunk]
         stop = -(-int(after[0]) * up // down) if len(after) else int(own[-1]) * up // down + 1
         m = np.arange(-(-int(own[0]) * up // down), stop)
@@ -183,12 +214,9 @@ def resample(signal: DataFrame, up: int, down: int, zeros: int = 8, chunk: int =
             with np.errstate(invalid="ignore", divide="ignore"):
                 y[mine] = ((dense[where] * inside) @ h) / weight
         found = np.isfinite(y)
-        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "channel": pdf["channel"].iloc[0], "t_idx": m[found], "value": y[found]})
+        return m[found], y[found]
 
-    types = dict(signal.dtypes)
-    schema = f"recording {types['recording']}, channel string, t_idx bigint, value double"
-    d = _chunks(signal.select("recording", "channel", "t_idx", "value"), reach, chunk)
-    return d.groupBy("recording", "channel", "chunk").applyInPandas(fn, schema)
+    return _on_chunks(signal, reach, chunk, work)
 
 
 # ------------------------------------------------------------------ blocks

@@ -129,9 +129,20 @@ def decimate_mean(spark, folder):
     return _rounded(sg.decimate_mean(V(spark, folder).signal(), 4), ["value"], 6)
 
 
-@query("resample")
+@query(
+    "resample",
+    with_views(
+        "sig",
+        f"""SELECT recording, channel, m AS t_idx, {R('sum(h * value) / sum(h)')} AS value FROM (
+          SELECT recording, channel, m, value, (CASE WHEN d = 0 THEN 1 ELSE sin(pi() * 0.75 * d) / (pi() * 0.75 * d) END) * (0.5 + 0.5 * cos(pi() * d / 11)) AS h FROM (
+            SELECT g.recording, g.channel, g.m, s.value, ((g.m * 4) % 3) / 3.0::DOUBLE - (s.t_idx - (g.m * 4) // 3) AS d FROM
+              (SELECT recording, channel, unnest(range(0, max(t_idx) * 3 // 4 + 1)) AS m FROM sig GROUP BY recording, channel) g
+              JOIN sig s ON s.recording = g.recording AND s.channel = g.channel AND s.t_idx BETWEEN (g.m * 4) // 3 - 11 AND (g.m * 4) // 3 + 12)
+          WHERE abs(d) <= 11) GROUP BY ALL""",
+    ),
+)
 def resample(spark, folder):
-    return sg.resample(V(spark, folder).signal(), 3, 4, chunk=1024)
+    return _rounded(sg.resample(V(spark, folder).signal(), 3, 4, chunk=1024), ["value"], 6)
 
 
 @query(
