@@ -28,7 +28,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query("op1_secret_scan")
 def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.scan_versions(_table(spark, folder, "documents")).drop("blob")
+    return secrets.scan_in_runs(_table(spark, folder, "documents")).drop("blob")
 
 
 @query("op2_quality_rules")
@@ -54,7 +54,7 @@ def op5_toxicity_pu(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_repeated_bytes")
 def op6_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.remove_repeats(_table(spark, folder, "documents"))
+    return repeats.remove_repeats(_table(spark, folder, "documents")).withColumn("repeated", F.col("n_removed") > 0)
 
 
 @query("op7_language_id")

@@ -168,6 +168,18 @@ def scan_versions(
     )
 
 
+def scan_in_runs(versions: DataFrame, path: str = "doc_id", content: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``scan_versions`` as a corpus that grows is scanned: half of the versions first, then all of them.
+
+    The ledger and the findings of the first run are written tables; the second run reads them, scans only the
+    contents that they do not list, and joins stored and new findings back to all paths.
+    """
+    early = versions.where(F.pmod(F.xxhash64(path), F.lit(2)) == 0)
+    found, added = scan_new(early, None, rules, content)
+    findings, ledger = keep(found, "findings"), keep(added, "ledger")
+    return scan_versions(versions, path, content, ledger, rules, findings)
+
+
 def redact(docs: DataFrame, content: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The same rows with every found span replaced by a mark; overlapping and touching spans share one.
 

@@ -45,9 +45,11 @@ _SLICE = 1 << 16
 #: Dropping near duplicates: words a shingle and the least Jaccard similarity, as a fraction.
 WIDTH = 5
 ALIKE = (4, 5)
-#: Bits of the parities, leaders of a large bucket, texts of the sample and the most common shingles it names.
+#: Members of a shingle that are paired out, leaders that the members of a larger one meet first, bits of the parities,
+#: texts of the sample and the most common shingles it names.
+CROWD = 8
+LEADERS = 3
 PARITY = 256
-LEADERS = 8
 SAMPLE = 5000
 COMMON = 100_000
 
@@ -233,13 +235,16 @@ def _alike(pairs: DataFrame, heads: DataFrame, docs: DataFrame, doc_id: str, tex
     wanted = keep(heads.join(sigs, "sig", "left_semi").select("sig", "doc_id", "text_hash"), "compared")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), F.col(text).alias("text"))
     found = join_on(texts, wanted, ["doc_id", "text_hash"]).select("sig", "text")
-    sets = keep(found.select("sig", _codes_column("text").alias("codes")), "sets", TEXT_BATCH).dropDuplicates(["sig"])
+    codes = keep(found.select("sig", _codes_column("text").alias("codes")), "codes", TEXT_BATCH)
+    sets = codes.dropDuplicates(["sig"])
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("codes").alias("ca")), "a").join(sets.select(F.col("sig").alias("b"), F.col("codes").alias("cb")), "b")
     shared = F.size(F.array_intersect("ca", "cb"))
-    return keep(both.where(shared * (ALIKE[0] + ALIKE[1]) >= (F.size("ca") + F.size("cb")) * ALIKE[0]).select("a", "b"), "alike")
+    alike = keep(both.where(shared * (ALIKE[0] + ALIKE[1]) >= (F.size("ca") + F.size("cb")) * ALIKE[0]).select("a", "b"), "alike")
+    discard(pairs, wanted, codes)
+    return alike
 
 
-def alike_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+def alike_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, sig) of ``docs`` and one row for each shingle set: sig, head's doc_id and text_hash, root.
 
     Sets share a root exactly if pairs of a Jaccard similarity of at least ALIKE connect them. Candidates share a
@@ -248,13 +253,16 @@ def alike_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buc
     not paired out.
     """
     sketch = _sketches(_common_shingles(docs, text))
-    rows = keep(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), sketch(F.col(text)).alias("s")).select("doc_id", "text_hash", "s.*"), "shingles", TEXT_BATCH)
+    sketched = keep(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), sketch(F.col(text)).alias("s")).select("doc_id", "text_hash", "s.*"), "shingles", TEXT_BATCH)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("head")
-    heads = keep(rows.groupBy("sig").agg(first, F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"), F.first("lead").alias("lead")).select("sig", "head.doc_id", "head.text_hash", "n", "parity", "prefix", "lead"), "heads")
-    spots = heads.select("sig", "n", F.posexplode("prefix").alias("at", "h"), F.col("lead").alias("leads")).select("h", "sig", "n", (F.col("at") < F.col("leads")).alias("lead"))
+    whole = keep(sketched.groupBy("sig").agg(first, F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"), F.first("lead").alias("lead")).select("sig", "head.doc_id", "head.text_hash", "n", "parity", "prefix", "lead"), "heads")
+    rows = keep(sketched.select("doc_id", "text_hash", "sig"), "rows")
+    discard(sketched)
+    spots = whole.select("sig", "n", F.posexplode("prefix").alias("at", "h"), F.col("lead").alias("leads")).select("h", "sig", "n", (F.col("at") < F.col("leads")).alias("lead"))
     shared = keep(spots.groupBy("h").agg(F.count("*").alias("c"), F.max("lead").alias("any")).where("c > 1 and any").select(F.col("h").alias("k"), "c"), "shared")
     live = keep(spots.join(shared, F.col("h") == F.col("k")).drop("k"), "live")
-    discard(shared)
+    heads = keep(whole.drop("prefix", "lead"), "sets")
+    discard(shared, whole)
     marks = heads.select("sig", "n", "parity")
     few, many = live.where(F.col("c") <= bucket).drop("c"), live.where(F.col("c") > bucket).drop("c")
     leaders = many.groupBy("h").agg(*[F.min_by("sig", F.xxhash64("sig", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
@@ -268,10 +276,10 @@ def alike_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buc
     more = _alike(_possible(_meet(crowd, crowd, F.col("root") != F.col("other_root")), marks), heads, docs, doc_id, text)
     if more.limit(1).count():
         roots = keep(components(links.union(more)), "roots")
-    return rows.select("doc_id", "text_hash", "sig"), placed(heads.select("sig", "doc_id", "text_hash"))
+    return rows, placed(heads.select("sig", "doc_id", "text_hash"))
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = CROWD) -> DataFrame:
     """One row of ``docs`` for each component of texts with a Jaccard similarity of at least ALIKE; all columns are kept.
 
     It is a row with the component's smallest id, nulls last, and among these the smallest text hash. Rows without an
