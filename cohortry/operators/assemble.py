@@ -61,9 +61,16 @@ def select_ranked(table: FeatureTable, ranking: DataFrame, top_k: int | None = N
 
 
 def count_feature_columns(features: DataFrame, codes: DataFrame) -> DataFrame:
-    """Number of columns whose name contains each code (both are name lists)."""
-    hit = F.contains(F.col("feature"), F.col("code"))
-    return codes.join(features, hit, "left").groupBy("code").agg(F.count("feature").alias("n_columns"))
+    """Number of columns whose name contains each code.
+
+    Names are cut into the substrings as long as some code, which meet the codes by equality.
+    """
+    sizes = [r[0] for r in codes.select(F.length("code")).where("code is not null").distinct().collect()]  # lengths of codes
+    cuts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("feature") - n + 1, F.lit(1))), lambda at: F.substring(F.col("feature"), at, F.lit(n)))
+    parts = F.array_distinct(F.flatten(F.array(*[cuts(n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    named = features.where(F.col("feature").isNotNull()).select("feature", F.explode(parts).alias("code"))
+    found = named.groupBy("code").agg(F.count("feature").alias("n_columns"))
+    return codes.select("code").distinct().join(found, "code", "left").select("code", F.coalesce("n_columns", F.lit(0).cast("bigint")).alias("n_columns"))
 
 
 # ------------------------------------------------------------ combine rows

@@ -12,9 +12,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortry.functions.columns import clip
-from cohortry.functions.ordering import column_quantiles
+from cohortry.functions.ordering import BUCKET, column_quantiles, row_index, text_bucket, with_range_bucket
+from cohortry.session import cut_lineage
 
-MAX_LEVELS = 10_000
+#: Ordinal levels of a column that are written into the plan, and one-hot columns a schema may get from one column.
+INLINE = 2000
+WIDEST = 10_000
 PARAMS = "feature string, lower double, upper double, fill double, mean double, scale double, kind string"
 
 
@@ -211,10 +214,15 @@ def cardinality_buckets(
 
 
 class Encoder:
-    """One-hot and ordinal encoding with levels in first-appearance order."""
+    """One-hot and ordinal encoding with levels in first-appearance order.
 
-    def __init__(self, kinds: dict[str, str], levels: dict[str, list[str]]):
-        self.kinds, self.levels = kinds, levels
+    Ordinal columns of more than ``INLINE`` levels keep them as a table (level, code) that
+    is joined; any number of levels can be coded.  One-hot levels are columns, so the
+    schema bounds them.
+    """
+
+    def __init__(self, kinds: dict[str, str], levels: dict[str, list[str]], tables: dict[str, DataFrame] | None = None):
+        self.kinds, self.levels, self.tables = kinds, levels, tables or {}
 
     @staticmethod
     def fit(
@@ -224,18 +232,22 @@ class Encoder:
         given: Mapping[str, Sequence[str]] | None = None,
     ) -> Encoder:
         """``kinds``: column -> onehot | ordinal | dropped | passthrough."""
-        coded = [c for c, k in kinds.items() if k in ("onehot", "ordinal")]
-        levels: dict[str, list[str]] = {c: [] for c in coded}
+        coded = [c for c, k in kinds.items() if k in ("onehot", "ordinal") and c not in (given or {})]
+        levels: dict[str, list[str]] = {c: list(v) for c, v in (given or {}).items()}
+        tables: dict[str, DataFrame] = {}
         if coded:
-            found = level_table(df, coded, order).where(F.col("level").isNotNull())
-            rows = found.orderBy("feature", "first").limit(MAX_LEVELS + 1).collect()
-            if len(rows) > MAX_LEVELS:
-                raise ValueError(f"more than {MAX_LEVELS} levels; drop or pass through such columns")
-            for r in rows:
-                levels[r["feature"]].append(r["level"])
-        for c, order_given in (given or {}).items():
-            levels[c] = list(order_given)
-        return Encoder(dict(kinds), levels)
+            found = cut_lineage(level_table(df, coded, order).where(F.col("level").isNotNull()))
+            sizes = {r["feature"]: r["n"] for r in found.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a column
+            for c in coded:
+                mine = found.where(F.col("feature") == c)
+                if kinds[c] == "onehot" and sizes.get(c, 0) > WIDEST:
+                    raise ValueError(f"{c} has {sizes[c]} levels: more one-hot columns than the {WIDEST} a table may have")
+                if kinds[c] == "onehot" or sizes.get(c, 0) <= INLINE:
+                    levels[c] = [r["level"] for r in mine.orderBy("first", "level").collect()]
+                else:
+                    ranged = lambda d: d.withColumn(BUCKET, text_bucket(d, "first")) if dict(d.dtypes)["first"] == "string" else with_range_bucket(d, "first")
+                    tables[c] = row_index(mine, [], ["first", "level"], ranged, "code", largest=sizes[c]).select("level", "code")
+        return Encoder(dict(kinds), levels, tables)
 
     def columns(self) -> list[tuple[str, str, str, str | None, Column]]:
         """(out column, source, type, level, expression)."""
@@ -246,6 +258,8 @@ class Encoder:
                 for level in self.levels[c][1:]:
                     flag = F.when(F.col(c).isNotNull(), (s == level).cast("double"))
                     out.append((f"{c}_{level}", c, "onehot", level, flag))
+            elif c in self.tables:
+                out.append((c, c, "ordinal", None, F.col(f"__code_{c}").cast("double")))
             elif kind == "ordinal":
                 code = F.array_position(F.array(*[F.lit(x) for x in self.levels[c]]), s) - 1
                 out.append((c, c, "ordinal", None, F.when(code >= 0, code.cast("double"))))
@@ -255,6 +269,9 @@ class Encoder:
 
     def transform(self, df: DataFrame) -> DataFrame:
         keep = [F.col(c) for c in df.columns if c not in self.kinds]
+        for c, table in self.tables.items():
+            known = table.select(F.col("level").alias(f"__level_{c}"), F.col("code").alias(f"__code_{c}"))
+            df = df.join(known, F.col(c).cast("string") == F.col(f"__level_{c}"), "left")
         return df.select(*keep, *[e.alias(name) for name, *_, e in self.columns()])
 
     def meta(self, spark, numeric: Sequence[str] = ()) -> DataFrame:

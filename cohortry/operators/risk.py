@@ -137,10 +137,10 @@ class _Pool:
         cells = runs.select(*keys, BUCKET).distinct().join(caps, keys)
         bounds = (F.col("p_cap_low"), F.col("p_cap_high"))
         c = runs.join(cells, [*keys, BUCKET]).withColumn("c", clip(F.col("p"), *bounds))
-        n, s1 = F.sum("n"), F.sum(F.col("n") * F.col("c"))
-        s2 = F.sum(F.col("n") * F.col("c") * F.col("c"))
+        means = c.groupBy(*keys).agg((F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias("__mean"))
+        n = F.sum("n")
         if self.agg == "mean":
-            center = s1 / n
+            center = F.max("__mean")
         elif self.agg == "max":
             center = F.max("c")
         elif self.agg == "softmax":
@@ -149,8 +149,11 @@ class _Pool:
             center = F.sum(w * F.col("c")) / F.sum(w)
         else:
             center = run_quantile("c", self.quantile)
-        spread = F.sqrt(F.greatest(F.try_divide(s2 - s1 * s1 / n, n - self.ddof), F.lit(0.0)))
-        out = c.groupBy(*keys).agg(
+        # squares around the mean, as for small units
+        off = F.col("c") - F.col("__mean")
+        spread = F.sqrt(F.try_divide(F.sum(F.col("n") * off * off), n - self.ddof))
+        spots = c.select(*keys, BUCKET).distinct().join(means, keys)
+        out = c.join(spots, [*keys, BUCKET]).groupBy(*keys).agg(
             n.cast("int").alias("n_windows"),
             center.alias(self.name),
             spread.alias("p_total_std"),

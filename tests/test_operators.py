@@ -326,6 +326,24 @@ def test_one_hot_of_missing_is_null_and_levels_keep_order(spark):
     assert out == {1: (0.0, 0.0), 2: (1.0, 0.0), 3: (None, None), 4: (0.0, 1.0)}
 
 
+def test_many_levels_are_coded_by_a_join(spark, monkeypatch):
+    d = spark.range(900).select(F.format_string("r%04d", F.col("id")).alias("row_id"), F.when(F.col("id") % 9 != 4, F.concat(F.lit("v"), (F.col("id") * 7 % 300))).alias("s"))
+    plain = {r.row_id: r.s for r in prep.Encoder.fit(d, {"s": "ordinal"}).transform(d).collect()}
+    monkeypatch.setattr(prep, "INLINE", 50)
+    monkeypatch.setattr(prep, "WIDEST", 100)
+    enc = prep.Encoder.fit(d, {"s": "ordinal"})
+    assert enc.tables and {r.row_id: r.s for r in enc.transform(d).collect()} == plain
+    with pytest.raises(ValueError, match="one-hot"):
+        prep.Encoder.fit(d, {"s": "onehot"})
+
+
+def test_code_counts_equal_a_search(spark):
+    names = ["abc_1", "abcabc", "bc", "", "x_abc", None]
+    codes = ["abc", "bc", "_", "zz", "abc_1x"]
+    got = {r.code: r.n_columns for r in assemble.count_feature_columns(spark.createDataFrame([(n,) for n in names], "feature string"), spark.createDataFrame([(c,) for c in codes], "code string")).collect()}
+    assert got == {c: sum(c in n for n in names if n) for c in codes}
+
+
 def test_ordinal_with_given_order_and_unknown_level(spark):
     d = spark.createDataFrame([(1, "low"), (2, "high"), (3, "odd"), (4, None)], "row_id int, s string")
     enc = prep.Encoder.fit(d, {"s": "ordinal"}, given={"s": ["low", "high"]})
