@@ -6,8 +6,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortry.functions.ordering import BUCKET, grouped_quantiles, row_index, text_bucket
-from cohortry.functions.rows import keep_first
+from cohortry.functions.ordering import BUCKET, by_group_size, grouped_quantiles, row_index, text_bucket
+from cohortry.functions.rows import join_same, keep_first
 from cohortry.operators.prep import unpivoted
 from cohortry.table import FeatureTable
 
@@ -198,15 +198,27 @@ def aggregate_groups(df: DataFrame, features: Sequence[str], how: str, group: st
         full = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.avg(c))
         return df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), *[full(c).alias(c) for c in features])
     if how in ("median", "nanmedian"):
-        medians = grouped_quantiles(unpivoted(df, features, [group]), [group, "feature"], "value", {"m": 0.5})
-        wide = medians.groupBy(group).pivot("feature", list(features)).agg(F.struct(F.first("m").alias("m"), F.first("n").alias("n")))
-        size = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
-        d = size.join(wide, group, "left")
-        value = lambda c: F.col(c)["m"] if how == "nanmedian" else F.when(F.col(c)["n"] == F.col("n_rows"), F.col(c)["m"])
-        return d.select(group, "n_rows", *[value(c).alias(c) for c in features])
+        rows = df.select(group, *features)
+        return by_group_size(rows, [group], lambda d: _small_medians(d, features, how, group), lambda d: _large_medians(d, features, how, group))
     raise ValueError(f"unknown aggregation {how!r}")
 
 
+def _small_medians(df: DataFrame, features: Sequence[str], how: str, group: str) -> DataFrame:
+    """All columns in one grouping; a group's values fit a task."""
+    value = lambda c: F.percentile(c, 0.5) if how == "nanmedian" else F.when(F.count(c) == F.count(F.lit(1)), F.percentile(c, 0.5))
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), *[value(c).alias(c) for c in features])
+
+
+def _large_medians(df: DataFrame, features: Sequence[str], how: str, group: str) -> DataFrame:
+    """A column after the other down the rows, each cut into ranges of its values."""
+    medians = grouped_quantiles(unpivoted(df, features, [group]), [group, "feature"], "value", {"m": 0.5}, 0)
+    wide = medians.groupBy(group).pivot("feature", list(features)).agg(F.struct(F.first("m").alias("m"), F.first("n").alias("n")))
+    size = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
+    d = join_same(size, wide, [group], "left")
+    value = lambda c: F.col(c)["m"] if how == "nanmedian" else F.when(F.col(c)["n"] == F.col("n_rows"), F.col(c)["m"])
+    return d.select(group, "n_rows", *[value(c).alias(c) for c in features])
+
+
 def aggregate_groups_with(df: DataFrame, features: Sequence[str], agg: Callable[[str], Column], group: str = "group_id") -> DataFrame:
     """One row per group with a user-supplied column aggregate."""
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), *[agg(c).alias(c) for c in features])

@@ -27,6 +27,15 @@ def both(monkeypatch, make):
     return small, rows(make())
 
 
+@pytest.mark.parametrize("how", ["median", "nanmedian"])
+def test_medians_of_large_groups(spark, monkeypatch, how):
+    rows = [(None if i % 11 == 0 else i % 4, float(i * 37 % 101), None if i % 4 == 2 and i % 5 == 0 else float(i % 7)) for i in range(400)]
+    d = spark.createDataFrame(rows, "group_id int, a double, b double")
+    want = sorted(map(str, assemble.aggregate_groups(d, ["a", "b"], how).collect()))
+    monkeypatch.setattr(ordering, "GROUP_LIMIT", 50)
+    assert sorted(map(str, assemble.aggregate_groups(d, ["a", "b"], how).collect())) == want and len(want) == 5
+
+
 @pytest.mark.parametrize("agg", ["mean", "median", "max", "quantile", "softmax"])
 def test_patient_risk_of_large_units(spark, monkeypatch, agg):
     p = V(spark, SF).predictions().where("model = 'm1' AND variant = 'uncalib'").persist()
