@@ -45,11 +45,11 @@ _SLICE = 1 << 16
 #: Dropping near duplicates: words a shingle and the least Jaccard similarity, as a fraction.
 WIDTH = 5
 ALIKE = (4, 5)
-#: Members of a shingle that are paired out, leaders that the members of a larger one meet first, bits of the parities,
-#: texts of the sample and the most common shingles it names.
+#: Members of a shingle that are paired out, leaders that the members of a larger one meet first, fewest and most bits of
+#: the parities, texts of the sample and the most common shingles it names.
 CROWD = 8
 LEADERS = 3
-PARITY = 256
+PARITY = (256, 8192)
 SAMPLE = 5000
 COMMON = 100_000
 
@@ -151,6 +151,11 @@ def shingle_codes(text: str | None, width: int = WIDTH, seed: int = SEED) -> np.
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[a : a + width]), seed) for a in range(n)), dtype=np.uint64, count=n))
 
 
+def parity_bits(n: int) -> int:
+    """Bits of the parity of a set of ``n`` elements: a power of two, so that a longer parity folds to a shorter one."""
+    return min(PARITY[1], max(PARITY[0], 1 << (2 * n).bit_length()))
+
+
 def _least_shared(n: int) -> int:
     """Shingles that a set of ``n`` shares at least with any set of Jaccard similarity ALIKE."""
     return -(-n * ALIKE[0] // ALIKE[1])
@@ -164,7 +169,8 @@ def _least_shared_by_smaller(n: int) -> int:
 def _sketches(common: np.ndarray) -> Callable[[Column], Column]:
     """Set hash, size, parities, prefix and number of lead shingles of a text.
 
-    Parity bits of two sets differ in at most as many places as the sets have elements of their own. The prefix
+    Parity bits of two sets differ in at most as many places as the sets have elements of their own; there are at least
+    twice as many bits as shingles, up to the most, so that sets with little in common differ in many. The prefix
     holds the first shingles in one order for all texts, ``common`` ones last: so many that two sets as alike as
     ALIKE share one of them. In the set that is no larger it is one of the fewer ``lead`` ones.
     """
@@ -178,7 +184,8 @@ def _sketches(common: np.ndarray) -> Callable[[Column], Column]:
             out = []
             for t in texts:
                 codes = shingle_codes(t)
-                bits = np.bincount((codes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+                m = parity_bits(len(codes))
+                bits = np.bincount((codes & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
                 parity = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
                 rank = np.full(len(codes), -1, dtype=np.int64)
                 if len(ordered) and len(codes):
@@ -215,10 +222,14 @@ def _possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """Distinct ``a < b`` of candidates whose sizes and parities (``marks``) allow the similarity."""
     side = lambda x: marks.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     met = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    xor = lambda x, y: F.zip_with(x, y, lambda v, w: v.bitwiseXOR(w))
+    half = lambda p: xor(F.slice(p, F.lit(1), (F.size(p) / 2).cast("int")), F.slice(p, (F.size(p) / 2).cast("int") + 1, F.size(p)))
+    # sizes within the similarity have parities of one length, or one of them twice as long
+    folded = F.when(F.size("pa") > F.size("pb"), xor(half("pa"), F.col("pb"))).when(F.size("pa") < F.size("pb"), xor(F.col("pa"), half("pb"))).otherwise(xor(F.col("pa"), F.col("pb")))
+    apart = F.aggregate(folded, F.lit(0), lambda total, v: total + F.bit_count(v))
     # a Jaccard similarity of s leaves (1 - s) / (1 + s) of the summed sizes as elements of one set only
     fits = (F.least("na", "nb") * ALIKE[1] >= F.greatest("na", "nb") * ALIKE[0]) & (apart * (ALIKE[1] + ALIKE[0]) <= (F.col("na") + F.col("nb")) * (ALIKE[1] - ALIKE[0]))
-    return met.where(fits).select("a", "b")
+    return met.where(F.least("na", "nb") * ALIKE[1] >= F.greatest("na", "nb") * ALIKE[0]).where(fits).select("a", "b")
 
 
 def _meet(rows: DataFrame, other: DataFrame, apart: Column | None = None) -> DataFrame:
