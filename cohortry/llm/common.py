@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Sequence
 from contextvars import ContextVar
@@ -119,9 +120,16 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str = "tab
     _MADE.get().append(made.pop())
     for path in made:
         _delete(spark, path)
+    release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver drop what nothing refers to any more; Spark then deletes the shuffle files behind it."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n; null for a null key."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n)).cast("int")

@@ -33,7 +33,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortry.llm.common import TEXT_BATCH, components, discard, free_name, join_on, keep, remembered, text_of
+from cohortry.llm.common import TEXT_BATCH, components, discard, free_name, join_on, keep, release, remembered, text_of
 
 SHINGLE = 3
 SEED = 42
@@ -218,18 +218,23 @@ def _common_shingles(docs: DataFrame, text: str) -> np.ndarray:
     return np.array([r.h for r in reversed(top)], dtype=np.int64).view(np.uint64)
 
 
-def _possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Distinct ``a < b`` of candidates whose sizes and parities (``marks``) allow the similarity."""
-    side = lambda x: marks.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
-    met = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+def _fits(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
+    """Do sizes and parities of two sets allow the similarity?"""
     xor = lambda x, y: F.zip_with(x, y, lambda v, w: v.bitwiseXOR(w))
     half = lambda p: xor(F.slice(p, F.lit(1), (F.size(p) / 2).cast("int")), F.slice(p, (F.size(p) / 2).cast("int") + 1, F.size(p)))
     # sizes within the similarity have parities of one length, or one of them twice as long
-    folded = F.when(F.size("pa") > F.size("pb"), xor(half("pa"), F.col("pb"))).when(F.size("pa") < F.size("pb"), xor(F.col("pa"), half("pb"))).otherwise(xor(F.col("pa"), F.col("pb")))
+    folded = F.when(F.size(pa) > F.size(pb), xor(half(pa), pb)).when(F.size(pa) < F.size(pb), xor(pa, half(pb))).otherwise(xor(pa, pb))
     apart = F.aggregate(folded, F.lit(0), lambda total, v: total + F.bit_count(v))
+    near = F.least(na, nb) * ALIKE[1] >= F.greatest(na, nb) * ALIKE[0]
     # a Jaccard similarity of s leaves (1 - s) / (1 + s) of the summed sizes as elements of one set only
-    fits = (F.least("na", "nb") * ALIKE[1] >= F.greatest("na", "nb") * ALIKE[0]) & (apart * (ALIKE[1] + ALIKE[0]) <= (F.col("na") + F.col("nb")) * (ALIKE[1] - ALIKE[0]))
-    return met.where(F.least("na", "nb") * ALIKE[1] >= F.greatest("na", "nb") * ALIKE[0]).where(fits).select("a", "b")
+    return F.when(near, apart * (ALIKE[1] + ALIKE[0]) <= (na + nb) * (ALIKE[1] - ALIKE[0])).otherwise(False)
+
+
+def _possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Distinct ``a < b`` of candidates whose sizes and parities (``marks``) allow the similarity."""
+    side = lambda x: marks.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    met = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    return met.where(_fits(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))).select("a", "b")
 
 
 def _meet(rows: DataFrame, other: DataFrame, apart: Column | None = None) -> DataFrame:
@@ -252,6 +257,7 @@ def _alike(pairs: DataFrame, heads: DataFrame, docs: DataFrame, doc_id: str, tex
     shared = F.size(F.array_intersect("ca", "cb"))
     alike = keep(both.where(shared * (ALIKE[0] + ALIKE[1]) >= (F.size("ca") + F.size("cb")) * ALIKE[0]).select("a", "b"), "alike")
     discard(pairs, wanted, codes)
+    release(docs.sparkSession)
     return alike
 
 
@@ -283,8 +289,11 @@ def alike_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buc
     placed = lambda d: d.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     crowd = keep(placed(many), "crowd")
     split = crowd.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    crowd = keep(crowd.join(split, "h", "left_semi"), "split")
-    more = _alike(_possible(_meet(crowd, crowd, F.col("root") != F.col("other_root")), marks), heads, docs, doc_id, text)
+    # members of different groups meet only where their parities allow it, so a large family is not paired out here
+    crowd = crowd.join(split, "h", "left_semi").join(marks.select("sig", "parity"), "sig")
+    strangers = (F.col("root") != F.col("other_root")) & _fits(F.col("n"), F.col("parity"), F.col("nb"), F.col("other_parity"))
+    across = _meet(crowd, crowd, strangers).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = _alike(across, heads, docs, doc_id, text)
     if more.limit(1).count():
         roots = keep(components(links.union(more)), "roots")
     return rows, placed(heads.select("sig", "doc_id", "text_hash"))
