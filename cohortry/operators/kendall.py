@@ -83,7 +83,7 @@ def _ties(cells: DataFrame, by: list[str], value: str) -> DataFrame:
     return t.groupBy(*by).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"ties_{value}"))
 
 
-def kendall_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), n_ranges: int | None = None) -> DataFrame:
+def kendall_pairs(df: DataFrame, columns: Sequence[str], n_ranges: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, feature_a, feature_b, r): tau-b of every pair over rows with both values, in every group of ``keys``.
 
     Ranges are those of the whole columns, as many as the largest group needs.

@@ -216,7 +216,7 @@ def correlation_pairs(
     if method == "kendall":
         from cohortry.operators.kendall import kendall_pairs
 
-        return kendall_pairs(df, columns, keys)
+        return kendall_pairs(df, columns, keys=keys)
     raise ValueError(f"unknown correlation {method!r}")
 
 
