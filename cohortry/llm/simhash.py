@@ -49,6 +49,8 @@ ALIKE = (4, 5)
 #: the parities, texts of the sample and the most common shingles it names.
 CROWD = 8
 LEADERS = 3
+#: Turns in which members meet leaders, the last being the one in which all that are still apart meet.
+TURNS = 4
 PARITY = (256, 8192)
 SAMPLE = 5000
 COMMON = 100_000
@@ -244,6 +246,15 @@ def _meet(rows: DataFrame, other: DataFrame, apart: Column | None = None) -> Dat
     return rows.where("lead").join(right, fits if apart is None else fits & apart).select(F.col("sig").alias("a"), "b")
 
 
+def _led(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each member of a shingle with LEADERS of its members, others in every turn; members that have a root meet those of other roots."""
+    grouped = "root" in rows.columns
+    who = F.struct("sig", *["root"] * grouped)
+    chosen = rows.groupBy("h").agg(F.array(*[F.min_by(who, F.xxhash64("sig", F.lit(turn * LEADERS + i))) for i in range(LEADERS)]).alias("chosen"))
+    met = rows.join(chosen.withColumnRenamed("h", "k"), F.col("h") == F.col("k")).withColumn("leader", F.explode("chosen"))
+    return (met.where(F.col("root") != F.col("leader.root")) if grouped else met).select(F.col("sig").alias("a"), F.col("leader.sig").alias("b"))
+
+
 def _alike(pairs: DataFrame, heads: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The candidates that are alike, by the shingles of one document for each set."""
     pairs = keep(pairs, "candidates")
@@ -266,8 +277,8 @@ def alike_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buc
 
     Sets share a root exactly if pairs of a Jaccard similarity of at least ALIKE connect them. Candidates share a
     prefix shingle that is a lead one of the smaller set. The members of a shingle with more than ``bucket`` of them
-    first meet LEADERS members each; after that only pairs across groups are compared, so a family of near copies is
-    not paired out.
+    first meet LEADERS members each, turn by turn others while there are several groups of them; after that only pairs
+    across groups are compared, so a family of near copies is not paired out.
     """
     sketch = _sketches(_common_shingles(docs, text))
     sketched = keep(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), sketch(F.col(text)).alias("s")).select("doc_id", "text_hash", "s.*"), "shingles", TEXT_BATCH)
@@ -282,20 +293,25 @@ def alike_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buc
     discard(shared, whole)
     marks = heads.select("sig", "n", "parity")
     few, many = live.where(F.col("c") <= bucket).drop("c"), live.where(F.col("c") > bucket).drop("c")
-    leaders = many.groupBy("h").agg(*[F.min_by("sig", F.xxhash64("sig", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
-    led = many.join(leaders.withColumnRenamed("h", "k"), F.col("h") == F.col("k")).select(F.col("sig").alias("a"), F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("b"))
-    links = _alike(_possible(_meet(few, few).union(led), marks), heads, docs, doc_id, text)
-    roots = keep(components(links), "roots")
     placed = lambda d: d.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    crowd = keep(placed(many), "crowd")
-    split = crowd.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    # members of different groups meet only where their parities allow it, so a large family is not paired out here
-    crowd = crowd.join(split, "h", "left_semi").join(marks.select("sig", "parity"), "sig")
-    strangers = (F.col("root") != F.col("other_root")) & _fits(F.col("n"), F.col("parity"), F.col("nb"), F.col("other_parity"))
-    across = _meet(crowd, crowd, strangers).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _alike(across, heads, docs, doc_id, text)
-    if more.limit(1).count():
-        roots = keep(components(links.union(more)), "roots")
+    links = _alike(_possible(_meet(few, few).union(_led(many, 0)), marks), heads, docs, doc_id, text)
+    roots = keep(components(links), "roots")
+    for turn in range(1, TURNS + 1):
+        whole = placed(many)
+        split = whole.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+        crowd = keep(whole.join(split, "h", "left_semi"), "crowd")
+        if crowd.isEmpty():
+            break
+        if turn < TURNS:  # strangers to all leaders so far meet others
+            met = _possible(_led(crowd, turn), marks)
+        else:  # what is still apart meets where the parities allow it, and nowhere else
+            rest = crowd.join(marks.select("sig", "parity"), "sig")
+            strangers = (F.col("root") != F.col("other_root")) & _fits(F.col("n"), F.col("parity"), F.col("nb"), F.col("other_parity"))
+            met = _meet(rest, rest, strangers).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = _alike(met, heads, docs, doc_id, text)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = keep(components(links), "roots")
     return rows, placed(heads.select("sig", "doc_id", "text_hash"))
 
 
