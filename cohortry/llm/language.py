@@ -125,10 +125,10 @@ def fit(training: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
             frame = frame[[has_letter(t) for t in frame["text"]]]
             yield pd.DataFrame({"lang": frame["lang"], "v": [weigh(ngram_counts(t), idf).astype(np.float16).tobytes() for t in frame["text"]]})
 
-    drawn = rows.where(share).select("lang", "text").mapInPandas(vectors, "lang string, v binary").collect() if sizes else []
+    sampled = rows.where(share).select("lang", "text").mapInPandas(vectors, "lang string, v binary").collect() if sizes else []
     names, centres, least = [], [], []
-    for lang in sorted({r["lang"] for r in drawn}):
-        own = np.stack([np.frombuffer(r["v"], dtype=np.float16).astype(np.float32) for r in sorted((r for r in drawn if r["lang"] == lang), key=lambda r: bytes(r["v"]))])
+    for lang in sorted({r["lang"] for r in sampled}):
+        own = np.stack([np.frombuffer(r["v"], dtype=np.float16).astype(np.float32) for r in sorted((r for r in sampled if r["lang"] == lang), key=lambda r: bytes(r["v"]))])
         middle = cluster(own, k)
         cosine = own @ middle.T
         nearest = np.argmax(cosine, axis=1)
