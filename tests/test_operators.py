@@ -672,3 +672,21 @@ def test_feature_names_are_checked(spark):
     with pytest.raises(KeyError, match="unknown features"):
         features.validate_names(["loudness"])
     assert features.help_table(spark).count() == len(features.HELP)
+
+
+# ------------------------------------------------------------ reviews, round 3
+
+
+def test_relief_of_a_label_that_one_row_has(spark):
+    rows = [(f"r{i}", int(i == 0), float(i), float(i % 3)) for i in range(12)]
+    d = spark.createDataFrame(rows, "row_id string, y int, a double, b double")
+    for blocks in (1, 3):
+        got = {r["feature"]: r["score"] for r in relief.relief_scores(d, ["a", "b"], "relieff", k=2, blocks=blocks).collect()}
+        x = [(i / 11, (i % 3) / 2) for i in range(12)]
+        want = [0.0, 0.0]
+        for i in range(12):
+            for sign, pool in ((-1, [j for j in range(12) if j != i and (j == 0) == (i == 0)]), (1, [j for j in range(12) if (j == 0) != (i == 0)])):
+                near = sorted(pool, key=lambda j: (round(sum(abs(p - q) for p, q in zip(x[i], x[j])), 9), f"r{j}"))[:2]
+                for f in range(2):
+                    want[f] += sign * sum(abs(x[i][f] - x[j][f]) for j in near) / max(1, len(near)) / 12
+        assert [got["a"], got["b"]] == pytest.approx(want)
