@@ -690,3 +690,18 @@ def test_relief_of_a_label_that_one_row_has(spark):
                 for f in range(2):
                     want[f] += sign * sum(abs(x[i][f] - x[j][f]) for j in near) / max(1, len(near)) / 12
         assert [got["a"], got["b"]] == pytest.approx(want)
+
+
+def test_draws_are_counted_where_they_are_drawn(spark, monkeypatch):
+    d = spark.createDataFrame([("m", "v", "s", i, (i * 7 % 20) / 20, i % 2) for i in range(200)], "model string, variant string, split string, idx int, p double, y int")
+
+    def cells():
+        got = calibration.bootstrap_cells(d, calibration.MODEL, range(3))
+        return got, sorted(tuple(r) for r in got.collect())
+
+    sent, rows = cells()
+    draws = sent._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in draws.lower()
+    monkeypatch.setattr(calibration, "SENT", 0)
+    assert cells()[1] == rows
+    assert sum(r[5] for r in rows) == 600
