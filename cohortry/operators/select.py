@@ -355,6 +355,8 @@ def vif_history(states: DataFrame, columns: Sequence[str], threshold: float, cap
         for part in parts:
             for _, row in part.iterrows():
                 log = sweep.eliminated(row["state"], threshold, cap)
+                if not log:  # an empty frame has no types that Arrow could take over
+                    continue
                 here = {f.name: [row[f.name]] * len(log) for f in keys}
                 yield pd.DataFrame({**here, "step": range(1, len(log) + 1), "removed": [columns[k] for k, _ in log], "vif": [v for _, v in log]})
 

@@ -705,3 +705,9 @@ def test_draws_are_counted_where_they_are_drawn(spark, monkeypatch):
     monkeypatch.setattr(calibration, "SENT", 0)
     assert cells()[1] == rows
     assert sum(r[5] for r in rows) == 600
+
+
+def test_vif_prune_that_drops_nothing(spark):
+    d = spark.createDataFrame([(float(i % 2), float(i // 2 % 2), float(i // 4)) for i in range(8)], "a double, b double, c double")
+    kept, log = select.vif_prune(d, ["a", "b", "c"], 1.1)
+    assert kept == ["a", "b", "c"] and log.count() == 0
