@@ -711,3 +711,10 @@ def test_vif_prune_that_drops_nothing(spark):
     d = spark.createDataFrame([(float(i % 2), float(i // 2 % 2), float(i // 4)) for i in range(8)], "a double, b double, c double")
     kept, log = select.vif_prune(d, ["a", "b", "c"], 1.1)
     assert kept == ["a", "b", "c"] and log.count() == 0
+
+
+def test_pocket_edges_do_not_hang_on_the_last_bit(spark):
+    below = {"S1": 0.39999999999999997, "S2": 0.4, "S3": 0.7, "S4": 0.6999999999999998, "S5": 0.5}
+    d = spark.createDataFrame([("m", "v", "test", s, "A", 1, p) for s, p in below.items()], "model string, variant string, split string, subject_id string, group_label string, y int, p double")
+    d = d.withColumnRenamed("p", "p_median").withColumns({"grouping": F.lit("all_trials"), "unit_col": F.lit("group_id")})
+    assert {r["subject_id"] for r in risk.threshold_pocket(d, (0.4, 0.7)).collect()} == {"S1", "S2", "S5"}
