@@ -17,15 +17,21 @@ from cohortry.functions.ordering import column_quantiles, row_index
 from cohortry.functions.shuffles import permuted_column, round_keys
 from cohortry.operators.metrics import probability_metrics, ranking_metrics
 from cohortry.operators.prep import unscale
+from cohortry.session import cut_lineage
 
 Score = Callable[[DataFrame], DataFrame]
 LOWER_IS_BETTER = {"brier", "logloss"}
 
 
 def _metric(df: DataFrame, keys: Sequence[str], metric: str) -> DataFrame:
-    table = ranking_metrics if metric in ("auroc", "auprc") else probability_metrics
+    """A value per key, worked out at once, so that the scores stored for it are released before the next are."""
+    held: list[DataFrame] = []
+    table = ranking_metrics(df, keys, held=held) if metric in ("auroc", "auprc") else probability_metrics(df, keys)
     sign = -1.0 if metric in LOWER_IS_BETTER else 1.0
-    return table(df, keys).select(*keys, (F.col(metric) * sign).alias("value"))
+    out = cut_lineage(table.select(*keys, (F.col(metric) * sign).alias("value")))
+    for stored in held:
+        stored.unpersist()
+    return out
 
 
 def numbered(df: DataFrame, row: str = "row_id") -> tuple[DataFrame, int]:

@@ -718,3 +718,13 @@ def test_pocket_edges_do_not_hang_on_the_last_bit(spark):
     d = spark.createDataFrame([("m", "v", "test", s, "A", 1, p) for s, p in below.items()], "model string, variant string, split string, subject_id string, group_label string, y int, p double")
     d = d.withColumnRenamed("p", "p_median").withColumns({"grouping": F.lit("all_trials"), "unit_col": F.lit("group_id")})
     assert {r["subject_id"] for r in risk.threshold_pocket(d, (0.4, 0.7)).collect()} == {"S1", "S2", "S5"}
+
+
+def test_permuted_scores_are_released(spark):
+    d = spark.createDataFrame([(f"r{i}", i % 2, float(i % 7), float(i % 5)) for i in range(60)], "row_id string, y int, a double, b double")
+    spark.catalog.clearCache()
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    scores = {"m": lambda x: x.withColumn("p", F.col("a") + F.col("b"))}
+    assert interpret.shuffle_drifts(d, scores, ["a", "b"], [1, 2]).count() == 4
+    left = set(spark.sparkContext._jsc.getPersistentRDDs()) - before
+    assert not [k for k in left if "InMemory" in str(spark.sparkContext._jsc.getPersistentRDDs()[k])]
