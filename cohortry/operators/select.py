@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -170,17 +172,31 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
     return out.select(*keys, "feature_a", "feature_b", r.alias("r"))
 
 
+#: Values of a column whose ranks are stored apart.
+SHORT = 20_000
+
+
 def average_ranks(df: DataFrame, columns: Sequence[str], row: str = "row_id", keys: Sequence[str] = ()) -> DataFrame:
     """The table with every value replaced by its average rank in its column (and keys).
 
-    Ranks come from value runs per feature and are joined back on (feature, value).
+    Ranks come from value runs per feature and are joined column by column on the value.  A
+    column of few values meets a table as short as that, which Spark sends to the rows; rows
+    move for columns of many values only, and without the row's id where no one asks for it.
     """
-    keys = list(keys)
-    long = unpivoted(df, columns, [row, *keys]).where(F.col("value").isNotNull())
-    runs = value_runs(long, [*keys, "feature"], "value")
+    keys, columns = list(keys), list(columns)
+    runs = value_runs(unpivoted(df, columns, keys), [*keys, "feature"], "value")
     ranks = runs.select(*keys, "feature", "value", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
-    ranked = long.join(ranks, [*keys, "feature", "value"])
-    return ranked.groupBy(row, *keys).agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in columns])
+    sizes = dict(ranks.groupBy("feature").agg(F.count(F.lit(1))).collect())  # a number per feature
+    short = [c for c in columns if sizes.get(c, 0) <= SHORT]
+    stored = ranks.where(F.col("feature").isin(short)).persist()
+    stored.count()  # Spark then knows the size
+    d = df.select(row, *keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    for i, c in enumerate(columns):
+        of = (stored if c in short else ranks).where(F.col("feature") == c).select(*keys, F.col("value").alias(c), F.col("rank").alias(f"__rank{i}"))
+        same = reduce(and_, [d[k].eqNullSafe(of[k]) for k in keys], d[c] == of[c])
+        d = d.join(of, same, "left").select(*[d[x] for x in d.columns], of[f"__rank{i}"])
+    d = d.where(F.coalesce(*columns).isNotNull())
+    return d.select(row, *keys, *[F.col(f"__rank{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def rank_arrays(df: DataFrame, columns: Sequence[str], row: str = "row_id", keys: Sequence[str] = ()) -> DataFrame:

@@ -21,9 +21,8 @@ def with_trials(df: DataFrame, trials: int) -> DataFrame:
 
 def stratified_folds(df: DataFrame, k: int, strata: Sequence[str], key: Column, name: str) -> DataFrame:
     """Deal the rows of each stratum round-robin in md5 order: fold 1..k."""
-    d = df.withColumn("__h", key)
-    d = row_index(d, strata, ["__h"], hash_bucket(F.col("__h")), "__i")
-    return d.withColumn(name, (1 + F.col("__i") % k).cast("int")).drop("__h", "__i")
+    d = row_index(df, strata, [key], hash_bucket(key), "__i", order_late=True)
+    return d.withColumn(name, (1 + F.col("__i") % k).cast("int")).drop("__i")
 
 
 def strat_kfold(df: DataFrame, k: int = 5, trials: int = 1, row: str = "row_id", y: str = "y") -> DataFrame:
@@ -66,9 +65,10 @@ def nested_splits(
     row: str = "row_id",
     y: str = "y",
     group: str | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """The full plan; with ``group``, no group crosses an outer or inner fold."""
-    keep = [row, y] + ([group] if group else [])
+    """The full plan; with ``group``, no group crosses an outer or inner fold.  Columns to ``carry`` go along."""
+    keep = [row, y] + ([group] if group else []) + list(carry)
     base = df.select(*keep)
     folds = strat_group_kfold(base, outer, trials, group, y) if group else strat_kfold(base, outer, trials, row, y)
     d = folds.withColumnRenamed("outer_fold", "test_fold")

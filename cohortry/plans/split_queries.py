@@ -55,7 +55,8 @@ GROUP_PLAN = f"WITH {RW}, {TR}, {SK}, {NG} "
 def row_plan(spark, folder):
     """Row-level plan, with the group carried along for the leakage report."""
     d = rows(spark, folder)
-    return splits.nested_splits(d, OUTER, INNER, TRIALS).join(d.select("row_id", "group_id"), "row_id")
+    plan = splits.nested_splits(d, OUTER, INNER, TRIALS, carry=["group_id"])
+    return plan.select("row_id", "trial", "outer_fold", "inner_fold", "y", "role", "group_id")
 
 
 def group_plan(spark, folder):

@@ -1,8 +1,15 @@
 """What is shuffled, and how often: plans of steps that large tables go through."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from cohortry.operators import clusters
+from cohortry.functions import ordering
+from cohortry.functions.hashing import hash_key
+from cohortry.operators import clusters, select, splits
+from cohortry.plans import split_queries
+
+from .conftest import SF
 
 
 def plan(df):
@@ -30,3 +37,38 @@ def test_stored_chunks_are_not_shuffled_again(spark):
     above = next(i for i in range(scan, 0, -1) if "Join" in lines[i])
     assert not any("Exchange" in line for line in lines[above:scan])
     stored.unpersist()
+
+
+def test_ranks_join_without_the_row_id(spark):
+    d = spark.range(90).select(F.col("id").cast("string").alias("row_id"), (F.col("id") % 7).cast("double").alias("a"), F.sin("id").alias("b"))
+    ranked = select.average_ranks(d, ["a", "b"])
+    assert not any("Exchange" in line and "row_id" in line for line in plan(ranked))
+    want = d.toPandas().set_index("row_id")[["a", "b"]].rank()
+    assert ranked.toPandas().set_index("row_id").loc[want.index].equals(want)
+
+
+def test_ranks_of_repeated_rows_and_gaps(spark):
+    d = spark.createDataFrame([("r", 1.0, None), ("r", 1.0, None), ("s", 2.0, 5.0), ("t", None, None)], "row_id string, a double, b double")
+    assert sorted(map(tuple, select.average_ranks(d, ["a", "b"]).collect()), key=str) == [("r", 1.5, None), ("r", 1.5, None), ("s", 3.0, 1.0)]
+
+
+def test_offsets_are_stored(spark):
+    d = spark.range(100).select(F.lit("g").alias("g"), (F.col("id") % 4).alias("b"))
+    assert ordering._offsets(d.withColumn("n", F.lit(1)), ["g"], "b", ["n"]).storageLevel.useMemory
+
+
+def test_digests_are_not_shuffled(spark):
+    d = spark.range(600).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("y"))
+    folds = splits.stratified_folds(d, 5, ["y"], hash_key("outer", F.col("row_id")), "fold")
+    lines = plan(folds)
+    first = next(i for i, line in enumerate(lines) if "Exchange" in line)
+    assert any("md5" in line for line in lines[:first]) and not any("md5" in line for line in lines[first:])
+    by_hash = d.toPandas()
+    by_hash["h"] = [hashlib.md5(f"outer:{r}".encode()).hexdigest() for r in by_hash["row_id"]]
+    want = by_hash.sort_values("h").groupby("y").cumcount() % 5 + 1
+    got = folds.toPandas().set_index("row_id")["fold"]
+    assert (got.sort_index() == want.sort_index()).all()
+
+
+def test_row_plan_needs_no_join(spark):
+    assert not any("Join" in line for line in plan(split_queries.row_plan(spark, SF)))
