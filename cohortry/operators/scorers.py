@@ -58,9 +58,15 @@ def equal_width_bins(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
     keys = list(keys)
     long = _long(df, columns, keys, y)
     span = long.groupBy(*keys, "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    if keys:
+        long = long.join(span, [*keys, "feature"])
+    else:  # two numbers a feature; by a join all rows of a feature would meet in one task
+        ends = [(F.lit(r["feature"]), F.array(F.lit(r["lo"]), F.lit(r["hi"]))) for r in span.collect()]
+        at = F.create_map(*[x for pair in ends for x in pair])[F.col("feature")] if ends else F.array(F.lit(None), F.lit(None))
+        long = long.withColumn("__at", at).withColumns({"lo": F.col("__at")[0], "hi": F.col("__at")[1]}).drop("__at")
     width = (F.col("hi") - F.col("lo")) / n_bins
     raw = F.floor(F.try_divide(F.col("value") - F.col("lo"), width))
-    return long.join(span, [*keys, "feature"]).withColumn("bin", F.coalesce(F.least(raw, F.lit(n_bins - 1)), F.lit(0)).cast("int"))
+    return long.withColumn("bin", F.coalesce(F.least(raw, F.lit(n_bins - 1)), F.lit(0)).cast("int"))
 
 
 def chi2_scores(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), y: str = "y", n_bins: int = N_BINS) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cohortry.functions import ordering
 from cohortry.functions.hashing import hash_key
-from cohortry.operators import clusters, select, splits
+from cohortry.operators import clusters, scorers, select, splits
 from cohortry.plans import split_queries
+from cohortry.plans.views import V
 
 from .conftest import SF
 
@@ -72,3 +73,16 @@ def test_digests_are_not_shuffled(spark):
 
 def test_row_plan_needs_no_join(spark):
     assert not any("Join" in line for line in plan(split_queries.row_plan(spark, SF)))
+
+
+def test_binning_does_not_join_by_feature(spark):
+    d = spark.range(60).select(F.col("id").cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    binned = scorers.equal_width_bins(d, ["a"])
+    assert not any("Join" in line for line in plan(binned))
+    assert {r["bin"]: r["count"] for r in binned.groupBy("bin").count().collect()} == dict.fromkeys(range(10), 6)
+
+
+def test_folds_are_drawn_once_an_order(spark):
+    lines = plan(V(spark, SF).predictions())
+    cells = next(i for i, line in enumerate(lines) if "Generate" in line)
+    assert not any("md5" in line for line in lines[:cells]) and any("md5" in line for line in lines[cells:])
