@@ -161,7 +161,7 @@ def score_sql(betas, cols=None):
 def labelled(spark, folder):
     """Rows with a label that depends on the columns, so that shuffling matters."""
     m = V(spark, folder).matrix()
-    return m.withColumn("y", (F.col("quantity") + F.col("price") / 2000 - F.col("discount") * 200 > 30).cast("int"))
+    return m.select("row_id", (F.col("quantity") + F.col("price") / 2000 - F.col("discount") * 200 > 30).cast("int").alias("y"), *COLS)
 
 
 LB = "lb AS (SELECT row_id, CAST(quantity + price / 2000 - discount * 200 > 30 AS INTEGER) AS y, quantity, price, discount FROM mx)"
@@ -215,7 +215,10 @@ def perm_importance(spark, folder):
 def _two_folds(spark, folder):
     """Importance from two seeds, as if from two folds."""
     d = labelled(spark, folder)
-    return ip.perm_combined({(0, f): ip.perm_importance(d, scorer(BETAS["wide"]), COLS, 2, seed=f) for f in (1, 2)})
+    rows = ip.numbered(d, keep=False)
+    out = ip.perm_combined({(0, f): ip.perm_importance(d, scorer(BETAS["wide"]), COLS, 2, seed=f, rows=rows) for f in (1, 2)})
+    rows.release()
+    return out
 
 
 @query(

@@ -4,9 +4,9 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from cohortry.functions import ordering
+from cohortry.functions import ordering, packed
 from cohortry.functions.hashing import hash_key
-from cohortry.operators import clusters, scorers, select, splits
+from cohortry.operators import clusters, interpret, metrics, scorers, select, splits
 from cohortry.plans import split_queries
 from cohortry.plans.views import V
 
@@ -86,3 +86,29 @@ def test_folds_are_drawn_once_an_order(spark):
     lines = plan(V(spark, SF).predictions())
     cells = next(i for i, line in enumerate(lines) if "Generate" in line)
     assert not any("md5" in line for line in lines[:cells]) and any("md5" in line for line in lines[cells:])
+
+
+def test_scores_are_shuffled_packed(spark):
+    d = spark.range(4000).select((F.col("id") % 3).cast("int").alias("cell"), F.round(F.sin("id"), 2).alias("p"), (F.col("id") % 7 > 3).cast("int").alias("y"))
+    d = d.unionByName(spark.createDataFrame([(0, 0.0, 1), (0, -0.0, 0), (1, None, 1), (2, float("nan"), 0), (3, 0.5, 1)], "cell int, p double, y int"))
+    found = packed.packed_auroc(d, [-0.5, 0.0, 0.2])
+    assert not any("Exchange hashpartitioning" in line and "p#" in line and "packed" not in line for line in plan(found))
+    want = {r["cell"]: r["auroc"] for r in metrics.ranking_metrics(d, ["cell"]).collect()}
+    got = {r["cell"]: r["auroc"] for r in found.collect()}
+    assert set(got) == set(want) == {0, 1, 2, 3} and got[3] is None
+    assert all(abs(got[c] - want[c]) < 1e-12 for c in (0, 1, 2))
+
+
+def test_importance_in_ranges(spark, monkeypatch):
+    d = spark.range(900).select(F.col("id").cast("string").alias("row_id"), F.sin("id").alias("a"), F.cos("id").alias("b"), (F.sin("id") > 0.3).cast("int").alias("y"))
+    score = lambda x: x.withColumn("p", F.round(F.col("a") + F.col("b") / 5, 3))
+    want = sorted(interpret.perm_importance(d, score, ["a", "b"], 2).collect())
+    monkeypatch.setattr(interpret, "RANGE_ROWS", 100)
+    monkeypatch.setattr(interpret, "EDGE_ROWS", 50)
+    spark.catalog.clearCache()
+    assert len(interpret._score_edges(interpret.numbered(d), score, ["a"], 0)) > 3
+    assert sorted(interpret.perm_importance(d, score, ["a", "b"], 2).collect()) == want and len(want) == 4
+    copies = score(interpret.shuffled_copies(d, ["a", "b"], [0, 1]))
+    whole = metrics.ranking_metrics(score(d).withColumn("k", F.lit(1)), ["k"]).first()["auroc"]
+    by_windows = {(r["feature"], r["repeat"]): whole - r["auroc"] for r in metrics.ranking_metrics(copies, ["feature", "repeat"]).collect()}
+    assert all(abs(by_windows[r["feature"], r["repeat"]] - r["importance"]) < 1e-12 for r in want)
