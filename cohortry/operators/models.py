@@ -16,7 +16,7 @@ from cohortry.functions.hashing import hash_bucket, hash_key
 from cohortry.functions.ordering import row_index
 from cohortry.operators import batched
 from cohortry.operators.metrics import ranking_metrics
-from cohortry.operators.select import constant_share, correlation_pairs, correlation_states, greedy_prune, has_gap, vif_history
+from cohortry.operators.select import column_means, constant_share, correlation_pairs, correlation_states, greedy_prune, has_gap, pearson_pairs, vif_history
 from cohortry.session import cut_lineage
 
 ESTIMATORS: dict[str, Callable[..., object]] = {
@@ -216,30 +216,52 @@ def oof_predictions(train: DataFrame, features: Sequence[str], estimator, params
 
 
 def _train_rows(df: DataFrame, plan: DataFrame, columns: Sequence[str], row: str) -> DataFrame:
+    """Outer-train rows with the columns; a plan that carries them all needs no join."""
+    if set(columns) <= set(plan.columns):
+        return plan.where("role = 'outer_train'").select(row, *columns, "trial", "outer_fold")
     train = plan.where("role = 'outer_train'").select("trial", "outer_fold", row)
     return df.select(row, *columns).join(train, row)
 
 
+def _constant_columns(d: DataFrame, columns: Sequence[str], tol: float, keys: Sequence[str]) -> DataFrame:
+    """(keys, feature) whose most frequent value has a share of at least ``tol``; a share of one takes two extremes."""
+    if tol < 1.0:
+        return constant_share(d, columns, "ignore", keys).where(F.col("top_share") >= tol).select(*keys, "feature")
+    if tol > 1.0:
+        return d.select(*keys, F.lit("").alias("feature")).limit(0)
+    ends = [F.struct(F.lit(c).alias("feature"), (F.min(c) == F.max(c)).alias("same")) for c in columns]
+    return d.groupBy(*keys).agg(F.array(*ends).alias("ends")).select(*keys, F.inline("ends")).where("same").drop("same")
+
+
 def fold_feature_select(
     df: DataFrame, plan: DataFrame, columns: Sequence[str], tol: float = 1.0, threshold: float = 0.8, method: str = "pearson", row: str = "row_id"
 ) -> dict[tuple[int, int], list[str]]:
     """Constant and collinearity pruning on the outer-train rows of every fold.
 
-    The fold is one more grouping key, so all folds are measured together.
+    The fold is one more grouping key, so all folds are measured together.  Folds, constants and
+    close pairs come back in one table, so the rows of the plan move once for all of them.
     """
     fold = ["trial", "outer_fold"]
     d = _train_rows(df, plan, columns, row)
-    flat = constant_share(d, columns, "ignore", fold).where(F.col("top_share") >= tol)
-    constant: dict[tuple, set] = {}
-    for r in flat.collect():
-        constant.setdefault((r["trial"], r["outer_fold"]), set()).add(r["feature"])
-    close = correlation_pairs(d, columns, method, row, fold).where(F.abs("r") >= threshold).collect()
+    names = [F.lit(None).cast("string").alias("feature_b"), F.lit(None).cast("double").alias("r")]
+    cells = plan.groupBy(*fold).agg(F.lit(None).cast("string").alias("feature_a")).select(*fold, "feature_a", *names)
+    flat = _constant_columns(d, columns, tol, fold).select(*fold, F.col("feature").alias("feature_a"), *names)
+    # centres only keep sums small: those of the whole table serve all folds
+    pairs = pearson_pairs(d, columns, fold, column_means(df, columns)) if method == "pearson" else correlation_pairs(d, columns, method, row, fold)
+    close = pairs.where(F.abs("r") >= threshold).select(*fold, "feature_a", "feature_b", "r")
+    found: dict[tuple, tuple[set, list]] = {}
+    for r in cells.unionByName(flat).unionByName(close).collect():
+        constant, near = found.setdefault((r["trial"], r["outer_fold"]), (set(), []))
+        if r["feature_b"] is not None:
+            near.append((r["feature_a"], r["feature_b"], r["r"]))
+        elif r["feature_a"] is not None:
+            constant.add(r["feature_a"])
     spark, schema = df.sparkSession, "feature_a string, feature_b string, r double"
     out = {}
-    for cell in sorted((r[0], r[1]) for r in plan.select(*fold).distinct().collect()):
-        left = [c for c in columns if c not in constant.get(cell, ())]
-        rows = [(r["feature_a"], r["feature_b"], r["r"]) for r in close if (r["trial"], r["outer_fold"]) == cell]
-        rows = [r for r in rows if r[0] in left and r[1] in left]
+    for cell in sorted(found):
+        constant, near = found[cell]
+        left = [c for c in columns if c not in constant]
+        rows = [r for r in near if r[0] in left and r[1] in left]
         out[cell] = greedy_prune(spark.createDataFrame(rows, schema), left, threshold)[0] if rows else left
     return out
 
@@ -249,7 +271,7 @@ def fold_vif(
 ) -> DataFrame:
     """VIF elimination per fold; one history row per threshold, fold and step."""
     fold = ["trial", "outer_fold"]
-    states = cut_lineage(correlation_states(_train_rows(df, plan, columns, row), columns, fold))
+    states = cut_lineage(correlation_states(_train_rows(df, plan, columns, row), columns, fold, column_means(df, columns)))
     out = None
     for limit in thresholds:
         one = vif_history(states, columns, limit, cap).select(F.lit(float(limit)).alias("threshold"), *fold, "step", "removed", "vif")

@@ -105,12 +105,12 @@ def bootstrap_rows(df: DataFrame, n_boot: int, seed: int = 0, group: str = "grou
     Rows of a group are numbered in md5 order; each (bootstrap, group) draws a
     number, so what is joined is n_boot x groups, not n_boot copies of the rows.
     """
-    d = df.withColumn("__h", hash_key("order", F.col(row)))
-    d = row_index(d, [group], ["__h"], hash_bucket(F.col("__h")), "__rn")
+    key = hash_key("order", F.col(row))
+    d = row_index(df, [group], [key], hash_bucket(key), "__rn", order_late=True)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     draws = sizes.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     draws = draws.withColumn("__rn", hash_mod(F.col("__n"), seed, F.col("boot"), F.col(group)))
-    return d.join(draws.select(group, "boot", "__rn"), [group, "__rn"]).drop("__h", "__rn")
+    return d.join(draws.select(group, "boot", "__rn"), [group, "__rn"]).drop("__rn")
 
 
 def one_row_per_group(df: DataFrame, seed: int = 0, group: str = "group_id", row: str = "row_id") -> DataFrame:
@@ -137,7 +137,8 @@ def _pairs_to_rows(sums: DataFrame, pairs, keys: Sequence[str]) -> DataFrame:
     return sums.select(*keys, F.inline(F.array(*cols)))
 
 
-def _centers(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+def column_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Mean of every column, zero where there is none."""
     row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     return {c: row[f"m{i}"] or 0.0 for i, c in enumerate(columns)}
 
@@ -161,7 +162,7 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
     columns, keys = list(columns), list(keys)
     if not is_narrow(columns):
         return wide_pairs(df, columns, keys)
-    means = _centers(df, columns) if centers is None else centers
+    means = column_means(df, columns) if centers is None else centers
     d = df.select(*keys, *[(F.col(c) - F.lit(means[c])).alias(c) for c in columns])
     pairs = list(combinations(columns, 2))
     aggs = []
@@ -258,8 +259,8 @@ def _spearman_complete(df: DataFrame, columns: Sequence[str], row: str, keys: Se
 def grouped_pairs(
     df: DataFrame, columns: Sequence[str], n_boot: int, method: str = "spearman", seed: int = 0, group: str = "group_id", row: str = "row_id"
 ) -> DataFrame:
-    """Mean absolute correlation over samples of one row per group."""
-    sample = bootstrap_rows(df.select(row, group, *columns), n_boot, seed, group, row)
+    """Mean absolute correlation over samples of one row per group, which are stored: they are read several times."""
+    sample = cut_lineage(bootstrap_rows(df.select(row, group, *columns), n_boot, seed, group, row))
     pairs = correlation_pairs(sample, columns, method, row, ["boot"])
     return pairs.groupBy("feature_a", "feature_b").agg(F.avg(F.abs("r")).alias("r"))
 
@@ -297,11 +298,13 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
-def correlation_states(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def correlation_states(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), centers: Mapping[str, float] | None = None
+) -> DataFrame:
     """(keys, state): the correlation matrix of every group over its complete rows, one value a group."""
     columns, keys = list(columns), list(keys)
     place = {c: i for i, c in enumerate(columns)}
-    pairs = pearson_pairs(complete_rows(df, columns), columns, keys)
+    pairs = pearson_pairs(complete_rows(df, columns), columns, keys, centers)
     group = [F.col(k) for k in keys] or [F.lit(0).alias("one")]
     fields = StructType([*[df.schema[k] for k in keys], StructField("state", BinaryType())])
 
@@ -416,7 +419,7 @@ def vif_prune_grouped(
     df: DataFrame, columns: Sequence[str], n_boot: int, threshold: float = 5.0, cap: float = VIF_CAP, seed: int = 0, group: str = "group_id"
 ) -> tuple[list[str], DataFrame]:
     """Elimination by the mean VIF over samples of one row per group."""
-    sample = bootstrap_rows(df.select("row_id", group, *columns), n_boot, seed, group)
+    sample = cut_lineage(bootstrap_rows(df.select("row_id", group, *columns), n_boot, seed, group))
     kept, log = eliminate(correlation_states(sample, columns, ["boot"]), columns, threshold, cap)
     return kept, df.sparkSession.createDataFrame(log, VIF_LOG)
 

@@ -96,12 +96,12 @@ KF = """kf AS (SELECT row_id, 1 + (row_number() OVER (PARTITION BY y ORDER BY md
 KF_ALL = KF.replace("price, discount, net FROM", ", ".join(FEATURES) + " FROM")
 
 
-def fold_plan(m):
-    """Outer folds only."""
-    d = splits.strat_kfold(m.select("row_id", "y"), 3).withColumnRenamed("outer_fold", "test_fold")
+def fold_plan(m, carry=()):
+    """Outer folds only; columns to ``carry`` go along."""
+    d = splits.strat_kfold(m.select("row_id", "y", *carry), 3).withColumnRenamed("outer_fold", "test_fold")
     d = d.withColumn("outer_fold", F.explode(F.sequence(F.lit(1), F.lit(3))))
     role = F.when(F.col("outer_fold") == F.col("test_fold"), "outer_test").otherwise("outer_train")
-    return d.select("trial", "outer_fold", "row_id", role.alias("role"))
+    return d.select("trial", "outer_fold", "row_id", role.alias("role"), *carry)
 
 
 @query(
@@ -117,7 +117,7 @@ def fold_plan(m):
 )
 def fold_feature_select(spark, folder):
     m = V(spark, folder).matrix()
-    return ml.features_table(spark, ml.fold_feature_select(m, fold_plan(m), FOLDED))
+    return ml.features_table(spark, ml.fold_feature_select(m, fold_plan(m, FOLDED), FOLDED))
 
 
 @query(
@@ -130,7 +130,7 @@ def fold_feature_select(spark, folder):
 )
 def fold_vif(spark, folder):
     m = V(spark, folder).matrix()
-    return ml.fold_vif(m, fold_plan(m), FEATURES, (5.0,)).withColumn("vif", r6(F.col("vif"), 4))
+    return ml.fold_vif(m, fold_plan(m, FEATURES), FEATURES, (5.0,)).withColumn("vif", r6(F.col("vif"), 4))
 
 
 # ---------------------------------------------------------- interpretation

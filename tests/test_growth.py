@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from cohortry.functions import ordering, packed
 from cohortry.functions.hashing import hash_key
-from cohortry.operators import clusters, interpret, metrics, scorers, select, splits
-from cohortry.plans import split_queries
+from cohortry.operators import clusters, interpret, metrics, models, scorers, select, splits
+from cohortry.plans import model_queries, split_queries
 from cohortry.plans.views import V
 
 from .conftest import SF
@@ -112,3 +112,31 @@ def test_importance_in_ranges(spark, monkeypatch):
     whole = metrics.ranking_metrics(score(d).withColumn("k", F.lit(1)), ["k"]).first()["auroc"]
     by_windows = {(r["feature"], r["repeat"]): whole - r["auroc"] for r in metrics.ranking_metrics(copies, ["feature", "repeat"]).collect()}
     assert all(abs(by_windows[r["feature"], r["repeat"]] - r["importance"]) < 1e-12 for r in want)
+
+
+def test_a_plan_with_columns_needs_no_join(spark):
+    d = spark.range(120).select(F.col("id").cast("string").alias("row_id"), (F.col("id") % 2).cast("int").alias("y"), F.sin("id").alias("a"), F.lit(2.0).alias("b"), (F.sin("id") * 3).alias("c"))
+    slim, whole = model_queries.fold_plan(d), model_queries.fold_plan(d, ["a", "b", "c"])
+    rows = models._train_rows(d, whole, ["a", "b", "c"], "row_id")
+    assert not any("Join" in line for line in plan(rows))
+    assert sorted(rows.collect()) == sorted(models._train_rows(d, slim, ["a", "b", "c"], "row_id").collect())
+    for p in (slim, whole):
+        assert models.fold_feature_select(d, p, ["a", "b", "c"]) == {(0, f): ["a"] for f in (1, 2, 3)}
+
+
+def test_constants_of_a_fold_are_extremes(spark):
+    rows = [(0, 1.0, None, float("nan"), None), (0, 1.0, 2.0, float("nan"), None), (1, 1.0, 2.0, 3.0, None), (1, 4.0, 2.0, float("nan"), None)]
+    d = spark.createDataFrame(rows, "k int, a double, b double, c double, d double")
+    found = models._constant_columns(d, list("abcd"), 1.0, ["k"])
+    assert not any("hashpartitioning(k" in line and "value" in line for line in plan(found))
+    want = select.constant_share(d, list("abcd"), "ignore", ["k"]).where("top_share >= 1").select("k", "feature")
+    assert sorted(found.collect()) == sorted(want.collect()) == [(0, "a"), (0, "b"), (0, "c"), (1, "b")]
+
+
+def test_samples_are_drawn_once_and_without_digests(spark, monkeypatch):
+    d = spark.range(400).select(F.col("id").cast("string").alias("row_id"), (F.col("id") % 20).alias("group_id"), F.sin("id").alias("a"), F.cos("id").alias("b"))
+    lines = plan(select.bootstrap_rows(d, 2))
+    assert not any("Exchange" in line and "__h" in line for line in lines)
+    drawn = []
+    monkeypatch.setattr(select, "cut_lineage", lambda x: drawn.append(x) or x)
+    assert select.grouped_pairs(d, ["a", "b"], 2).count() == 1 and len(drawn) == 1
