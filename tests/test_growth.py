@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions import ordering, packed
 from cohortry.functions.hashing import hash_key
-from cohortry.operators import clusters, interpret, metrics, models, scorers, select, splits
+from cohortry.operators import clusters, interpret, metrics, models, risk, scorers, select, splits
 from cohortry.plans import model_queries, split_queries
 from cohortry.plans.views import V
 
@@ -140,3 +140,36 @@ def test_samples_are_drawn_once_and_without_digests(spark, monkeypatch):
     drawn = []
     monkeypatch.setattr(select, "cut_lineage", lambda x: drawn.append(x) or x)
     assert select.grouped_pairs(d, ["a", "b"], 2).count() == 1 and len(drawn) == 1
+
+
+def test_predictions_of_a_patient_are_not_shuffled(spark):
+    for together, keys in (("group_id", ["model", "trial", "group_id"]), ("idx", ["model", "variant", "idx"])):
+        pooled = V(spark, SF).predictions(together).groupBy(*keys).agg(F.median("p"))
+        lines = plan(pooled)
+        rows = next(i for i, line in enumerate(lines) if "Generate" in line)
+        assert not any("Exchange" in line for line in lines[:rows]) and any("Exchange" in line for line in lines[rows:])
+        assert V(spark, SF).predictions(together).exceptAll(V(spark, SF).predictions()).isEmpty()
+        assert V(spark, SF).predictions().exceptAll(V(spark, SF).predictions(together)).isEmpty()
+
+
+def test_many_groups_are_counted_in_cells_first(spark, monkeypatch):
+    d = spark.range(500).select(F.when(F.col("id") < 60, F.lit(None)).when(F.col("id") < 150, 7).otherwise(F.col("id")).alias("k"))
+    monkeypatch.setattr(ordering, "CELLS", 3)
+    for limit in (50, 80, 1000):
+        plain, cells = ordering.hot_groups(d, ["k"], limit), ordering.hot_groups(d, ["k"], limit, many=True)
+        assert (plain is None) == (cells is None) == (limit == 1000)
+        if plain is not None:
+            assert sorted(plain.collect(), key=str) == sorted(cells.collect(), key=str)
+    counted = []
+    monkeypatch.setattr(ordering, "CELLS", 64)
+    kind = type(d)
+    group = kind.groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda self, *by: counted.append(by) or group(self, *by))
+    assert ordering.hot_groups(d, ["k"], 300, many=True) is None and len(counted) == 1
+
+
+def test_patients_are_pooled_once_to_be_ranked(spark):
+    d = spark.range(60).select(F.lit("m").alias("model"), F.lit("v").alias("variant"), F.lit("A").alias("group_label"), F.col("id").alias("group_id"), F.sin("id").alias("p"), F.lit(0.1).alias("p_total_std"))
+    ranked = risk.ranked_patients(d, "p")
+    assert any("InMemoryTableScan" in line for line in plan(ranked))
+    assert [r["group_id"] for r in ranked.orderBy("rank_index").collect()] == [r["group_id"] for r in d.orderBy(F.desc("p")).collect()]
