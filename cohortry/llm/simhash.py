@@ -11,12 +11,13 @@ Its members go another, equally exact way: two fingerprints differ in at most tw
 value lies within one bit of both, so each member meets the smallest member at the 65 values around it;
 at most 65 members share such a value. Components are the same, and no group is ever paired out.
 
-Near duplicates are dropped on another contract: sets of five-word shingles with a Jaccard similarity of at
-least 0.8. Fingerprints cannot tell these: at a similarity of 0.8 they differ in about 10 of 64 bits, give or take 3,
-and a search that wide has no blocks or pivots left to cut by. Two such sets share a shingle among the first fifth
-of the larger and the first ninth of the smaller one in any common order, so the pairs that share one are all
-candidates; sizes and parity bits discard pairs that cannot reach the similarity, and the sets of the others are
-compared. Nothing is estimated: every pair this alike is linked, directly or by others.
+Near duplicates are dropped on another contract, by the same steps: sets of five-word shingles with a Jaccard similarity
+of at least 0.8. Their fingerprints have ``BITS`` bits, since two sets this alike differ in 15 to 19 % of the bits, and
+``WIDE`` is the limit: such a pair stays within it but for one in 10**9, strangers do once in a million. Blocks of
+fingerprint bits find nothing at this width. The blocks are shingles instead: two such sets share one among the first
+fifth of the larger and the first ninth of the smaller one in any common order, so those that share one are all
+candidates. Coordinates of the pivot table discard candidates, then fingerprints do, where the members of a block meet;
+sizes and parity bits discard those left that cannot reach the similarity, and the sets of the others are compared.
 
 Nulls: a null text has no words and fingerprint zero, like an empty one. Null ids never become a component
 id unless no member has one. Empty tables give empty results; repeated rows are kept and share a component.
@@ -53,6 +54,9 @@ LEADERS = 3
 TURNS = 4
 PARITY = (256, 8192)
 SAMPLE = 5000
+#: Bits of the fingerprint of a shingle set, and the most in which the fingerprints of two sets may differ to be compared.
+BITS = 256
+WIDE = 88
 COMMON = 100_000
 
 
@@ -62,6 +66,11 @@ def _signed(value: int) -> int:
 
 #: Reference fingerprints, derived from their number.
 PIVOTS = [_signed(int.from_bytes(hashlib.sha256(f"reference {i}".encode()).digest()[:8], "big")) for i in range(10)]
+#: The same for fingerprints of sets, in 64-bit words; a word of a fingerprint takes the hashes of its shingles mixed with one of the seeds.
+SET_PIVOTS = [np.frombuffer(hashlib.sha256(f"reference {i}".encode()).digest(), dtype="<i8").tolist() for i in range(10)]
+_WORD_SEEDS = np.frombuffer(hashlib.sha256(b"words of a fingerprint").digest(), dtype="<u8")
+_PRINT = [f"f{j}" for j in range(BITS // 64)]
+_PLACES = [f"p{i}" for i in range(len(SET_PIVOTS))]
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -153,6 +162,31 @@ def shingle_codes(text: str | None, width: int = WIDTH, seed: int = SEED) -> np.
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[a : a + width]), seed) for a in range(n)), dtype=np.uint64, count=n))
 
 
+def set_print(codes: np.ndarray) -> np.ndarray:
+    """Majority bits of a set of shingle hashes, as ``BITS`` / 64 signed words."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for lo in range(0, len(codes), _SLICE >> 3):
+        x = codes[lo : lo + (_SLICE >> 3), None] ^ _WORD_SEEDS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * counts > len(codes), bitorder="little").view(np.int64)
+
+
+def set_pivots(sets: DataFrame) -> DataFrame:
+    """The pivot table of ``sets``: distances of their fingerprints to the reference fingerprints, columns p0, p1, ..."""
+    far = lambda words: sum((F.bit_count(F.col(f).bitwiseXOR(F.lit(w))) for f, w in zip(_PRINT, words, strict=True)), F.lit(0))
+    return sets.withColumns({p: far(words).cast("smallint") for p, words in zip(_PLACES, SET_PIVOTS, strict=True)})
+
+
+def _close(other: Callable[[str], Column]) -> Column:
+    """Are two sets within WIDE bits, by their places in the pivot table and then by their fingerprints?"""
+    coordinate = F.greatest(*[F.abs(F.col(p) - other(p)) for p in _PLACES])
+    apart = sum((F.bit_count(F.col(f).bitwiseXOR(other(f))) for f in _PRINT), F.lit(0))
+    return (coordinate <= WIDE) & (apart <= WIDE)
+
+
 def parity_bits(n: int) -> int:
     """Bits of the parity of a set of ``n`` elements: a power of two, so that a longer parity folds to a shorter one."""
     return min(PARITY[1], max(PARITY[0], 1 << (2 * n).bit_length()))
@@ -169,7 +203,7 @@ def _least_shared_by_smaller(n: int) -> int:
 
 
 def _sketches(common: np.ndarray) -> Callable[[Column], Column]:
-    """Set hash, size, parities, prefix and number of lead shingles of a text.
+    """Set hash, size, fingerprint, parities, prefix and number of lead shingles of a text.
 
     Parity bits of two sets differ in at most as many places as the sets have elements of their own; there are at least
     twice as many bits as shingles, up to the most, so that sets with little in common differ in many. The prefix
@@ -179,7 +213,7 @@ def _sketches(common: np.ndarray) -> Callable[[Column], Column]:
     where = np.argsort(common)
     ordered = common[where]
 
-    @F.pandas_udf("sig long, n int, parity array<long>, prefix array<long>, lead int")
+    @F.pandas_udf(f"sig long, n int, {', '.join(f'{f} long' for f in _PRINT)}, parity array<long>, prefix array<long>, lead int")
     def sketch(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         remembered(("simhash",))
         for texts in parts:
@@ -195,8 +229,8 @@ def _sketches(common: np.ndarray) -> Callable[[Column], Column]:
                     rank = np.where(ordered[at] == codes, where[at], -1)
                 first = codes[np.lexsort((codes, rank))][: len(codes) - _least_shared(len(codes)) + 1]
                 lead = len(codes) - _least_shared_by_smaller(len(codes)) + 1
-                out.append((_signed(xxhash.xxh64_intdigest(codes.tobytes(), SEED)), len(codes), parity, first.view(np.int64), lead))
-            yield pd.DataFrame(out, columns=["sig", "n", "parity", "prefix", "lead"])
+                out.append((_signed(xxhash.xxh64_intdigest(codes.tobytes(), SEED)), len(codes), *set_print(codes), parity, first.view(np.int64), lead))
+            yield pd.DataFrame(out, columns=["sig", "n", *_PRINT, "parity", "prefix", "lead"])
 
     return sketch
 
@@ -247,12 +281,13 @@ def _meet(rows: DataFrame, other: DataFrame, apart: Column | None = None) -> Dat
 
 
 def _led(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each member of a shingle with LEADERS of its members, others in every turn; members that have a root meet those of other roots."""
+    """Pairs of each member of a shingle with those of LEADERS of its members that are close, others in every turn; members that have a root meet those of other roots."""
     grouped = "root" in rows.columns
-    who = F.struct("sig", *["root"] * grouped)
+    who = F.struct("sig", *_PRINT, *_PLACES, *["root"] * grouped)
     chosen = rows.groupBy("h").agg(F.array(*[F.min_by(who, F.xxhash64("sig", F.lit(turn * LEADERS + i))) for i in range(LEADERS)]).alias("chosen"))
     met = rows.join(chosen.withColumnRenamed("h", "k"), F.col("h") == F.col("k")).withColumn("leader", F.explode("chosen"))
-    return (met.where(F.col("root") != F.col("leader.root")) if grouped else met).select(F.col("sig").alias("a"), F.col("leader.sig").alias("b"))
+    met = met.where(F.col("root") != F.col("leader.root")) if grouped else met
+    return met.where(_close(lambda c: F.col("leader").getField(c))).select(F.col("sig").alias("a"), F.col("leader.sig").alias("b"))
 
 
 def _alike(pairs: DataFrame, heads: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -275,26 +310,28 @@ def _alike(pairs: DataFrame, heads: DataFrame, docs: DataFrame, doc_id: str, tex
 def alike_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, sig) of ``docs`` and one row for each shingle set: sig, head's doc_id and text_hash, root.
 
-    Sets share a root exactly if pairs of a Jaccard similarity of at least ALIKE connect them. Candidates share a
-    prefix shingle that is a lead one of the smaller set. The members of a shingle with more than ``bucket`` of them
+    Sets share a root if pairs of a Jaccard similarity of at least ALIKE connect them. Candidates share a prefix
+    shingle that is a lead one of the smaller set, and their places in the pivot table and their fingerprints differ
+    by WIDE at most. The members of a shingle with more than ``bucket`` of them
     first meet LEADERS members each, turn by turn others while there are several groups of them; after that only pairs
     across groups are compared, so a family of near copies is not paired out.
     """
     sketch = _sketches(_common_shingles(docs, text))
     sketched = keep(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), sketch(F.col(text)).alias("s")).select("doc_id", "text_hash", "s.*"), "shingles", TEXT_BATCH)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("head")
-    whole = keep(sketched.groupBy("sig").agg(first, F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"), F.first("lead").alias("lead")).select("sig", "head.doc_id", "head.text_hash", "n", "parity", "prefix", "lead"), "heads")
+    whole = keep(sketched.groupBy("sig").agg(first, F.first("n").alias("n"), *[F.first(f).alias(f) for f in _PRINT], F.first("parity").alias("parity"), F.first("prefix").alias("prefix"), F.first("lead").alias("lead")).select("sig", "head.doc_id", "head.text_hash", "n", *_PRINT, "parity", "prefix", "lead"), "heads")
     rows = keep(sketched.select("doc_id", "text_hash", "sig"), "rows")
     discard(sketched)
     spots = whole.select("sig", "n", F.posexplode("prefix").alias("at", "h"), F.col("lead").alias("leads")).select("h", "sig", "n", (F.col("at") < F.col("leads")).alias("lead"))
     shared = keep(spots.groupBy("h").agg(F.count("*").alias("c"), F.max("lead").alias("any")).where("c > 1 and any").select(F.col("h").alias("k"), "c"), "shared")
-    live = keep(spots.join(shared, F.col("h") == F.col("k")).drop("k"), "live")
-    heads = keep(whole.drop("prefix", "lead"), "sets")
-    discard(shared, whole)
+    met = keep(spots.join(shared, F.col("h") == F.col("k")).drop("k"), "met")
+    live = keep(met.join(set_pivots(whole.select("sig", *_PRINT)), "sig"), "live")
+    heads = keep(whole.drop("prefix", "lead", *_PRINT), "sets")
+    discard(shared, met, whole)
     marks = heads.select("sig", "n", "parity")
     few, many = live.where(F.col("c") <= bucket).drop("c"), live.where(F.col("c") > bucket).drop("c")
     placed = lambda d: d.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    links = _alike(_possible(_meet(few, few).union(_led(many, 0)), marks), heads, docs, doc_id, text)
+    links = _alike(_possible(_meet(few, few, _close(lambda c: F.col(f"other_{c}"))).union(_led(many, 0)), marks), heads, docs, doc_id, text)
     roots = keep(components(links), "roots")
     for turn in range(1, TURNS + 1):
         whole = placed(many)
@@ -304,9 +341,9 @@ def alike_roots(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buc
             break
         if turn < TURNS:  # strangers to all leaders so far meet others
             met = _possible(_led(crowd, turn), marks)
-        else:  # what is still apart meets where the parities allow it, and nowhere else
+        else:  # what is still apart meets where fingerprints and parities allow it, and nowhere else
             rest = crowd.join(marks.select("sig", "parity"), "sig")
-            strangers = (F.col("root") != F.col("other_root")) & _fits(F.col("n"), F.col("parity"), F.col("nb"), F.col("other_parity"))
+            strangers = (F.col("root") != F.col("other_root")) & _close(lambda c: F.col(f"other_{c}")) & _fits(F.col("n"), F.col("parity"), F.col("nb"), F.col("other_parity"))
             met = _meet(rest, rest, strangers).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = _alike(met, heads, docs, doc_id, text)
         if not more.isEmpty():

@@ -231,6 +231,36 @@ def test_pages_that_share_a_paragraph_are_not_paired_out(spark):
     assert simhash.drop_near_duplicates(heads).count() == 601
 
 
+def test_fingerprints_and_pivots_cut_candidates_of_the_stage(spark):
+    base, other = words(60, 90, 9999), words(60, 91, 9999)
+    texts = [" ".join(base), edited(base, 1, 1), edited(base, 2, 2), " ".join(other), " ".join([*other[:6], *words(54, 92, 9999)])]
+    codes = [simhash.shingle_codes(t) for t in texts]
+    prints = [int.from_bytes(simhash.set_print(c).tobytes(), "little") for c in codes]
+    assert prints[0].bit_length() <= simhash.BITS and all((prints[0] ^ prints[i]).bit_count() <= simhash.WIDE < (prints[3] ^ prints[4]).bit_count() for i in (1, 2))
+    rows = spark.createDataFrame([(7, i, len(c), *simhash.set_print(c).tolist(), True) for i, c in enumerate(codes)], "h long, sig long, n int, f0 long, f1 long, f2 long, f3 long, lead boolean")
+    placed = simhash.set_pivots(rows)
+    for r in placed.collect():
+        far = [(prints[r.sig] ^ int.from_bytes(hashlib.sha256(f"reference {i}".encode()).digest(), "little")).bit_count() for i in range(10)]
+        assert [r[f"p{i}"] for i in range(10)] == far
+    close = simhash._close(lambda c: F.col(f"other_{c}"))
+    met = lambda *apart: {(r.a, r.b) for r in simhash._meet(placed, placed, *apart).collect()}
+    want = {(a, b) for a, b in met() if (prints[a] ^ prints[b]).bit_count() <= simhash.WIDE}
+    assert met(close) == want and want < met()
+    led = {(r.a, r.b) for r in simhash._led(placed, 0).collect()}
+    assert all((prints[a] ^ prints[b]).bit_count() <= simhash.WIDE for a, b in led)
+
+
+def test_sets_this_alike_stay_within_the_limit():
+    rng = np.random.default_rng(4)
+    for n in (4, 5, 8, 9, 13, 40, 200, 3000, 20_000):
+        for _ in range(40):
+            both = rng.integers(0, 1 << 63, size=n, dtype=np.uint64)
+            own = rng.integers(0, 1 << 63, size=n // 4, dtype=np.uint64)
+            cut = rng.integers(0, len(own) + 1)
+            a, b = (simhash.set_print(np.concatenate([both, x])) for x in (own[:cut], own[cut:]))
+            assert int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) <= simhash.WIDE
+
+
 def test_rows_without_id_are_rows_of_their_own(spark):
     texts = [" ".join(words(40, 200 + i, 9999)) for i in range(6)]
     item = " ".join(words(20, 300, 9999))
