@@ -338,6 +338,18 @@ def test_leaks_are_found_with_replaced_words(spark, per_slice):
     assert kept.count() == len(texts) - 4 and kept.columns == table(spark, texts).columns
 
 
+def test_an_item_is_sent_with_one_slice(spark, monkeypatch):
+    items = [(k, " ".join(words(30, k, 9999))) for k in range(24)]
+    sent, was, dropped = [], F.broadcast, []
+    monkeypatch.setattr(decontam.F, "broadcast", lambda d: sent.append(d) or was(d))
+    monkeypatch.setattr(decontam, "release", lambda _: dropped.append(len(sent)))
+    found = decontam.matches(table(spark, items), spark.createDataFrame(items, "item_id long, text string"), per_slice=150)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k) for k in range(24)}
+    slices = len(sent) // 2
+    assert slices > 5 and dropped == [2 * (k + 1) for k in range(slices)]
+    assert sum(d.count() for d in sent if "item_words" in d.columns) == 24
+
+
 def test_short_items_are_found_with_every_word_they_may_lose(spark):
     items, texts, want = [], [], set()
     for n in range(decontam.SHORTEST, decontam.WINDOW + 1):
