@@ -350,6 +350,17 @@ def test_an_item_is_sent_with_one_slice(spark, monkeypatch):
     assert sum(d.count() for d in sent if "item_words" in d.columns) == 24
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_texts_stay_where_few_of_them_leak(spark, monkeypatch, limit):
+    item = " ".join(words(20, 1, 9999))
+    items, texts = spark.createDataFrame([(1, item)], "item_id long, text string"), [*ODD, (50, item), (None, item), (51, "else")]
+    monkeypatch.setattr(decontam, "SLICE", limit)
+    kept = decontam.drop_contaminated(table(spark, texts), items)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange hashpartitioning" in plan) == (limit == 0)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, table(spark, [*ODD, (51, "else")]).collect()))
+
+
 def test_short_items_are_found_with_every_word_they_may_lose(spark):
     items, texts, want = [], [], set()
     for n in range(decontam.SHORTEST, decontam.WINDOW + 1):
