@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cohortry.functions import ordering, packed
@@ -173,3 +174,28 @@ def test_patients_are_pooled_once_to_be_ranked(spark):
     ranked = risk.ranked_patients(d, "p")
     assert any("InMemoryTableScan" in line for line in plan(ranked))
     assert [r["group_id"] for r in ranked.orderBy("rank_index").collect()] == [r["group_id"] for r in d.orderBy(F.desc("p")).collect()]
+
+
+def test_samples_move_once_and_runs_stay_where_their_recording_lies(spark):
+    samples = V(spark, SF).samples()
+    maps = clusters.instant_maps(samples, ["quantity", "price", "discount", "tax"])
+    centres = maps.select("recording").distinct().select("recording", F.posexplode(F.array(F.array(*map(F.lit, [0.5, -0.5, 0.5, -0.5])), F.array(*map(F.lit, [0.5, 0.5, -0.5, -0.5])))).alias("cluster", "c"))
+    moved = [line for line in plan(clusters.assign_states(maps, centres, 64, 3)) if "Exchange" in line]
+    assert sum("l_discount" in line for line in moved) <= 1 and not any("t_idx" in line or "rid" in line for line in moved)
+    order = V(spark, SF).matrix().toPandas().sort_values(["group_id", "shipday", "row_id"])
+    got = samples.toPandas().sort_values(["recording", "t_idx"])
+    assert got[["quantity", "price", "discount", "tax"]].to_numpy().tolist() == order[["quantity", "price", "discount", "tax"]].to_numpy().tolist()
+
+
+def test_small_recordings_are_fitted_without_passes(spark):
+    maps = spark.range(120).select((F.col("id") % 3).cast("string").alias("recording"), F.col("id").alias("rid"), F.array(F.sin("id"), F.cos(F.col("id") * 7), F.sin(F.col("id") * 3)).alias("x"))
+    maps = maps.union(spark.createDataFrame([(None, 1, [1.0, 2.0, 3.0]), ("few", 1, [1.0, 0.0, 0.0]), ("zero", 1, [0.0] * 3), ("zero", 2, [0.0] * 3), ("zero", 3, [0.0] * 3)], maps.schema))
+    runs = []
+    for rows in (25, 5000):
+        begun = spark.range(1).rdd.id()
+        table, centres = clusters.fit_k_grid(maps, [2, 3], n_init=3, max_iter=4, chunk_rows=rows)
+        runs.append((spark.range(1).rdd.id() - begun, table.orderBy("recording", "k").toPandas(), {(r.recording, r.k, r.cluster): r.c for r in centres.collect()}))
+    (many, a, b), (few, c, d) = runs
+    assert few * 3 < many and len(c) == 8  # three recordings and "zero" with 2 and 3 states ("few" has one map), none without a name
+    assert a.drop(columns=["total_gev"]).astype(str).equals(c.drop(columns=["total_gev"]).astype(str)) and np.allclose(a["total_gev"], c["total_gev"], equal_nan=True)
+    assert b.keys() == d.keys() and all(np.allclose(b[k], d[k], atol=1e-9) for k in b)
