@@ -11,7 +11,7 @@ from cohortry.functions import kernels, shuffles
 from cohortry.functions.curves import interp_grid
 from cohortry.functions.hashing import hash_mod
 from cohortry.operators import assemble, batched, calibration, features, gram, interpret, metrics, microstates, models, prep, relief, risk, scorers, select, signal, splits, states, sweep
-from cohortry.plans.views import FEATURES, V
+from cohortry.plans.views import CHANNELS, FEATURES, V
 from cohortry.sources import bundle, scan
 from cohortry.table import FeatureTable
 
@@ -728,3 +728,15 @@ def test_permuted_scores_are_released(spark):
     assert interpret.shuffle_drifts(d, scores, ["a", "b"], [1, 2]).count() == 4
     left = set(spark.sparkContext._jsc.getPersistentRDDs()) - before
     assert not [k for k in left if "InMemory" in str(spark.sparkContext._jsc.getPersistentRDDs()[k])]
+
+
+def test_microstates_of_samples_that_hold_all_channels(spark):
+    samples = V(spark, SF).samples().where("recording < 4").withColumn("tax", F.when(F.col("t_idx") % 31 != 5, F.col("tax")))
+    long = samples.unpivot(["recording", "t_idx"], CHANNELS, "channel", "value")
+    found = [microstates.subject_microstates(d, CHANNELS, 64, 64.0, [2, 3], n_init=2, n_final=2, max_iter=4, peak_distance_s=0.03, half_window=3, min_segment=2) for d in (samples, long)]
+    (a, x), (b, y) = [[d.toPandas().sort_values(list(d.columns[:3])).reset_index(drop=True) for d in pair] for pair in found]
+    assert len(a) > 1 and (a["status"] == "ok").all()
+    pd.testing.assert_frame_equal(a, b)
+    pd.testing.assert_frame_equal(x, y)
+    lines = found[0][1]._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert sum("Exchange" in line and "tax" in line for line in lines) == 1  # the samples move once to be labelled
