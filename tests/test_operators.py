@@ -1,5 +1,6 @@
 """Known answers, invariants and brute-force comparisons."""
 
+import inspect
 import math
 
 import numpy as np
@@ -730,6 +731,23 @@ def test_permuted_scores_are_released(spark):
     assert not [k for k in left if "InMemory" in str(spark.sparkContext._jsc.getPersistentRDDs()[k])]
 
 
+def test_subject_states_fits_as_often_as_the_operator_does(spark, monkeypatch):
+    from cohortry.operators import clusters
+    from cohortry.plans import cluster_queries
+
+    seen, whole = [], clusters.fit_k_grid
+
+    def fit(*args, **kwargs):
+        bound = inspect.signature(whole).bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.append(bound.arguments)
+        return whole(*args, **kwargs)
+
+    monkeypatch.setattr(cluster_queries.cl, "fit_k_grid", fit)
+    assert cluster_queries.subject_states(spark, SF).count() > 0
+    assert [(a["n_init"], a["max_iter"]) for a in seen] == [(100, 300)]
+
+
 def test_microstates_of_samples_that_hold_all_channels(spark):
     samples = V(spark, SF).samples().where("recording < 4").withColumn("tax", F.when(F.col("t_idx") % 31 != 5, F.col("tax")))
     long = samples.unpivot(["recording", "t_idx"], CHANNELS, "channel", "value")
