@@ -103,14 +103,17 @@ def bootstrap_rows(df: DataFrame, n_boot: int, seed: int = 0, group: str = "grou
     """One uniformly drawn row per group and bootstrap.
 
     Rows of a group are numbered in md5 order; each (bootstrap, group) draws a
-    number, so what is joined is n_boot x groups, not n_boot copies of the rows.
+    number.  The draws of a group are one row, which goes where the group lies: the
+    rows move once, to be numbered.
     """
     key = hash_key("order", F.col(row))
     d = row_index(df, [group], [key], hash_bucket(key), "__rn", order_late=True)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     draws = sizes.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    draws = draws.withColumn("__rn", hash_mod(F.col("__n"), seed, F.col("boot"), F.col(group)))
-    return d.join(draws.select(group, "boot", "__rn"), [group, "__rn"]).drop("__rn")
+    draws = draws.withColumn("__at", hash_mod(F.col("__n"), seed, F.col("boot"), F.col(group)))
+    of = draws.groupBy(group, "__at").agg(F.collect_list("boot").alias("boots")).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("__at", "boots"))).alias("__of"))
+    boots = F.try_element_at("__of", F.col("__rn"))
+    return d.join(of, [group]).select(group, *[c for c in df.columns if c != group], F.explode(boots).alias("boot"))
 
 
 def one_row_per_group(df: DataFrame, seed: int = 0, group: str = "group_id", row: str = "row_id") -> DataFrame:
@@ -467,10 +470,12 @@ def mean_ranks(
     df: DataFrame, columns: Sequence[str], scorers: Mapping[str, Scorer], n_boot: int = 0, seed: int = 0, group: str = "group_id"
 ) -> DataFrame:
     """(method, feature, mean_rank): one full pass, or the mean over bootstraps."""
-    keys: list[str] = []
     if n_boot:
-        df = bootstrap_rows(df, n_boot, seed, group)
-        keys = ["boot"]
+        return _mean_ranks(cut_lineage(bootstrap_rows(df, n_boot, seed, group)), columns, scorers, ["boot"])
+    return _mean_ranks(df, columns, scorers, [])
+
+
+def _mean_ranks(df: DataFrame, columns: Sequence[str], scorers: Mapping[str, Scorer], keys: list[str]) -> DataFrame:
     out = None
     for name, scorer in scorers.items():
         scores = scorer(df, columns, keys).select(*keys, "feature", "score").withColumn("method", F.lit(name))
@@ -489,15 +494,21 @@ def rank_select(
     stages: Sequence[Mapping],
     group: str = "group_id",
 ) -> tuple[list[str], list[DataFrame]]:
-    """Successive stages of ranking and selection; each stage overrides the defaults."""
-    kept, tables = list(columns), []
+    """Successive stages of ranking and selection; each stage overrides the defaults.
+
+    Stages that draw alike (number of bootstraps and seed) share one stored sample.
+    """
+    kept, tables, samples = list(columns), [], {}
     for stage in stages:
         cfg = {**STAGE, **stage}
         methods = list(scorers) if cfg["methods"] == "ALL" else cfg["methods"]
         if unknown := [m for m in methods if m not in scorers]:
             raise KeyError(f"unknown methods: {unknown}")
         picked = {m: scorers[m] for m in methods}
-        ranks = mean_ranks(df, kept, picked, cfg["n_boot"], cfg["seed"], group)
+        draw = cfg["n_boot"], cfg["seed"]
+        if cfg["n_boot"] and draw not in samples:
+            samples[draw] = cut_lineage(bootstrap_rows(df, *draw, group))
+        ranks = _mean_ranks(samples.get(draw, df), kept, picked, ["boot"] if cfg["n_boot"] else [])
         table = aggregate_ranks(ranks.withColumnRenamed("mean_rank", "rank"), cfg["top_k"])
         rows = table.collect()  # at most top_k rows
         tables.append(df.sparkSession.createDataFrame(rows, table.schema))
