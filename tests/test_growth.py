@@ -3,11 +3,12 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cohortry.functions import ordering, packed
 from cohortry.functions.hashing import hash_key
-from cohortry.operators import clusters, interpret, metrics, models, risk, scorers, select, splits
+from cohortry.operators import clusters, interpret, metrics, models, relief, risk, scorers, select, splits
 from cohortry.plans import model_queries, split_queries
 from cohortry.plans.views import V
 
@@ -219,3 +220,33 @@ def test_rows_move_once_to_be_drawn_and_stages_share_a_sample(spark, monkeypatch
     stages = [{"methods": ["fcq"], "n_boot": 2, "top_k": 2}, {"methods": ["fcq", "phik"], "n_boot": 2, "top_k": 1}, {"methods": ["fcq"], "n_boot": 2, "top_k": 1, "seed": 5}]
     kept, tables = select.rank_select(d, ["a", "b"], scorers.SCORERS, stages)
     assert len(kept) == 1 and len(tables) == 3 and [a[1:3] for a in drawn] == [(2, 0), (2, 5)]
+
+
+def test_nearest_rows_leave_a_task_once(spark):
+    d = spark.range(600).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("y"), *[F.round(F.abs(F.sin(F.col("id") * k)), 2).alias(f"x{k}") for k in (3, 7, 11)])
+    was = relief.SLICE
+    try:
+        relief.SLICE = 2000  # a few rows at a time; tasks of a local session are forked with it or not, the result is the same
+        closest = relief._Closest(5, 2)
+        x = np.random.default_rng(1).integers(0, 6, (40, 5)).astype(float)
+        pool = np.random.default_rng(2).random((40, 5)) < 0.7
+        rank = np.random.default_rng(3).permutation(40)
+        for lo in range(0, 40, 4):
+            closest.add(x[lo : lo + 4], pool[lo : lo + 4], rank[lo : lo + 4])
+            assert closest.size <= closest.limit
+        got = {r: list(zip(a.tolist(), b.tolist())) for r, a, b in closest.each()}
+        assert got == {c: sorted((x[i, c], int(rank[i])) for i in range(40) if pool[i, c])[:2] for c in range(5)}
+        blocked = relief._blocked(relief._scaled(d, ["x3", "x7", "x11"]), ["x3", "x7", "x11"], [], "row_id", "y", [], 2)
+        near = relief._kth_distance(blocked, [], 3)
+        assert near.count() == 600
+    finally:
+        relief.SLICE = was
+
+
+def test_the_mean_distance_needs_no_pairs(spark):
+    rows = [("a", 1.0, 0.5, 0), ("a", 0.0, 0.25, 0), (None, 0.5, 0.5, 0), (None, 0.25, 1.0, 0), ("b", 0.75, 0.0, 0), ("c", 0.75, 0.0, 1), ("d", 0.0, 0.5, 1)]
+    d = spark.createDataFrame(rows, "rid string, p double, q double, boot int")
+    for keys, groups in (([], [rows]), (["boot"], [[r for r in rows if r[3] == b] for b in (0, 1)])):
+        want = [np.mean([abs(r[1] - s[1]) + abs(r[2] - s[2]) for r in g for s in g if r[0] != s[0]]) for g in groups]
+        got = relief._mean_distance(d, ["p", "q"], keys)
+        assert np.allclose([r.near for r in got.orderBy(*(keys or ["near"])).collect()], want, atol=1e-12)
