@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions import ordering, packed
 from cohortry.functions.hashing import hash_key
-from cohortry.operators import clusters, interpret, metrics, models, relief, risk, scorers, select, splits
+from cohortry.operators import calibration, clusters, interpret, metrics, models, relief, risk, scorers, select, splits
 from cohortry.plans import model_queries, split_queries
 from cohortry.plans.views import V
 
@@ -250,3 +250,19 @@ def test_the_mean_distance_needs_no_pairs(spark):
         want = [np.mean([abs(r[1] - s[1]) + abs(r[2] - s[2]) for r in g for s in g if r[0] != s[0]]) for g in groups]
         got = relief._mean_distance(d, ["p", "q"], keys)
         assert np.allclose([r.near for r in got.orderBy(*(keys or ["near"])).collect()], want, atol=1e-12)
+
+
+def test_groups_share_the_draws_of_a_row(spark, monkeypatch):
+    rows = [(m, i, None if i == 7 else (i * 37 % 11) / 10, int(i * 13 % 7 < 3)) for m in ("a", "b", None) for i in (*range(40), 3, 3)] + [("c", None, 0.5, 1), ("c", None, 0.25, 0), ("c", 5, 0.5, None)]
+    d = spark.createDataFrame(rows, "m string, idx int, p double, y int")
+    cells = {}
+    for counted in (calibration.COUNTED, 0):
+        monkeypatch.setattr(calibration, "COUNTED", counted)
+        found = calibration.bootstrap_cells(d, ["m"], range(2, 6), 1)
+        assert any("codes" in line for line in plan(found)) == (counted > 0)
+        cells[counted] = sorted(map(str, found.select("m", "boot", "p", "n", "pos").collect()))
+    assert len({str(v) for v in cells.values()}) == 1 and len(cells[0]) > 40
+    monkeypatch.undo()
+    tested = V(spark, SF).predictions("idx").where("split = 'test'")
+    lines = plan(calibration.bootstrap_cells(tested, ["model", "variant", "split"], range(2), 0, ("trial", "idx")))
+    assert not any("Exchange hashpartitioning(trial" in line for line in lines)
